@@ -20,179 +20,127 @@ AFTERNOON_BOUNDARY = "12:00"
 LOOKBACK_HOURS = 24
 MONDAY_LOOKBACK_HOURS = 72
 
-JAPAN_OFFSET_MINUTES = 540
-PARSED = "struct<ts:timestamp,precision:string>"
-
 
 def iso(ts) -> Column:
     """UTC text of an instant, to the second."""
     return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def _group(value: Column, pattern: str, index: int) -> Column:
-    return F.nullif(F.regexp_extract(value, pattern, index), F.lit(""))
-
-
-def _int(value: Column, default=None) -> Column:
-    number = value.try_cast("int")
-    return number if default is None else F.coalesce(number, F.lit(default))
-
-
-def _clock(year, month, day, hour=None, minute=None, second=None) -> Column:
-    zero = F.lit(0)
-    return F.try_make_timestamp(year, month, day, zero if hour is None else hour, zero if minute is None else minute,
-                                (zero if second is None else second).cast("decimal(8,6)"))
-
-
-def _month(name: Column) -> Column:
-    """Month number of an English name, full or of three letters."""
-    key = F.lower(name)
-    out = F.lit(None).cast("int")
-    for number, month in reversed(list(enumerate(MONTHS, 1))):
-        out = F.when(key.isin(month, month[:3]), number).otherwise(out)
-    return out
-
-
-
-def _minus_offset(local: Column, offset_minutes: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(local) - (offset_minutes * 60000000).cast("long"))
-
-
-def _offset_minutes(text: Column) -> Column:
-    sign = F.when(F.startswith(text, F.lit("-")), -1).otherwise(1)
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    return sign * (_int(F.substring(digits, 1, 2), 0) * 60 + _int(F.substring(digits, 3, 2), 0))
-
-
-def _struct(ts: Column, precision: Column) -> Column:
-    return F.struct(ts.cast("timestamp").alias("ts"), precision.alias("precision"))
-
-
-_ISO = (r"^(\d{4})-?(\d{2})-?(\d{2})(?:[^0-9+-](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?)?"
-        r"(Z|[+-]\d{2}(?::?\d{2})?(?::?\d{2})?)?$")
-_ISO_SHAPE = (r"^(?:\d{4}-\d{2}-\d{2}|\d{8})"
-              r"(?:[^0-9+-]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?$")
-_MAIL = (r"(?i)^(?:[a-z]+,?\s*)?(\d{1,2})[\s-]+([a-z]{3,9})[\s-]+(\d{4}|\d{2})\s+"
-         r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[a-z]{1,5}))?(?:\s*\(.*\))?$")
-
-
-def _iso_parts(value: Column):
-    shape = value.rlike(_ISO_SHAPE)
-    g = lambda i: _group(value, _ISO, i)
-    seconds = F.concat(F.coalesce(g(6), F.lit("0")), F.lit("."), F.coalesce(g(7), F.lit("0"))).try_cast("decimal(8,6)")
-    local = F.when(shape, F.try_make_timestamp(_int(g(1)), _int(g(2)), _int(g(3)), _int(g(4), 0), _int(g(5), 0), seconds))
-    return local, g(8)
-
-
-def _mail_parts(value: Column):
-    g = lambda i: _group(value, _MAIL, i)
-    short = _int(g(3))
-    year = F.when(F.char_length(g(3)) == 4, short).when(short > 68, short + 1900).otherwise(short + 2000)
-    local = _clock(year, _month(F.substring(g(2), 1, 3)), _int(g(1)), _int(g(4)), _int(g(5)), _int(g(6), 0))
-    zones = F.create_map(*[F.lit(x) for pair in MAIL_ZONES.items() for x in pair])
-    name = F.upper(g(7))
-    # "-0000" states that the zone is unknown, so the source zone applies.
-    offset = (F.when(name == "-0000", F.lit(None).cast("int")).when(name.rlike(r"^[+-]\d{4}$"), _offset_minutes(name))
-              .otherwise(F.try_element_at(zones, name)))
-    return F.when(value.rlike(_MAIL), local), offset
+def _let(value: Column, body) -> Column:
+    """Bind a value once for an expression that uses it many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _literal_map(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+_MONTH_NUMBERS = {name: n for n, month in enumerate(MONTHS, 1) for name in (month, month[:3])}
+_FULL = "(" + "|".join(MONTHS) + ")"
+_SHORT = "(" + "|".join(m[:3] for m in MONTHS) + ")"
+_ZONE = r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?"
+_TIME = r"[^0-9+-](\d{2})(?::?(\d{2})(?::?(\d{2}(?:[.,]\d{1,6})?)\d*)?)?"
+
+# The accepted layouts. Each is rewritten to kind|year|month|day|hour|minute|second|zone.
+ISO_DAY = (r"^(\d{4})-(\d{2})-(\d{2})$", "day|$1|$2|$3||||")
+ISO_DIGITS = (r"^(\d{4})(\d{2})(\d{2})$", "time|$1|$2|$3||||")
+ISO_TIME = (rf"^(\d{{4}})-?(\d{{2}})-?(\d{{2}}){_TIME}{_ZONE}$", "time|$1|$2|$3|$4|$5|$6|$7")
+MAIL = (r"(?i)^(?:[a-z]+,?\s*)?(\d{1,2})[\s-]+([a-z]{3})[a-z]{0,6}[\s-]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
+        r"(?:\s+([+-]\d{4}|[a-z]{1,5}))?(?:\s*\(.*\))?$", "mail|$3|$2|$1|$4|$5|$6|$7")
+LENIENT_LAYOUTS = (
+    (r"^(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日$", "day|$1|$2|$3||||"),
+    (r"^(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日\s*(\d{1,2})[:時](\d{2})分?$", "time|$1|$2|$3|$4|$5||"),
+    ISO_DAY, ISO_DIGITS, ISO_TIME, MAIL,
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2})[h:](\d{2})$", "time|$3|$2|$1|$4|$5||"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "day|$3|$2|$1||||"),
+    (rf"(?i)^(\d{{1,2}}) {_FULL} (\d{{4}})$", "day|$3|$2|$1||||"),
+    (rf"(?i)^{_FULL} (\d{{1,2}}), (\d{{4}})$", "day|$3|$1|$2||||"),
+    (rf"(?i)^{_SHORT}\.? (\d{{1,2}}), (\d{{4}})$", "day|$3|$1|$2||||"),
+    (r"^(\d{4})[/](\d{1,2})/(\d{1,2})$", "day|$1|$2|$3||||"),
+    (r"^(\d{4})\.(\d{1,2})\.(\d{1,2})$", "day|$1|$2|$3||||"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$", "time|$1|$2|$3|$4|$5|$6|"),
+)
+_JA = r"(?s)^.*?(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日(?:\s*[（(][^）)]*[）)])?"
+_NUMERIC = r"(?i)^(\d{4})[/.](\d{1,2})[/.](\d{1,2})"
+ARTICLE_LAYOUTS = (
+    (_JA + r"\s*(\d{1,2})(?::|時)(\d{1,2})(?:分)?(?::(\d{1,2}))?.*$", "time|$1|$2|$3|$4|$5|$6|+09:00"),
+    (_JA + ".*$", "day|$1|$2|$3||||"),
+    (_NUMERIC + r"\s+(\d{1,2}):(\d{2})(?::(\d{2}))?$", "time|$1|$2|$3|$4|$5|$6|"),
+    (_NUMERIC + r"\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*JST$", "time|$1|$2|$3|$4|$5|$6|+09:00"),
+    (_NUMERIC + r"(?:\s*JST)?$", "day|$1|$2|$3||||"),
+    ISO_DAY, ISO_DIGITS, ISO_TIME, MAIL,
+)
+
+
+def _fields(text: Column, layouts) -> Column:
+    """The eight fields of the first layout that matches, or null."""
+    out = F.lit(None).cast("string")
+    for pattern, template in reversed(layouts):
+        out = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, template)).otherwise(out)
+    return F.split(out, r"\|")
+
+
+def _number(text: Column, default=None) -> Column:
+    value = text.try_cast("int")
+    return value if default is None else F.coalesce(value, F.lit(default))
+
+
+def _local(p: Column) -> Column:
+    """Wall-clock time of the fields; null when there is no such day or hour."""
+    month = F.coalesce(_number(p[2]), F.try_element_at(_literal_map(_MONTH_NUMBERS), F.lower(p[2])))
+    year = _number(p[1])
+    full = F.when((p[0] == "mail") & (F.char_length(p[1]) == 2), year + F.when(year > 68, 1900).otherwise(2000)).otherwise(year)
+    seconds = F.coalesce(F.replace(p[6], F.lit(","), F.lit(".")).try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
+    return F.try_make_timestamp(full, month, _number(p[3]), _number(p[4], 0), _number(p[5], 0), seconds)
+
+
+def _offset(p: Column) -> Column:
+    """Minutes east of UTC; null when the zone is missing or unknown."""
+    digits = F.regexp_replace(p[7], "[^0-9]", "")
+    signed = F.when(F.startswith(p[7], F.lit("-")), -1).otherwise(1) * (
+        _number(F.substring(digits, 1, 2), 0) * 60 + _number(F.substring(digits, 3, 2), 0))
+    # A mail date with "-0000" states that its zone is unknown.
+    unknown = (p[0] == "mail") & (p[7] == "-0000")
+    return F.when(p[7].rlike("^[+-]") & ~unknown, signed).otherwise(F.try_element_at(_literal_map(MAIL_ZONES), F.upper(p[7])))
+
+
+def _utc(local: Column, offset: Column) -> Column:
+    return F.timestamp_micros(F.unix_micros(local) - offset.cast("long") * 60000000)
 
 
 def parse_date(value, tz) -> Column:
     """Lenient parse to (ts, precision time/day/missing/unparsed); a value without a zone is
     read in ``tz`` and a missing date stays missing."""
     text = clean(value)
-    zone = F.lit(tz) if isinstance(tz, str) and "/" in tz or tz == "UTC" else _col(tz)
-    here = lambda local: F.to_utc_timestamp(local, zone)
-
-    ja = r"^(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日(?:\s*(\d{1,2})[:時](\d{2})(?:分)?)?$"
-    j = lambda i: _group(text, ja, i)
-    ja_local = _clock(_int(j(1)), _int(j(2)), _int(j(3)), _int(j(4), 0), _int(j(5), 0))
-    ja_out = F.when(ja_local.isNull(), _struct(F.lit(None), F.lit("unparsed"))).otherwise(
-        _struct(here(ja_local), F.when(j(4).isNotNull(), "time").otherwise("day")))
-
-    iso_local, offset = _iso_parts(text)
-    iso_ts = (F.when(offset == "Z", iso_local).when(offset.isNotNull(), _minus_offset(iso_local, _offset_minutes(offset)))
-              .otherwise(here(iso_local)))
-    iso_precision = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), "day").otherwise("time")
-
-    mail_local, mail_offset = _mail_parts(text)
-    mail_ts = F.when(mail_offset.isNull(), here(mail_local)).otherwise(_minus_offset(mail_local, mail_offset))
-
-    # The day-first, month-name and year-first layouts of list pages.
-    layouts = [
-        (r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2})[h:](\d{2})$", (3, 2, 1, 4, 5, None), "time"),
-        (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 2, 1, None, None, None), "day"),
-        (r"(?i)^(\d{1,2}) (" + "|".join(MONTHS) + r") (\d{4})$", (3, 2, 1, None, None, None), "day"),
-        (r"(?i)^(" + "|".join(MONTHS) + r") (\d{1,2}), (\d{4})$", (3, 1, 2, None, None, None), "day"),
-        (r"(?i)^(" + "|".join(m[:3] for m in MONTHS) + r")\.? (\d{1,2}), (\d{4})$", (3, 1, 2, None, None, None), "day"),
-        (r"^(\d{4})[/](\d{1,2})/(\d{1,2})$", (1, 2, 3, None, None, None), "day"),
-        (r"^(\d{4})\.(\d{1,2})\.(\d{1,2})$", (1, 2, 3, None, None, None), "day"),
-        (r"^(\d{4})/(\d{1,2})/(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$", (1, 2, 3, 4, 5, 6), "time"),
-    ]
-    out = _struct(F.lit(None), F.lit("unparsed"))
-    for pattern, (y, m, d, h, mi, s), precision in reversed(layouts):
-        g = lambda i, p=pattern: _group(text, p, i)
-        month = F.coalesce(_int(g(m)), _month(g(m)))
-        local = _clock(_int(g(y)), month, _int(g(d)), *[None if k is None else _int(g(k)) for k in (h, mi, s)])
-        out = F.when(text.rlike(pattern) & local.isNotNull(), _struct(here(local), F.lit(precision))).otherwise(out)
-    return (F.when(text == "", _struct(F.lit(None), F.lit("missing")))
-            .when(text.rlike(ja), ja_out)
-            .when(iso_ts.isNotNull(), _struct(iso_ts, iso_precision))
-            .when(mail_ts.isNotNull(), _struct(mail_ts, F.lit("time")))
-            .otherwise(out))
+    zone = tz if isinstance(tz, Column) else F.lit(tz)
+    pack = lambda ts, precision: F.struct(ts.cast("timestamp").alias("ts"), precision.alias("precision"))
+    kind = lambda p: F.when(p[0] == "day", "day").otherwise("time")
+    parsed = _let(_fields(text, LENIENT_LAYOUTS), lambda p: _let(_local(p), lambda local: F.when(
+        local.isNotNull(), pack(F.coalesce(_utc(local, _offset(p)), F.to_utc_timestamp(local, zone)), kind(p)))))
+    return F.coalesce(parsed, pack(F.lit(None), F.when(text == "", "missing").otherwise("unparsed")))
 
 
 def parse_article_date(value) -> Column:
     """Article-side parse to (text, precision): Japanese dates carry +09:00, a value that cannot
     be parsed keeps its wording."""
     text = clean(value)
-    keep = F.struct(text.alias("text"), F.lit("unparsed").alias("precision"))
-    make = lambda t, p: F.struct(t.alias("text"), (F.lit(p) if isinstance(p, str) else p).alias("precision"))
-    day = lambda ts: F.date_format(ts, "yyyy-MM-dd")
-    stamp = lambda ts: F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-
-    ja = (r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日(?:\s*[（(][^）)]*[）)])?"
-          r"(?:\s*(\d{1,2})(?::|時)(\d{1,2})(?:分)?(?::(\d{1,2}))?)?")
-    j = lambda i: _group(text, ja, i)
-    ja_ts = _clock(_int(j(1)), _int(j(2)), _int(j(3)), _int(j(4), 0), _int(j(5), 0), _int(j(6), 0))
-    ja_out = F.when(ja_ts.isNull(), keep).when(j(4).isNull(), make(day(ja_ts), "day")).otherwise(
-        make(F.concat(stamp(ja_ts), F.lit("+09:00")), "time"))
-
-    num = r"(?i)^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?(?:\s*(JST))?$"
-    n = lambda i: _group(text, num, i)
-    num_ts = _clock(_int(n(1)), _int(n(2)), _int(n(3)), _int(n(4), 0), _int(n(5), 0), _int(n(6), 0))
-    num_out = (F.when(num_ts.isNull(), keep).when(n(4).isNull(), make(day(num_ts), "day"))
-               .otherwise(make(F.concat(stamp(num_ts), F.when(n(7).isNotNull(), "+09:00").otherwise("")), "time")))
-
-    iso_local, offset = _iso_parts(text)
-    micros = F.when(F.date_format(iso_local, "SSSSSS") == "000000", "").otherwise(
-        F.concat(F.lit("."), F.date_format(iso_local, "SSSSSS")))
-    iso_out = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), make(day(iso_local), "day")).otherwise(
-        make(F.concat(stamp(iso_local), micros, _offset_text(offset)), "time"))
-
-    mail_local, mail_offset = _mail_parts(text)
-    mail_zone = F.when(mail_offset.isNull(), "").otherwise(F.concat(
-        F.when(mail_offset < 0, "-").otherwise("+"), F.lpad((F.abs(mail_offset) / 60).cast("int").cast("string"), 2, "0"),
-        F.lit(":"), F.lpad((F.abs(mail_offset) % 60).cast("string"), 2, "0")))
-    return (F.when(text == "", F.struct(F.lit("").alias("text"), F.lit("missing").alias("precision")))
-            .when(text.rlike(ja), ja_out).when(text.rlike(num), num_out)
-            .when(iso_local.isNotNull(), iso_out)
-            .when(mail_local.isNotNull(), make(F.concat(stamp(mail_local), mail_zone), "time"))
-            .otherwise(keep))
-
-
-def _offset_text(offset: Column) -> Column:
-    digits = F.rpad(F.regexp_replace(offset, "[^0-9]", ""), 4, "0")
-    return (F.when(offset.isNull(), "").when(offset == "Z", "+00:00")
-            .otherwise(F.concat(F.substring(offset, 1, 1), F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2))))
+    pack = lambda t, precision: F.struct(t.alias("text"), precision.alias("precision"))
+    micros = lambda ts: F.when(F.date_format(ts, "SSSSSS") == "000000", "").otherwise(F.date_format(ts, ".SSSSSS"))
+    stamp = lambda ts: F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), micros(ts))
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    zone = lambda m: F.coalesce(F.concat(F.when(m < 0, "-").otherwise("+"), two(F.floor(F.abs(m) / 60)), F.lit(":"),
+                                         two(F.abs(m) % 60)), F.lit(""))
+    parsed = _let(_fields(text, ARTICLE_LAYOUTS), lambda p: _let(_local(p), lambda local: F.when(
+        local.isNull(), F.lit(None)).when(p[0] == "day", pack(F.date_format(local, "yyyy-MM-dd"), F.lit("day")))
+        .otherwise(pack(F.concat(stamp(local), zone(_offset(p))), F.lit("time")))))
+    return F.coalesce(parsed, pack(text, F.when(text == "", "missing").otherwise("unparsed")))
 
 
 def strict_ts(value) -> Column:
     """Instant of a full ISO timestamp; null unless it holds a 'T' and a zone."""
     text = F.coalesce(_col(value), F.lit(""))
-    local, offset = _iso_parts(text)
-    return F.when(F.contains(text, F.lit("T")) & offset.isNotNull(),
-                  F.when(offset == "Z", local).otherwise(_minus_offset(local, _offset_minutes(offset))))
+    full = F.when(F.contains(text, F.lit("T")), text)
+    return _let(_fields(full, (ISO_TIME,)), lambda p: _utc(_local(p), _offset(p)))
 
 
 def window_verdict(ts, precision, start, as_of, inclusive) -> Column:
@@ -209,7 +157,7 @@ def window_verdict(ts, precision, start, as_of, inclusive) -> Column:
 def edition_kind(as_of, mode="auto", boundary: str = AFTERNOON_BOUNDARY) -> Column:
     """morning or afternoon: as asked, or by the Singapore clock."""
     asked = F.lit(mode) if isinstance(mode, str) else mode
-    late = F.date_format(F.from_utc_timestamp(_col(as_of), DESK_ZONE), "HH:mm:ss") >= F.lit(boundary.ljust(8, "0") if len(boundary) == 8 else boundary + ":00")
+    late = F.date_format(F.from_utc_timestamp(_col(as_of), DESK_ZONE), "HH:mm:ss") >= F.lit(boundary if len(boundary) == 8 else boundary + ":00")
     return F.when(asked != "auto", asked).when(late, "afternoon").otherwise("morning")
 
 
@@ -226,8 +174,9 @@ def timing_conflict(text, as_of, tz: str = DESK_ZONE) -> Column:
     pattern = r"(?i)\bOn (\d{1,2}) ([A-Za-z]{3}) after market close\b"
     found = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(pattern), F.lit(0))
     one = r"(?i)^On (\d{1,2}) ([A-Za-z]{3}) "
-    dates = F.transform(found, lambda m: F.to_date(_clock(
-        F.year(local), _month(F.regexp_extract(m, one, 2)), _int(F.regexp_extract(m, one, 1)))))
+    dates = F.transform(found, lambda m: F.to_date(F.try_make_timestamp(
+        F.year(local), F.try_element_at(_literal_map(_MONTH_NUMBERS), F.lower(F.regexp_extract(m, one, 2))),
+        _number(F.regexp_extract(m, one, 1)), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))))
     return (F.hour(local) < 12) & F.exists(dates, lambda d: F.coalesce(d >= F.to_date(local), F.lit(False)))
 
 

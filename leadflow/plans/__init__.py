@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("texts", "addresses")
+FAMILIES = ("texts", "addresses", "times", "signals", "leads")
 
 
 def _load():
