@@ -14,6 +14,8 @@ PIECES = r"(?U)\w+|[^\w]+"
 # Words of a name that take part in the join key; longer names are checked against the text.
 KEY_WORDS = 2
 KEY_CHARS = 3
+# Names up to this many are looked up by broadcast; a larger table joins by shuffle.
+MAX_BROADCAST_TERMS = 500_000
 
 
 def watch_terms(watchlist: DataFrame) -> DataFrame:
@@ -74,7 +76,13 @@ def match_terms(leads: DataFrame, watchlist: DataFrame, text: Column | None = No
     substrings."""
     body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))) if text is None else text
     terms = _keyed_terms(watch_terms(watchlist))
-    met = _text_keys(leads, body).join(terms, ["n_words", "key"])
+    # Two numbers about the name table decide the plan: whether it may be broadcast, so that the word
+    # runs are looked up where they are read, and whether any name needs a second look at the text.
+    size = terms.agg(F.count("*").alias("n"), F.count_if(~F.col("exact")).alias("open")).first()
+    table = F.broadcast(terms) if size["n"] <= MAX_BROADCAST_TERMS else terms
+    met = _text_keys(leads, body).join(table, ["n_words", "key"])
+    if size["open"] == 0:
+        return met.select("lead_seq", "ticker").distinct()
     proven = met.filter("exact").select("lead_seq", "ticker")
     open_pairs = met.filter("NOT exact").select("lead_seq", "ticker", "term", "is_cjk").distinct()
     escaped = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(F.col("term"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("texts", "addresses", "times", "signals", "leads")
+FAMILIES = ("texts", "addresses", "times", "signals", "leads", "coverage")
 
 
 def _load():

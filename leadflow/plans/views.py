@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leadflow.functions import urls
 from leadflow.functions.text import content_hash
+from leadflow.session import spread
 
 MARKETS = ("JP", "KR", "AU", "HK", "CH", "TT", "NZ", "SP", "IN", "MK", "IJ", "TB", "PM", "VN")
 SQL_MARKETS = "[" + ", ".join(f"'{m}'" for m in MARKETS) + "]"
@@ -24,14 +25,19 @@ PACK_START = "1996-01-01T00:00:00Z"
 SECTIONS = ("Merger Arbitrage", "Fundamental/Pre-Event", "Relative Value", "Other Strategy")
 
 
+# Tables whose rows cost much work each.
+HEAVY = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 @lru_cache(maxsize=64)
 def _rows(spark: SparkSession, sf_dir: str, name: str) -> int:
     """Row count from the file footers."""
-    return table(spark, sf_dir, name).count()
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
 
 
 def markets_array():
