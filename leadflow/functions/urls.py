@@ -17,10 +17,14 @@ TRACKING_PREFIX = "utm_"
 PRIVATE_SUFFIXES = (".localhost", ".local", ".internal")
 RESERVED_SUFFIXES = (".localhost", ".local", ".internal", ".test", ".invalid")
 
-# IPv4 networks that are not globally reachable.
-PRIVATE_NETWORKS = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
-                    "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24",
-                    "203.0.113.0/24", "240.0.0.0/4")
+# IPv4 addresses that are not globally reachable (0/8, 10/8, 100.64/10, 127/8, 169.254/16,
+# 172.16/12, 192.0.0/24 but .9 and .10, 192.0.2/24, 192.168/16, 198.18/15, 198.51.100/24, 203.0.113/24, 240/4).
+PRIVATE_IPV4 = (r"^(?:(?:0|10|127)\.\d+\.\d+\.\d+|100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.\d+\.\d+|169\.254\.\d+\.\d+"
+                r"|172\.(?:1[6-9]|2\d|3[01])\.\d+\.\d+|192\.0\.0\.(?!(?:9|10)$)\d+|192\.0\.2\.\d+|192\.168\.\d+\.\d+"
+                r"|198\.1[89]\.\d+\.\d+|198\.51\.100\.\d+|203\.0\.113\.\d+|(?:24\d|25[0-5])\.\d+\.\d+\.\d+)$")
+
+# One http(s) address: no user or password, a host, and no port but 80 or 443.
+SAFE = r"(?is)^https?://(?::?@)?(?:\[[^\]]*\]|[^/?#@:\[\]]+)(?::(?:0*(?:80|443))?)?(?:[/?#].*)?$"
 
 _PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -63,14 +67,9 @@ def port(url) -> Column:
     return F.regexp_extract(_host_port(url), r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
 
 
-def _plain_http(url: Column) -> Column:
-    return (scheme(url).isin("http", "https") & (host(url) != "") & userinfo(url).rlike("^:?$"))
-
-
 def is_safe_url(url) -> Column:
     """An http(s) address with a host, no credentials and a normal port."""
-    value = clean(url)
-    return _plain_http(value) & port(value).rlike("^$|^0*(80|443)$")
+    return clean(url).rlike(SAFE)
 
 
 def _canonical_query(text: Column) -> Column:
@@ -105,35 +104,13 @@ def lead_id(canonical) -> Column:
     return F.substring(F.sha2(_col(canonical), 256), 1, 20)
 
 
-def _ip_number(name: Column) -> Column:
-    parts = F.split(name, r"\.")
-    return sum((F.try_element_at(parts, F.lit(i + 1)).try_cast("long") * (256 ** (3 - i)) for i in range(4)), F.lit(0).cast("long"))
-
-
-def _is_ipv4(name: Column) -> Column:
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    return name.rlike(rf"^{octet}(\.{octet}){{3}}$")
-
-
-def _private_ip(name: Column) -> Column:
-    number = _ip_number(name)
-    test = F.lit(False)
-    for network in PRIVATE_NETWORKS:
-        base, bits = network.split("/")
-        low = sum(int(p) * 256 ** (3 - i) for i, p in enumerate(base.split(".")))
-        test = test | number.between(low, low + 2 ** (32 - int(bits)) - 1)
-    return _is_ipv4(name) & test
-
-
 def is_public_url(url) -> Column:
     """A safe address that also looks public: a dotted, non-local host and no private literal IP."""
     value = F.coalesce(_col(url), F.lit(""))
-    name = F.regexp_replace(host(value), r"\.+$", "")
-    local = (name == "localhost")
-    for suffix in PRIVATE_SUFFIXES:
-        local = local | F.endswith(name, F.lit(suffix))
-    return ((value != "") & ~value.rlike(r"[\x00-\x20\x7f\\]") & _plain_http(value)
-            & port(value).rlike("^$|^0*(80|443)$") & ~local & F.contains(name, F.lit(".")) & ~_private_ip(name))
+    name = F.regexp_replace(F.regexp_extract(F.lower(value), r"^https?://(?::?@)?([^/?#@:\[\]]+)", 1), r"\.+$", "")
+    local = "|".join(suffix.replace(".", r"\.") for suffix in PRIVATE_SUFFIXES)
+    return (value.rlike(SAFE) & ~value.rlike(r"[\x00-\x20\x7f\\]") & F.contains(name, F.lit("."))
+            & ~name.rlike(f"(?:{local})$|{PRIVATE_IPV4}"))
 
 
 def _in_domains(name: Column, domains: Column) -> Column:

@@ -168,6 +168,7 @@ def radar_totals(reports: DataFrame, cands: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "partial").alias("partial"))
     found = cands.filter("collection_role = 'market'").agg(
         F.count("*").alias("candidates"), F.count_if(F.size("tickers") == 0).alias("outside_list"))
+    # Both sides are one row.
     return market.join(found)
 
 
@@ -201,4 +202,5 @@ def run_summary(reports: DataFrame, cands: DataFrame) -> DataFrame:
                        F.coalesce(F.bool_or(F.col("status").isin("ok", "partial")), F.lit(False)).alias("usable"),
                        F.coalesce(F.bool_or(F.col("status") == "ok"), F.lit(False)).alias("any_ok"))
     picked = cands.agg(F.count_if("selected").alias("selected"), F.count_if(~F.col("selected")).alias("held"))
+    # Both sides are one row.
     return scan.join(picked).withColumn("collection_failed", ~F.col("any_ok")).withColumn("run_failed", ~F.col("usable")).drop("any_ok", "usable")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("texts", "addresses", "times", "signals", "leads", "coverage")
+FAMILIES = ("texts", "addresses", "times", "signals", "leads", "coverage", "stories")
 
 
 def _load():
