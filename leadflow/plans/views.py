@@ -48,10 +48,10 @@ def market_of(number):
     return F.element_at(markets_array(), (number % len(MARKETS) + 1).cast("int"))
 
 
-def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def leads(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     step = _rows(spark, sf_dir, "events") // _rows(spark, sf_dir, "documents")
     n_pages = _rows(spark, sf_dir, "pages")
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
     events = table(spark, sf_dir, "events").select(
         F.col("event_id"), F.col("ts").cast("timestamp").alias("published"),
         F.when(F.col("event_type") == "signup", "missing").when(F.col("event_type") == "error", "day")
