@@ -139,8 +139,11 @@ def parse_article_date(value) -> Column:
 def strict_ts(value) -> Column:
     """Instant of a full ISO timestamp; null unless it holds a 'T' and a zone."""
     text = F.coalesce(_col(value), F.lit(""))
-    full = F.when(F.contains(text, F.lit("T")), text)
-    return _let(_fields(full, (ISO_TIME,)), lambda p: _utc(_local(p), _offset(p)))
+    # The usual layout is read by Spark's own cast; the rarer ISO layouts go through their fields.
+    usual = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})$")
+    other = F.when(~usual & F.contains(text, F.lit("T")), text)
+    return F.when(usual, text.try_cast("timestamp")).otherwise(
+        _let(_fields(other, (ISO_TIME,)), lambda p: _utc(_local(p), _offset(p))).cast("timestamp"))
 
 
 def window_verdict(ts, precision, start, as_of, inclusive) -> Column:

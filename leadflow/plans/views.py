@@ -26,7 +26,7 @@ SECTIONS = ("Merger Arbitrage", "Fundamental/Pre-Event", "Relative Value", "Othe
 
 
 # Tables whose rows cost much work each.
-HEAVY = ("documents", "pages")
+HEAVY = ("documents", "pages", "lineitem", "orders", "events")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,0 +1,129 @@
+"""Text, URL and date columns on single values."""
+
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from leadflow.functions import dates as dt
+from leadflow.functions import text as tx
+from leadflow.functions import urls
+from leadflow.sources.captures import decode_body
+
+L = F.lit
+
+
+def rows(spark, values, column):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x string")
+    return [r[1] for r in df.select("i", column(F.col("x"))).orderBy("i").collect()]
+
+
+def test_canonical_url(spark):
+    given = ["https://EXAMPLE.org/a?id=12&utm_source=x#part", "HTTP://a.example.com", "https://a.example.com/?b=2&a=1&GCLID=z", "https://u:p@example.com/",
+             "https://example.com/?q=a+b&c=%7E&d", None]
+    assert rows(spark, given, urls.canonical_url) == [
+        "https://example.org/a?id=12", "http://a.example.com/", "https://a.example.com/?a=1&b=2", None, "https://example.com/?c=~&d=&q=a+b", None]
+
+
+def test_safe_and_public(spark):
+    given = ["file:///etc/passwd", "javascript:alert(1)", "https://user:pw@example.com/", "https://example.com:8443/", "https://example.com:443/x", "https://@example.com/",
+             "http://localhost/", "http://10.1.2.3/", "http://192.0.0.9/", "http://8.8.8.8/", "http://printer.local/", "http://intranet/", "https://a.example.com/ b", "https://example.com\\x"]
+    safe = [False, False, False, False, True, True, True, True, True, True, True, True, True, None]
+    got = rows(spark, given, urls.is_safe_url)
+    assert [g for g, s in zip(got, safe) if s is not None] == [s for s in safe if s is not None]
+    assert rows(spark, given, urls.is_public_url) == [False, False, False, False, True, True, False, False, True, True, False, False, False, False]
+
+
+def test_resolve(spark):
+    base = "https://www.example.com/a/b/c.html?x=1#top"
+    for link, want in [("d.html", "https://www.example.com/a/b/d.html"), ("../e?y=2", "https://www.example.com/a/e?y=2"), ("/f", "https://www.example.com/f"),
+                       ("//n.example.org/g", "https://n.example.org/g"), ("https://o.example.org/", "https://o.example.org/"), ("?z", "https://www.example.com/a/b/c.html?z"),
+                       ("./../../h/.", "https://www.example.com/h/")]:
+        assert spark.range(1).select(urls.resolve(L(base), L(link))).first()[0] == want
+
+
+def test_domains(spark):
+    assert rows(spark, ["Example.com.", "a_b.example.com", "10.0.0.1", "x.test", "-a.example.com", "single"], urls.valid_domain) == [True, False, False, False, False, False]
+    domains = F.array(L("example.com"))
+    given = ["https://News.Example.com/a#f", "https://evil-example.com/", "http://example.com:443/", "https://example.com:443", "https://example.com/a b"]
+    assert rows(spark, given, lambda c: urls.allowed_url(c, domains)) == ["https://news.example.com/a", "", "", "https://example.com/", ""]
+
+
+@pytest.mark.parametrize("raw,tz,ts,precision", [
+    ("", "UTC", None, "missing"), ("soon", "UTC", None, "unparsed"), ("2026-09-24", "Asia/Tokyo", "2026-09-23T15:00:00Z", "day"),
+    ("20260924", "UTC", "2026-09-24T00:00:00Z", "time"), ("2026-09-24T07:05:00+08:00", "UTC", "2026-09-23T23:05:00Z", "time"),
+    ("2026-09-24T07:05Z", "Asia/Tokyo", "2026-09-24T07:05:00Z", "time"), ("Thu, 24 Sep 2026 07:05:00 +0900", "UTC", "2026-09-23T22:05:00Z", "time"),
+    ("24 Sep 26 07:05 EST", "UTC", "2026-09-24T12:05:00Z", "time"), ("Thu, 24 Sep 2026 07:05:00", "Asia/Singapore", "2026-09-23T23:05:00Z", "time"),
+    ("24/09/2026 7h05", "America/Sao_Paulo", "2026-09-24T10:05:00Z", "time"), ("24 September 2026", "UTC", "2026-09-24T00:00:00Z", "day"),
+    ("Sep. 24, 2026", "UTC", "2026-09-24T00:00:00Z", "day"), ("2026/9/24", "UTC", "2026-09-24T00:00:00Z", "day"), ("2026.09.24", "UTC", "2026-09-24T00:00:00Z", "day"),
+    ("2026年9月24日 15:30", "Asia/Tokyo", "2026-09-24T06:30:00Z", "time"), ("2026年9月24日", "Asia/Tokyo", "2026-09-23T15:00:00Z", "day"), ("2026年13月1日", "UTC", None, "unparsed"),
+    ("31/02/2026", "UTC", None, "unparsed")])
+def test_parse_date(spark, raw, tz, ts, precision):
+    p = spark.range(1).select(dt.parse_date(L(raw), tz).alias("p")).select(dt.iso("p.ts"), "p.precision").first()
+    assert tuple(p) == (ts, precision)
+
+
+def test_article_date(spark):
+    given = ["2026年9月24日(木) 15時30分", "2026/9/24 9:05 JST", "2026/9/24", "2026-09-24", "2026-09-24T01:02:03Z", "Thu, 24 Sep 2026 07:05:00 +0900", "2026年13月1日", "soon", ""]
+    got = rows(spark, given, lambda c: F.concat_ws("|", dt.parse_article_date(c)["text"], dt.parse_article_date(c)["precision"]))
+    assert got == ["2026-09-24T15:30:00+09:00|time", "2026-09-24T09:05:00+09:00|time", "2026-09-24|day", "2026-09-24|day", "2026-09-24T01:02:03+00:00|time",
+                   "2026-09-24T07:05:00+09:00|time", "2026年13月1日|unparsed", "soon|unparsed", "|missing"]
+
+
+def test_strict_ts(spark):
+    given = ["2026-09-24T01:02:03Z", "2026-09-24T01:02:03.5+05:30", "2026-09-24T01:02+0530", "2026-09-24T01:02:03", "2026-09-24 01:02:03Z", "2026-09-24", None]
+    assert rows(spark, given, lambda c: dt.iso(dt.strict_ts(c))) == ["2026-09-24T01:02:03Z", "2026-09-23T19:32:03Z", "2026-09-23T19:32:00Z", None, None, None, None]
+
+
+def test_window_verdict(spark):
+    ts = lambda t: L(t).cast("timestamp")
+    start, end = ts("2026-09-24 06:10:00"), ts("2026-09-24 08:00:00")
+    verdict = lambda t, p, inclusive: spark.range(1).select(dt.window_verdict(ts(t), L(p), start, end, inclusive)).first()[0]
+    times = ["2026-09-24 06:09:59", "2026-09-24 06:10:00", "2026-09-24 06:10:01", "2026-09-24 08:00:00", "2026-09-24 08:00:01"]
+    assert [verdict(t, "time", False) for t in times] == ["old", "old", "current", "current", "future"]
+    assert verdict("2026-09-24 06:10:00", "time", True) == "current"
+    # A day is an interval: it never proves that it lies inside.
+    assert [verdict(t, "day", True) for t in ("2026-09-23 00:00:00", "2026-09-24 00:00:00", "2026-09-25 00:00:00", "2026-09-23 06:10:00")] == [
+        "old", "date_needs_review", "future", "old"]
+    assert verdict(None, "missing", True) == "date_needs_review"
+
+
+def test_nfkc_equals_unicodedata(spark):
+    given = ["plain", "ＴＯＢ　買収", "Ｍ＆Ａ", "é", "ﾃｽﾄ", "½ ﬁ ①", "한글", "하", "été", "が", "が", "Ⅷ", "a b"]
+    assert rows(spark, given, tx.nfkc) == [unicodedata.normalize("NFKC", g) for g in given]
+
+
+def test_text_columns(spark, one):
+    assert one(tx.clean(L(" a　\n b "))) == "a b"
+    assert one(tx.html_to_text(L("<nav>x</nav><p>A &amp; <b>B</b></p><script>var t='</p>'</script><!-- c -->"))) == "A & B"
+    assert one(tx.excerpt(L("one two"), L(" ".join(str(i) for i in range(30))))) == "Source excerpt: “" + " ".join(str(i) for i in range(23)) + "…”"
+    assert one(tx.excerpt(L("t"), L("  "))) == "Read the linked announcement for the details."
+    assert one(tx.infer_language(L(""), L("これ"))) == "ja" and one(tx.infer_language(L("en"), L("これ"))) == "en"
+    assert one(tx.is_meaningful(L("文" * 18))) and not one(tx.is_meaningful(L("x" * 44)))
+    assert one(tx.ordered_union(F.array(L("b"), L("a")), F.array(L("a"), L("c")))) == ["b", "a", "c"]
+    assert one(tx.clamp_num(L("1e400"), 6, 1, 60)) == 6.0 and one(tx.clamp_num(L("99"), 6, 1, 60, True)) == 60.0 and one(tx.clamp_num(L("x"), 6, 1, 60)) == 6.0
+    aliases = {"Acme": "Acme Holdings", "Acme Holdings": "ACM"}
+    assert one(tx.apply_aliases(L("acme holdings buys Acme; Acmex waits"), aliases)) == "ACM buys Acme Holdings; Acmex waits"
+
+
+def test_decode_body(spark):
+    cases = [("日本語".encode("cp932"), "text/html; charset=Shift_JIS"), ("日本語".encode("euc-jp"), ""), ("日本語".encode(), ""), ("﻿日本語".encode(), "text/html; charset=ascii"),
+             ("日本語".encode("utf-16"), ""), (b'<meta charset="euc-jp">' + "日本語".encode("euc-jp"), "text/html"), (b"\xff\x00\x81", "text/html; charset=nonsense")]
+    df = spark.createDataFrame([(i, bytearray(b), k) for i, (b, k) in enumerate(cases)], "i int, b binary, k string")
+    got = [r[1] for r in df.select("i", decode_body("b", "k")).orderBy("i").collect()]
+    assert [g.endswith("日本語") for g in got[:6]] == [True] * 6 and got[6] is not None
+
+
+def test_timing_conflict(spark, one):
+    at = L("2026-09-23 23:00:00").cast("timestamp")
+    assert one(dt.timing_conflict(L("On 24 Sep after market close"), at))
+    assert not one(dt.timing_conflict(L("On 23 Sep after market close"), at))
+    assert not one(dt.timing_conflict(L("On 31 Feb after market close"), at))
+    assert not one(dt.timing_conflict(L("On 24 Sep after market close"), L("2026-09-24 06:00:00").cast("timestamp")))
+
+
+def test_edition_and_lookback(one):
+    at = lambda t: L(t).cast("timestamp")
+    assert one(dt.edition_kind(at("2026-09-24 03:59:59"))) == "morning" and one(dt.edition_kind(at("2026-09-24 04:00:00"))) == "afternoon"
+    assert one(dt.lookback_hours(at("2026-09-27 23:00:00"))) == 72
+    assert one(dt.lookback_hours(at("2026-09-27 23:00:00"), L(24))) == 24 and one(dt.lookback_hours(at("2026-09-28 23:00:00"))) == 24
