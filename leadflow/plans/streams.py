@@ -48,8 +48,8 @@ def stream_window_verdict(spark, d):
 @query("stream_dedup", v.with_views(v.LEADS, v.HASHED) + "SELECT DISTINCT id FROM hashed_v")
 def stream_dedup(spark, d):
     out, _, checkpoint = folders(spark)
-    intake.run_to_parquet(intake.dedup(stream_of_leads(spark, d).select("id", "published")).select("id"), out, checkpoint)
-    return spark.read.parquet(out)
+    intake.run_batches(stream_of_leads(spark, d).select("id", "published"), intake.dedup_batches(out), checkpoint)
+    return spark.read.parquet(out).select("id")
 
 
 @query("stream_change_status", v.with_views(v.LEADS, v.HASHED) + """
@@ -67,6 +67,6 @@ def stream_change_status(spark, d):
 def stream_daily_counts(spark, d):
     out, _, checkpoint = folders(spark)
     events = stream(spark, d, "events").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source_id"), F.col("ts").cast("timestamp").alias("published"))
-    intake.run_batches(intake.daily_counts(events), intake.write_batch(out), checkpoint, "update")
-    rows = intake.latest(spark.read.parquet(out), ["source_id", "day"], ["headlines"])
+    intake.run_batches(events, intake.count_batches(out), checkpoint)
+    rows = intake.daily_counts(spark.read.parquet(out))
     return rows.select("source_id", F.col("day").cast("string").alias("day"), "headlines")

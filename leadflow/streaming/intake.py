@@ -1,7 +1,7 @@
 """Continuous intake: labels, deduplication, change detection and counts.
 
-Late and early rows are labelled by the same verdict as in batch, before any stateful step, so a
-watermark only bounds the state and never decides what is news.
+Late and early rows are labelled by the same verdict as in batch, and none is dropped: state is kept in
+tables keyed by batch instead of behind a watermark, so a stream gives what the batch gives.
 """
 
 from __future__ import annotations
@@ -28,35 +28,41 @@ def run_to_parquet(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def run_batches(stream: DataFrame, handle, checkpoint: str, mode: str = "append") -> None:
+def run_batches(stream: DataFrame, handle, checkpoint: str) -> None:
     """Drain what is available through ``handle(batch, batch_id)``."""
-    query = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def dedup(stream: DataFrame, key: str = "id", time: str = "published", horizon: str = "40 days") -> DataFrame:
-    """First row of each key within the horizon."""
-    return stream.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
+def dedup_batches(out: str, key: str = "id"):
+    """Sink that keeps the first row of each key, however late a copy arrives.
 
+    A watermark would drop late rows, so the keys already written are the state: a batch is compared with
+    the keys of all earlier batches, and a retried batch sees the same ones and replaces its own folder."""
 
-def daily_counts(stream: DataFrame, time: str = "published", lateness: str = "2 days") -> DataFrame:
-    """Rows per source and day."""
-    return (stream.withWatermark(time, lateness).groupBy(F.window(time, "1 day").alias("w"), "source_id").agg(F.count("*").alias("headlines"))
-            .select("source_id", F.to_date("w.start").alias("day"), "headlines"))
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        first = batch.dropDuplicates([key])
+        if batch_id > 0:
+            seen = batch.sparkSession.read.parquet(out).filter(F.col("batch") < batch_id).select(key)
+            first = first.join(seen, key, "left_anti")
+        first.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return handle
 
 
-def write_batch(out: str):
-    """Sink of a batch into the folder of its id; a retried batch replaces its own folder."""
+def count_batches(out: str, time: str = "published"):
+    """Sink of the rows per source and day of each batch; ``daily_counts`` adds them up. Late rows count on
+    their own day, and a retried batch replaces its own folder."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        counts = batch.groupBy("source_id", F.to_date(time).alias("day")).agg(F.count("*").alias("headlines"))
+        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return handle
 
 
-def latest(out: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Last update of each key over all batches of an update-mode sink."""
-    return out.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+def daily_counts(written: DataFrame) -> DataFrame:
+    return written.groupBy("source_id", "day").agg(F.sum("headlines").alias("headlines"))
 
 
 def change_batches(spark: SparkSession, out: str, state: str):
