@@ -31,6 +31,11 @@ def category(record, source, first_match) -> Column:
     return F.when(stated.isin(*SECTIONS), stated).otherwise(DEFAULT_SECTION)
 
 
+def candidate_tickers(of_source, matched, active) -> Column:
+    """Source tickers and matched ones, each once, restricted to the active watchlist."""
+    return F.array_intersect(ordered_union(of_source, matched), _col(active))
+
+
 def merge_article(leads: DataFrame, articles: DataFrame) -> DataFrame:
     """Lead joined with its article: article values win, lead values fill the gaps, and the lead's own
     text is kept apart as a snippet because it is not article evidence."""

@@ -10,10 +10,14 @@ from leadflow.operators.windows import market_code, ticker_market
 from leadflow.rules import TOPIC_NAMES, TOPIC_PATTERN
 
 MIN_TERM_CHARS = 3
-PIECES = r"(?U)\w+|[^\w]+"
+# Letters, digits and the underscore make words; everything else separates them.
+WORD, GAP = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+PIECES = f"{WORD}+|{GAP}+"
 # Words of a name that take part in the join key; longer names are checked against the text.
 KEY_WORDS = 2
 KEY_CHARS = 3
+# Marks the three-character keys, so that they never equal a word.
+CJK_MARK = "\u0001"
 # Names up to this many are looked up by broadcast; a larger table joins by shuffle.
 MAX_BROADCAST_TERMS = 500_000
 
@@ -29,41 +33,31 @@ def _keyed_terms(terms: DataFrame) -> DataFrame:
     """Join key of each term and whether equality of keys already proves the match."""
     low = F.lower("term")
     pieces = F.regexp_extract_all(low, F.lit(PIECES), F.lit(0))
-    is_word = lambda p: p.rlike(r"(?U)^\w")
-    first = F.when(is_word(F.element_at(pieces, 1)), 1).otherwise(2)
+    is_word = lambda p: p.rlike("^" + WORD)
     # Pieces alternate between words and separators.
+    first = F.when(is_word(F.element_at(pieces, 1)), 1).otherwise(2)
     last = F.when(is_word(F.element_at(pieces, -1)), F.size(pieces)).otherwise(F.size(pieces) - 1)
     key_last = F.least(last, first + 2 * (KEY_WORDS - 1))
     cjk = F.col("term").rlike(CJK_CLASS)
-    at = F.regexp_instr(low, F.lit(CJK_CLASS))
-    start = F.greatest(F.lit(1), F.least(at, F.char_length(low) - (KEY_CHARS - 1)))
-    word_key = F.array_join(F.slice(pieces, first, key_last - first + 1), "")
+    start = F.greatest(F.lit(1), F.least(F.regexp_instr(low, F.lit(CJK_CLASS)), F.char_length(low) - (KEY_CHARS - 1)))
+    word_key = F.array_join(F.slice(pieces, first, F.greatest(key_last - first + 1, F.lit(0))), "")
     return (terms.withColumn("is_cjk", cjk)
-            .withColumn("key", F.when(cjk, low.substr(start, F.lit(KEY_CHARS)))
-                        .otherwise(word_key))
-            .withColumn("n_words", F.when(cjk, 0).otherwise(((key_last - first) / 2 + 1).cast("int")))
+            .withColumn("key", F.when(cjk, F.concat(F.lit(CJK_MARK), low.substr(start, F.lit(KEY_CHARS)))).otherwise(word_key))
             .withColumn("exact", ~cjk & (word_key == low)))
 
 
 def _text_keys(leads: DataFrame, text: Column) -> DataFrame:
-    """Distinct (lead_seq, n_words, key): runs of one to KEY_WORDS words with the separators between
-    them, and three-character runs of texts in Japanese or Chinese script. Each kind is one linear
-    pass over the text; longer runs are taken by look-ahead so that they overlap."""
+    """Distinct (lead_seq, key): runs of one to KEY_WORDS words with the separators between them, and
+    three-character runs of texts in Japanese or Chinese script. Each kind is one linear pass over the
+    text; longer runs are taken by look-ahead so that they overlap."""
     low = F.col("_low")
-    kinds = [(1, r"(?U)(\w+)", F.lit(True))]
+    runs = [F.regexp_extract_all(low, F.lit(f"({WORD}+)"), F.lit(1))]
     for n in range(2, KEY_WORDS + 1):
-        kinds.append((n, r"(?U)(?<!\w)(?=(\w++" + r"[^\w]++\w++" * (n - 1) + "))", F.lit(True)))
-    kinds.append((0, "(?s)(?=(" + "." * KEY_CHARS + "))", low.rlike(CJK_CLASS)))
-    runs, none = [], F.array().cast("array<string>")
-    for n, pattern, applies in kinds:
-        found = F.array_distinct(F.when(applies, F.regexp_extract_all(low, F.lit(pattern), F.lit(1))))
-        if n == 0:
-            found = F.filter(found, lambda k: k.rlike(CJK_CLASS))
-        runs.append(F.arrays_zip(F.array_repeat(F.lit(n), F.size(F.coalesce(found, none))).alias("n_words"), found.alias("key")))
-    empty = F.array().cast("array<struct<n_words:int,key:string>>")
-    every = F.concat(*[F.coalesce(r, empty) for r in runs])
-    return (leads.select("lead_seq", F.lower(text).alias("_low")).select("lead_seq", F.explode(every).alias("k"))
-            .select("lead_seq", "k.n_words", "k.key"))
+        runs.append(F.regexp_extract_all(low, F.lit(f"(?<!{WORD})(?=({WORD}++" + f"{GAP}++{WORD}++" * (n - 1) + "))"), F.lit(1)))
+    chars = F.filter(F.regexp_extract_all(low, F.lit("(?s)(?=(" + "." * KEY_CHARS + "))"), F.lit(1)), lambda k: k.rlike(CJK_CLASS))
+    cjk = F.when(low.rlike(CJK_CLASS), F.transform(chars, lambda k: F.concat(F.lit(CJK_MARK), k))).otherwise(F.array().cast("array<string>"))
+    return (leads.select("lead_seq", F.lower(text).alias("_low"))
+            .select("lead_seq", F.explode(F.array_distinct(F.concat(*runs, cjk))).alias("key")))
 
 
 def match_terms(leads: DataFrame, watchlist: DataFrame, text: Column | None = None) -> DataFrame:
@@ -80,12 +74,12 @@ def match_terms(leads: DataFrame, watchlist: DataFrame, text: Column | None = No
     # runs are looked up where they are read, and whether any name needs a second look at the text.
     size = terms.agg(F.count("*").alias("n"), F.count_if(~F.col("exact")).alias("open")).first()
     table = F.broadcast(terms) if size["n"] <= MAX_BROADCAST_TERMS else terms
-    met = _text_keys(leads, body).join(table, ["n_words", "key"])
+    met = _text_keys(leads, body).join(table, "key")
     if size["open"] == 0:
         return met.select("lead_seq", "ticker").distinct()
     proven = met.filter("exact").select("lead_seq", "ticker")
     open_pairs = met.filter("NOT exact").select("lead_seq", "ticker", "term", "is_cjk").distinct()
-    escaped = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(F.col("term"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    escaped = F.concat(F.lit(f"(?iu)(?<!{WORD})" + r"\Q"), F.replace(F.col("term"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E" + f"(?!{WORD})"))
     held = F.when(F.col("is_cjk"), F.contains(F.lower("_body"), F.lower("term"))).otherwise(F.rlike(F.col("_body"), escaped))
     checked = (open_pairs.join(leads.select("lead_seq", body.alias("_body")), "lead_seq").filter(held).select("lead_seq", "ticker"))
     return proven.unionByName(checked).distinct()

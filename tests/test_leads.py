@@ -143,3 +143,17 @@ def test_state_and_run_folders(spark, tmp_path):
 def test_id_and_hash(spark):
     row = c.with_identity(spark.createDataFrame([("https://Example.com/a#x", " T  t ", "b\n b")], "url string, title string, text string")).first()
     assert row["id"] == hashlib.sha256(b"https://example.com/a").hexdigest()[:20] and row["content_hash"] == hashlib.sha256("T t\nb b".encode()).hexdigest()
+
+
+def test_priority_sources_need_a_name(spark):
+    schema = ("lead_seq bigint, source_id string, url string, attention_score int, market_relevant boolean, retain_all_leads boolean, allowed_domains array<string>, discovery_only boolean, "
+              "window_status string, date_precision string, broad boolean, fixed_issuer boolean, tickers array<string>")
+    row = lambda i, broad, fixed, tickers: (i, "s", "https://example.com/", 0, False, False, ["example.com"], False, "current", "time", broad, fixed, tickers)
+    df = spark.createDataFrame([row(1, False, False, []), row(2, False, True, []), row(3, False, False, ["1 JP"]), row(4, True, False, [])], schema)
+    got = {r["lead_seq"]: r["stage"] for r in audit.early_stage(df).collect()}
+    assert got == {1: "discovery_no_name_match", 2: "article_pending", 3: "article_pending", 4: "below_attention_threshold"}
+
+
+def test_candidate_tickers(one):
+    arr = lambda *x: F.array(*[F.lit(v) for v in x])
+    assert one(c.candidate_tickers(arr("b", "a"), arr("a", "c"), arr("c", "a"))) == ["a", "c"]
