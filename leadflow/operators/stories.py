@@ -35,7 +35,7 @@ ID_MISSING, ID_DUPLICATED = "Story ID is missing.", "Story ID is duplicated."
 NO_COMPANY, NO_HEADLINE = "Company identity needs review.", "English headline is missing."
 NOT_READY = "Research review status is not ready."
 NOT_NEW = "New information or a changed event has not been established."
-NO_CATEGORY = "A supported morning-note category is required."
+NO_CATEGORY = "A supported edition category is required."
 BAD_URL = "A source URL is invalid or is not a public HTTP(S) reference."
 SAME_URL = "A source URL is duplicated; consolidate its metadata."
 NO_ORIGIN = "Original disclosure and its publication time have not been verified."

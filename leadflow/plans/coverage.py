@@ -23,9 +23,9 @@ REPORTS = """reports_v AS MATERIALIZED (
   FROM (SELECT s.*, number <> 13 AS enabled, number <> 17 AS applicable, number <> 13 AND number <> 17 AS live,
       CASE WHEN number = 11 THEN 10 ELSE 1000000000 END AS row_limit, count(e.event_id)::BIGINT AS discovered,
       count(*) FILTER (e.event_type = 'purchase')::BIGINT AS matched, count(*) FILTER (e.event_type = 'click')::BIGINT AS attempted,
-      count(*) FILTER (e.event_type = 'error' AND (e.value > 320 OR s.number = 3))::BIGINT AS errors,
+      count(*) FILTER ((e.event_type = 'error' AND e.value > 320) OR (s.number = 3 AND e.event_id IS NOT NULL))::BIGINT AS errors,
       count(*) FILTER (e.event_type = 'view' AND e.value > 310)::BIGINT AS limited, count(DISTINCT e.user_id)::BIGINT AS links
-    FROM sources_v s LEFT JOIN scans_v e ON e.source_id = s.id AND (s.number <> 3 OR e.event_type = 'error') GROUP BY ALL))"""
+    FROM sources_v s LEFT JOIN scans_v e ON e.source_id = s.id GROUP BY ALL))"""
 REPORT_VIEWS = (v.SOURCES, v.SCANS, REPORTS)
 
 
@@ -34,9 +34,10 @@ def reports(spark, d):
     src = (src.withColumn("enabled", F.col("number") != 13).withColumn("applicable", F.col("number") != 17)
            .withColumn("row_limit", F.when(F.col("number") == 11, 10).otherwise(1000000000)))
     number = F.regexp_extract("source_id", r"(\d+)", 1).cast("int")
-    fetches = v.reports(spark, d).filter((number != 3) | (F.col("event_type") == "error")).select(
+    # Every fetch of the third source failed.
+    fetches = v.reports(spark, d).select(
         "source_id", (F.col("event_type") == "purchase").alias("matched"), (F.col("event_type") == "click").alias("attempted"),
-        ((F.col("event_type") == "error") & ((F.col("value") > 320) | (number == 3))).alias("error"),
+        (((F.col("event_type") == "error") & (F.col("value") > 320)) | (number == 3)).alias("error"),
         ((F.col("event_type") == "view") & (F.col("value") > 310)).alias("limited"), F.col("user_id").alias("link"))
     return cv.source_reports(fetches, src)
 
