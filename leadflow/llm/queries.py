@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadflow.llm import language
+from leadflow.llm import language, quality
 from leadflow.llm.support import QUERIES, SQL, query, table
 
 
@@ -20,3 +20,9 @@ def all_sql():
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from the rows that are not held out."""
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, robust distance and verdict of every document."""
+    return quality.judge(table(spark, sf_dir, "documents")).drop("row_key")
