@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadflow.llm import language, quality
+from leadflow.llm import language, neardup, packing, quality
 from leadflow.llm.support import QUERIES, SQL, query, table
 
 
@@ -26,3 +27,15 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, robust distance and verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+@query("op9_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 ids."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
