@@ -5,9 +5,10 @@ Each stage reads what its predecessor kept as a written table. All but the last
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadflow.llm import language
+from leadflow.llm import language, neardup, packing, quality
 from leadflow.llm.support import prepare, written
 
 
@@ -17,7 +18,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.keep_identified(docs)
 
 
-STAGES = [("language", identify_language)]
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie near the centre of their language and source."""
+    prepare(spark)
+    return quality.keep_sound(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    prepare(spark)
+    return neardup.keep_first(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document with their places in sequences of 2048 ids."""
+    prepare(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", identify_language), ("quality", apply_quality_rules), ("near_duplicates", drop_near_duplicates), ("packing", pack_sequences)]
 
 # Trained models, iterated estimates and tokenizers have no SQL form.
 ORACLE_SQL = None
