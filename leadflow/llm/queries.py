@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadflow.llm import language, neardup, packing, quality
+from leadflow.llm import ann, bpe, chat, language, neardup, packing, quality
 from leadflow.llm.support import QUERIES, SQL, query, table
 
 
@@ -39,3 +40,41 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_permutation_index")
+def permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every vector whose id is divisible by 20, among all vectors."""
+    vectors = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+CHAT_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT conv_id, turn, role, text, '<s>' || role || '[INST]' || text || '[/INST]</s>' AS plain,
+    len(regexp_extract_all(role || chr(10) || text, '\\\\|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<\\|')) AS escapes FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(plain) + escapes)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
+@query("op3_chat_formatting", CHAT_SQL)
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that holds control strings, formatted by turns and read back."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(turns))
+
+
+@query("op4_tree_bpe")
+def tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, and their bytes, as digests."""
+    found = bpe.digests(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("d")).select("doc_id", "d.*")
