@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.llm import ann, bpe, chat, language, neardup, packing, quality
+from leadflow.llm import ann, bpe, chat, language, lm, neardup, packing, quality
 from leadflow.llm.support import QUERIES, SQL, query, table
 
 
@@ -78,3 +78,9 @@ def tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document, and their bytes, as digests."""
     found = bpe.digests(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("d")).select("doc_id", "d.*")
+
+
+@query("op6_kneser_ney")
+def kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole document under the model of the documents that are not held out."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
