@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.llm import ann, bpe, chat, language, lm, neardup, packing, quality
+from leadflow.llm import ann, bpe, chat, language, lm, neardup, packing, quality, warc
 from leadflow.llm.support import QUERIES, SQL, query, table
 
 
@@ -84,3 +84,20 @@ def tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every whole document under the model of the documents that are not held out."""
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest,
+  max(page_id) OVER (PARTITION BY html) AS last, count(*) OVER (PARTITION BY html) AS copies FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM d
+"""
+
+
+@query("op8_warc_zstd", WARC_SQL)
+def warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back from the archives."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
