@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.llm import ann, bpe, chat, language, lm, neardup, packing, quality, warc
+from leadflow.llm import ann, bpe, chat, language, licences, lm, neardup, packing, quality, warc
 from leadflow.llm.support import QUERIES, SQL, query, table
 
 
@@ -101,3 +101,16 @@ FROM d
 def warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a record and read back from the archives."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+# The documents laid out as a tree of files: a third of them below the source, a third below its language, the others one deeper.
+FILES_SQL = """SELECT CASE doc_id % 3 WHEN 0 THEN source || '/' WHEN 1 THEN source || '/' || lang || '/' ELSE source || '/' || lang || '/' || (doc_id % 50) || '/' END
+  || doc_id || '.txt' AS path, text FROM documents"""
+
+
+@query("op7_licence_scan", f"SELECT replace(regexp_extract(path, '[0-9]+[.]txt$'), '.txt', '')::BIGINT AS doc_id, * FROM ({licences.sql_twin(FILES_SQL)})")
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or that of the nearest directory above it."""
+    branch = F.expr("CASE doc_id % 3 WHEN 0 THEN concat(source, '/') WHEN 1 THEN concat(source, '/', lang, '/') ELSE concat(source, '/', lang, '/', doc_id % 50, '/') END")
+    files = table(spark, sf_dir, "documents").select(F.concat(branch, F.col("doc_id"), F.lit(".txt")).alias("path"), "text")
+    return licences.licences(files).select(F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long").alias("doc_id"), "*")
