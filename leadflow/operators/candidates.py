@@ -82,18 +82,22 @@ def change_status(cands: DataFrame, state: DataFrame, edition_date: str) -> Data
 
 def change_history(seen: DataFrame, rows_per_slice: int = 200_000) -> DataFrame:
     """Change status of every document against the one before it at the same address, in order of
-    publication day and then arrival (``lead_seq``).
+    publication day and then arrival (``lead_seq``). Documents without a day come before all dated ones,
+    because nothing shows that they are newer; documents without an id share one address. No row is lost.
 
     An address can hold a third of all documents, so it is never sorted as one group: rows are compared
     within slices of (address, day, arrival range), and the first row of a slice takes the last row of
     the slice before it."""
-    keyed = seen.withColumn("_day", F.to_date("published")).withColumn("_slice", F.floor(F.col("lead_seq") / rows_per_slice).cast("long"))
+    # Days as numbers, so that a missing one is an ordinary key.
+    day = F.coalesce(F.unix_date(F.to_date("published")), F.lit(-2**31))
+    keyed = seen.withColumn("_day", day).withColumn("_slice", F.floor(F.col("lead_seq") / rows_per_slice).cast("long"))
     inside = Window.partitionBy("id", "_day", "_slice").orderBy("lead_seq")
     rows = keyed.withColumn("_prev", F.lag(F.struct("content_hash", "title")).over(inside))
     last = keyed.groupBy("id", "_day", "_slice").agg(F.max_by(F.struct("content_hash", "title"), "lead_seq").alias("_last"))
     by_slice = Window.partitionBy("id").orderBy("_day", "_slice")
-    earlier = last.withColumn("_before", F.lag("_last").over(by_slice)).drop("_last")
-    joined = rows.join(earlier, ["id", "_day", "_slice"]).withColumn("_p", F.coalesce("_prev", "_before"))
+    earlier = last.select(*[F.col(k).alias("_of" + k) for k in ("id", "_day", "_slice")], F.lag("_last").over(by_slice).alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col("_of" + k)) for k in ("id", "_day", "_slice")]
+    joined = rows.join(earlier, same).drop("_ofid", "_of_day", "_of_slice").withColumn("_p", F.coalesce("_prev", "_before"))
     return (joined.withColumn("change", F.when(F.col("_p").isNull(), "new")
                               .when(F.col("_p.content_hash") != F.col("content_hash"), "changed").otherwise("unchanged"))
             .withColumn("previous_title", F.when(F.col("change") == "changed", F.col("_p.title")).otherwise(""))

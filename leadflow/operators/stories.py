@@ -78,6 +78,11 @@ def _blank(name) -> Column:
     return F.trim(F.coalesce(F.col(name), F.lit(""))) == ""
 
 
+def _public(url) -> Column:
+    """A missing address is not a public one."""
+    return F.coalesce(urls.is_public_url(url), F.lit(False))
+
+
 def _rows(df: DataFrame, reasons: list[Column], seq: str = "story_seq") -> DataFrame:
     """(story_seq, at, reason) of the reasons that are not null."""
     packed = F.array_compact(F.array(*reasons)).cast(REASON)
@@ -120,7 +125,7 @@ def public_sources(sources: DataFrame) -> DataFrame:
     """Usable sources, one row per (story, address): the metadata of the last entry, the place of the
     first, and how many entries there are."""
     fields = F.struct("published_at", "access", "date_precision", "relationship", "context_notes", "name")
-    return (sources.filter(urls.is_public_url("url")).groupBy("story_seq", "url")
+    return (sources.filter(_public("url")).groupBy("story_seq", "url")
             .agg(F.max_by(fields, "pos").alias("s"), F.min("pos").alias("first_pos"), F.count("*").alias("n"))
             .select("story_seq", "url", "first_pos", "n", "s.*").withColumn("ts", strict_ts("published_at")))
 
@@ -149,7 +154,7 @@ def story_reasons(placed: DataFrame, windows: DataFrame) -> DataFrame:
 
 def source_reasons(sources: DataFrame, public: DataFrame) -> DataFrame:
     """Invalid and repeated source addresses, at the place where each first shows."""
-    bad = sources.filter(~urls.is_public_url("url")).groupBy("story_seq").agg(F.min("pos").alias("pos")).select(
+    bad = sources.filter(~_public("url")).groupBy("story_seq").agg(F.min("pos").alias("pos")).select(
         "story_seq", _at(8, F.col("pos")).alias("at"), F.lit(BAD_URL).alias("reason"))
     firsts = public.filter("n > 1").select("story_seq", "url", "first_pos")
     again = (sources.select("story_seq", "url", "pos").join(firsts, ["story_seq", "url"]).filter("pos > first_pos")
@@ -222,12 +227,16 @@ def citation_check(bullets: DataFrame, public: DataFrame) -> DataFrame:
     """One row per citation of a bullet with text: its source's metadata, valid and found."""
     cites = bullets.filter(~_blank("text")).select("story_seq", "number", F.posexplode("source_urls").alias("pos", "url"))
     meta = public.select("story_seq", "url", "access", "date_precision", "ts", F.lit(True).alias("_f"))
-    return (cites.withColumn("valid", urls.is_public_url("url")).join(meta, ["story_seq", "url"], "left")
+    return (cites.withColumn("valid", _public("url")).join(meta, ["story_seq", "url"], "left")
             .withColumn("found", F.col("valid") & F.coalesce("_f", F.lit(False))).drop("_f"))
 
 
 def validate_stories(stories: DataFrame, sources: DataFrame, bullets: DataFrame, windows: DataFrame, start, as_of) -> DataFrame:
-    """Stories with reasons, in the order of the checks and each once, and status ready or hold."""
+    """Stories with reasons, in the order of the checks and each once, and status ready or hold.
+
+    A missing list of citations is an empty one: an uncited claim is held."""
+    bullets = bullets.withColumn("source_urls", F.coalesce("source_urls", F.array().cast("array<string>")))
+    stories = stories.withColumn("has_origin", F.coalesce("has_origin", F.lit(False)))
     # Four groups of checks read both tables; they are computed once and written to the shared folder.
     placed = cut_lineage(story_windows(stories, windows, start, as_of))
     public = cut_lineage(public_sources(sources))

@@ -60,7 +60,7 @@ def stream_change_status(spark, d):
     out, state, checkpoint = folders(spark)
     leads = stream_of_leads(spark, d).select("lead_seq", "id", "published", "content_hash", "title")
     intake.run_batches(leads, intake.change_batches(spark, out, state), checkpoint)
-    return spark.read.parquet(out).select("lead_seq", "change", "previous_title")
+    return intake.latest_changes(spark.read.parquet(out))
 
 
 @query("stream_daily_counts", v.with_views(v.SCANS) + "SELECT source_id, ts::DATE::VARCHAR AS day, count(*)::BIGINT AS headlines FROM scans_v GROUP BY 1, 2")

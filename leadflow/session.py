@@ -25,6 +25,9 @@ def local_session(app: str = "leadflow", cores: str = "8", memory: str = "16g")
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
+        # Small files still give every core a task where their row groups allow it.
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -65,9 +68,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input is fewer files than cores; larger inputs are left alone,
-    so this never shuffles a table that already splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

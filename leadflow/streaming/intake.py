@@ -1,12 +1,12 @@
 """Continuous intake: labels, deduplication, change detection and counts.
 
 Late and early rows are labelled by the same verdict as in batch, and none is dropped: state is kept in
-tables keyed by batch instead of behind a watermark, so a stream gives what the batch gives.
+tables by batch and bucket instead of behind a watermark, so a stream gives what the batch gives.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadflow.operators.candidates import change_history
@@ -34,18 +34,44 @@ def run_batches(stream: DataFrame, handle, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def dedup_batches(out: str, key: str = "id"):
-    """Sink that keeps the first row of each key, however late a copy arrives.
+BUCKETS = 64  # folders of the state by hash of the key; a batch reads and writes only those its keys fall into
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _earlier(session: SparkSession, path: str, batch: DataFrame, batch_id: int, schema: str) -> DataFrame:
+    """Rows of the state that earlier batches wrote into the buckets of this batch; ``batch`` has a column ``bucket``."""
+    if batch_id == 0:
+        return session.createDataFrame([], f"{schema}, batch int, bucket int")
+    touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS
+    rows = session.read.schema(f"{schema}, batch int, bucket int").option("basePath", path).parquet(path)
+    return rows.filter((F.col("batch") < batch_id) & F.col("bucket").isin(touched))
+
+
+def _write_batch(rows: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
+    """Each batch has its own folder, which a retry replaces; a batch without rows leaves an empty one."""
+    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch={batch_id}")
+
+
+def dedup_batches(out: str, key: str = "id", order: str | None = None):
+    """Sink that keeps the first row of each key, however late a copy arrives: the first batch that holds the
+    key decides, and within a batch the row with the smallest ``order`` (the smallest row, if none is given).
 
     A watermark would drop late rows, so the keys already written are the state: a batch is compared with
-    the keys of all earlier batches, and a retried batch sees the same ones and replaces its own folder."""
+    the keys of earlier batches in the buckets it touches, and a retried batch sees the same ones and
+    replaces its own folder. Rows without a key are one key."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        first = batch.dropDuplicates([key])
-        if batch_id > 0:
-            seen = batch.sparkSession.read.parquet(out).filter(F.col("batch") < batch_id).select(key)
-            first = first.join(seen, key, "left_anti")
-        first.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        names = batch.columns
+        whole = F.struct(*[F.col(c) for c in names])
+        first = batch.groupBy(key).agg(F.min(F.struct(F.col(order or key).alias("o"), whole.alias("r"))).alias("f")).select(*[F.col(f"f.r.{c}").alias(c) for c in names])
+        first = first.withColumn("bucket", _bucket(key))
+        kind = dict(batch.dtypes)[key]
+        seen = _earlier(batch.sparkSession, out, first, batch_id, f"{key} {kind}").select(F.col(key).alias("_seen"))
+        fresh = first.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
+        _write_batch(fresh, out, batch_id, "bucket")
 
     return handle
 
@@ -66,25 +92,34 @@ def daily_counts(written: DataFrame) -> DataFrame:
 
 
 def change_batches(spark: SparkSession, out: str, state: str):
-    """Sink that marks every document new, changed or unchanged against the last one at its address.
-
-    The state is a table keyed by id: each batch is compared within itself and with the snapshot of the
-    batch before it, by the same distributed comparison as in batch. No address is held by one Python
-    worker, and a retried batch reads the same snapshot and writes the same folders."""
+    """Sink that marks every document new, changed or unchanged against the one before it at its address, in
+    order of publication day and sequence, as the batch operator does for all documents at once.
+
+    The state holds the documents seen, narrow and bucketed by address. A batch is compared with the
+    documents of its own addresses; where a late document comes before one already marked, the mark of that one is
+    written again. ``latest_changes`` reads the last mark of each document, so the result does not depend on
+    the order of arrival. No address is held by one Python worker, and a retried batch reads the same state
+    and replaces its own folders."""
     columns = ("lead_seq", "id", "published", "content_hash", "title")
     schema = "lead_seq bigint, id string, published timestamp, content_hash string, title string"
+    marks = "lead_seq bigint, id string, change string, previous_title string"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        before = session.createDataFrame([], schema) if batch_id == 0 else session.read.parquet(f"{state}/version={batch_id - 1}")
-        # The remembered document precedes every row of the batch.
-        seeds = before.select(F.lit(-1).cast("long").alias("lead_seq"), "id", F.lit("1970-01-01").cast("timestamp").alias("published"), "content_hash", "title")
-        rows = batch.select(*columns)
-        marked = change_history(seeds.unionByName(rows)).filter("lead_seq >= 0")
-        marked.select("lead_seq", "id", "change", "previous_title").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        last = rows.groupBy("id").agg(F.max_by(F.struct("lead_seq", "published", "content_hash", "title"), F.struct(F.to_date("published"), "lead_seq")).alias("n"))
-        after = before.join(last, "id", "full").select(
-            "id", *[F.coalesce(F.col(f"n.{c}"), F.col(c)).alias(c) for c in ("lead_seq", "published", "content_hash", "title")])
-        after.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        rows = batch.select(*columns).withColumn("bucket", _bucket("id"))
+        ids = rows.select(F.col("id").alias("_id")).distinct()
+        same = F.col("id").eqNullSafe(F.col("_id"))
+        before = _earlier(session, state, rows, batch_id, schema).select(*columns).join(ids, same, "left_semi")
+        marked = change_history(before.unionByName(rows.select(*columns))).select("lead_seq", "id", "change", "previous_title")
+        given = latest_changes(_earlier(session, out, rows, batch_id, marks)).select(F.col("lead_seq").alias("_seq"), F.struct("change", "previous_title").alias("_mark"))
+        news = marked.join(given, F.col("lead_seq") == F.col("_seq"), "left").filter(~F.struct("change", "previous_title").eqNullSafe(F.col("_mark")))
+        _write_batch(news.select("lead_seq", "id", "change", "previous_title").withColumn("bucket", _bucket("id")), out, batch_id, "bucket")
+        _write_batch(rows, state, batch_id, "bucket")
 
     return handle
+
+
+def latest_changes(written: DataFrame) -> DataFrame:
+    """The mark of each document that the latest batch gave."""
+    last = F.max_by(F.struct("change", "previous_title"), "batch").alias("m")
+    return written.groupBy("lead_seq").agg(last).select("lead_seq", "m.change", "m.previous_title")

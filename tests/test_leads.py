@@ -157,3 +157,10 @@ def test_priority_sources_need_a_name(spark):
 def test_candidate_tickers(one):
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
     assert one(c.candidate_tickers(arr("b", "a"), arr("a", "c"), arr("c", "a"))) == ["a", "c"]
+
+
+def test_rank_rows_keeps_rows_without_score_or_group(spark):
+    rows = [(1, "s", 5), (2, "s", None), (3, None, 5), (4, None, None), (5, "s", 9), (6, "s", None)]
+    df = spark.createDataFrame(rows, "seq long, source_id string, score int")
+    got = {r["seq"]: r["rank"] for r in rank_rows(df, ["source_id"], "score", "seq", rows_per_slice=2).collect()}
+    assert got == {5: 1, 1: 2, 2: 3, 6: 4, 3: 1, 4: 2}

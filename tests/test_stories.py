@@ -114,3 +114,12 @@ def test_review_notes(spark):
     df = spark.createDataFrame([("restricted", "ja-JP", None, "missing", ["f", "f"]), ("readable", "en", "2026", "time", [])], "access_status string, language string, published string, date_precision string, flags array<string>")
     got = [r[0] for r in df.select(st.review_notes()).collect()]
     assert got[0] == [st.ACCESS_NOTES["restricted"], "Original language: ja-jp — English summary needed.", st.DATE_NOTE, "f"] and got[1] == []
+
+
+def test_missing_values_hold_the_story(spark):
+    assert validate(spark, bullets=[dict(text="x", source_urls=None)]) == [st.ORIGIN_UNCITED, "Bullet 1" + st.BULLET_NO_SOURCE]
+    assert validate(spark, bullets=[dict(text="x", source_urls=[A, None])]) == ["Bullet 1" + st.BULLET_BAD_URL]
+    assert validate(spark, dict(has_origin=None)) == [st.NO_ORIGIN]
+    assert st.BAD_URL in validate(spark, sources=[dict(), dict(url=None)])
+    nulls = dict.fromkeys(("id", "company", "headline", "review_status", "novelty", "category", "origin_status", "origin_kind"))
+    assert len(validate(spark, nulls)) == len(nulls)

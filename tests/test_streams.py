@@ -19,7 +19,7 @@ def test_change_batches_equal_batch(spark, tmp_path):
         docs.filter((F.col("lead_seq") >= part * 100) & (F.col("lead_seq") < part * 100 + 100)).coalesce(1).write.mode("append").parquet(str(src))
         stream = intake.read_stream(spark, str(src), docs.schema, files_per_batch=1)
         intake.run_batches(stream, intake.change_batches(spark, str(tmp_path / "out"), str(tmp_path / "state")), str(tmp_path / "cp"))
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("lead_seq", "change", "previous_title").collect()}
+    got = {tuple(r) for r in intake.latest_changes(spark.read.parquet(str(tmp_path / "out"))).collect()}
     want = {tuple(r) for r in change_history(docs).select("lead_seq", "change", "previous_title").collect()}
     assert got == want and len(want) == 300
 
@@ -50,3 +50,33 @@ def test_counts_and_dedup_over_several_files(spark, tmp_path):
     intake.run_batches(read().select("id", "published"), intake.dedup_batches(str(tmp_path / "ids")), str(tmp_path / "cp2"))
     ids = [r["id"] for r in spark.read.parquet(str(tmp_path / "ids")).collect()]
     assert sorted(ids) == sorted({r["id"] for r in docs.select("id").distinct().collect()})
+
+
+def test_late_rows_nulls_and_shuffled_arrival_equal_batch(spark, tmp_path):
+    """Arrival in reverse and mixed order, undated documents, negative sequences, days before 1970, no id."""
+    docs = documents(spark).select((F.col("lead_seq") - 50).alias("lead_seq"), F.when(F.col("lead_seq") % 11 > 0, F.col("id")).alias("id"),
+                                   F.when(F.col("lead_seq") % 7 > 0, F.col("published") - F.expr("make_dt_interval(lead_seq * 300)")).alias("published"), "content_hash", "title")
+    src = tmp_path / "src"
+    for part in (3, 0, 2, 1):
+        docs.filter(F.pmod("lead_seq", F.lit(4)) == part).coalesce(1).write.mode("append").parquet(str(src))
+        stream = intake.read_stream(spark, str(src), docs.schema, files_per_batch=1)
+        intake.run_batches(stream, intake.change_batches(spark, str(tmp_path / "out"), str(tmp_path / "state")), str(tmp_path / "cp"))
+    got = {tuple(r) for r in intake.latest_changes(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    want = {tuple(r) for r in change_history(docs).select("lead_seq", "change", "previous_title").collect()}
+    assert got == want and len(want) == 300
+
+
+def test_change_history_keeps_undated_documents(spark):
+    rows = [(1, "a", None, "h1", "t1"), (2, "a", "2024-01-05", "h2", "t2"), (3, "a", None, "h1", "t3"), (4, None, "2024-01-01", "x", "y"), (5, None, None, "x", "y")]
+    docs = spark.createDataFrame(rows, "lead_seq long, id string, p string, content_hash string, title string").withColumn("published", F.col("p").cast("timestamp")).drop("p")
+    got = {r["lead_seq"]: (r["change"], r["previous_title"]) for r in change_history(docs).collect()}
+    assert got == {1: ("new", ""), 3: ("unchanged", ""), 2: ("changed", "t3"), 5: ("new", ""), 4: ("unchanged", "")}
+
+
+def test_the_first_copy_stays(spark, tmp_path):
+    rows = [(3, "k", "c"), (1, "k", "a"), (2, "k", "b"), (9, None, "n"), (8, None, "m")]
+    docs = spark.createDataFrame(rows, "lead_seq long, id string, body string")
+    handle = intake.dedup_batches(str(tmp_path / "ids"), order="lead_seq")
+    handle(docs, 0)
+    handle(spark.createDataFrame([(0, "k", "late"), (4, "new", "z")], docs.schema), 1)
+    assert {r["body"] for r in spark.read.parquet(str(tmp_path / "ids")).collect()} == {"a", "m", "z"}
