@@ -87,7 +87,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     asked = queries.count()
     shards, blocks = max(1, -(-size // SHARD_ROWS)), max(1, -(-asked // QUERY_ROWS))
     sample = [r["vector"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
-    centres = _lifted(np.array(sample, dtype=np.float64).reshape(len(sample), -1), longest)
+    if not sample:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    centres = _lifted(np.array(sample, dtype=np.float64), longest)
     centres /= max(longest, 1e-300)
     index = written(build(vectors, centres, longest, shards), "postings")
 

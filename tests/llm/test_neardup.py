@@ -90,7 +90,7 @@ def test_nulls_empty_short_repeated_and_long(documents):
 
 
 def test_large_buckets_lose_no_link(documents, monkeypatch):
-    """With tiny buckets every bucket goes the way of rare words; the classes stay."""
+    """Whether buckets are settled by stars, pairs or rare words, the classes are the same."""
     r, rows = random.Random(4), []
     passage = text(r, 80)
     rows += [passage + text(r, 12) for _ in range(12)]
@@ -101,6 +101,8 @@ def test_large_buckets_lose_no_link(documents, monkeypatch):
     want = classes(docs)
     monkeypatch.setattr(neardup, "SMALL", 1)
     assert classes(docs) == want
+    monkeypatch.setattr(neardup, "STARS", 0)
+    assert classes(docs) == want
     assert len({want[k] for k in range(20, 32)}) == 1 and [want[k] for k in range(20)] == [0] * 12 + list(range(12, 20))
 
 
@@ -113,6 +115,17 @@ def test_components_of_chains_and_stars(llm):
     assert out == {k: 0 for k in range(301)} | {1000 + k: 1000 for k in range(50)} | {2000: 2000, 2001: 2000}
 
 
+def test_far_texts_are_similar_to_none_linked_to_the_hub():
+    """The triangle inequality that spares comparisons, on random triples of short texts."""
+    r = random.Random(6)
+    for _ in range(2000):
+        hub = [r.randrange(3) for _ in range(r.randrange(5, 12))]
+        near, other = (([x for x in hub if r.random() > 0.2] + [r.randrange(3)])[: r.randrange(4, 14)] for _ in range(2))
+        similar = lambda a, b: distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+        if similar(hub, near) and distance(hub, other) > neardup._reach(len(hub), len(other)) + 1e-9:
+            assert not similar(near, other)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_nothing_to_compare(documents, rows):
     assert classes(documents(rows)) == {r[0]: r[0] for r in rows}
