@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from functools import lru_cache
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,10 +18,8 @@ SPACE_CLASS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 CJK_CLASS = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]"
 KANA_CLASS = r"[\x{3040}-\x{30ff}]"
 
-# Block tags whose content is never visible text, and the entities pages use.
+# Block tags whose content is never visible text.
 HIDDEN_TAGS = ("script", "style", "nav", "header", "footer", "noscript")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
 EXCERPT_WORDS = 25
 MEANINGFUL_CHARS = 45
@@ -72,12 +73,39 @@ def nfkc(value) -> Column:
     return F.coalesce(_nfkc_batch(F.when(~text.rlike(NORMAL_TEXT), text)), text)
 
 
+REFERENCE = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+@lru_cache(maxsize=1)
+def _named() -> str:
+    """Names of character references and their text, as the standard lists them, in JSON."""
+    return json.dumps({name: value for name, value in html5.items() if name.endswith(";")})
+
+
+@lru_cache(maxsize=1)
+def _legacy() -> str:
+    """Numbers 128 to 159 are read as Windows-1252, as browsers do."""
+    return json.dumps({str(n): bytes([n]).decode("cp1252", "replace") for n in range(128, 160)})
+
+
+def _referred(reference: Column) -> Column:
+    """Text of one character reference; an unknown name stays as it is, a number that is no character becomes U+FFFD."""
+    name = F.substr(reference, F.lit(2))
+    hexadecimal = F.conv(F.regexp_extract(reference, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10)
+    number = F.coalesce(F.nullif(F.regexp_extract(reference, "^&#([0-9]+);", 1), F.lit("")), hexadecimal).try_cast("bigint")
+    usable = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    old = F.try_element_at(F.from_json(F.lit(_legacy()), "map<string,string>"), number.cast("string"))
+    by_name = F.coalesce(F.try_element_at(F.from_json(F.lit(_named()), "map<string,string>"), name), reference)
+    return F.when(number.isNull(), by_name).when(usable, F.coalesce(old, char)).otherwise("\ufffd")
+
+
 def unescape(value) -> Column:
-    """Replace the entities of ENTITIES; the ampersand last so nothing is decoded twice."""
+    """Replace named and numeric character references, each once; a reference needs its semicolon."""
     out = _col(value)
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    found = F.transform(F.regexp_extract_all(out, F.lit(REFERENCE), F.lit(0)), _referred)
+    joined = F.array_join(F.zip_with(F.split(out, REFERENCE), found, lambda piece, char: F.concat(piece, F.coalesce(char, F.lit("")))), "")
+    return F.when(F.contains(out, F.lit("&")), joined).otherwise(out)
 
 
 def html_to_text(value) -> Column:
@@ -154,11 +182,11 @@ def clamp_num(value, default, low, high, integer: bool = False) -> Column:
     return F.when(bad, F.lit(float(default))).otherwise(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), kept)))
 
 
-def story_anchor(identity) -> Column:
+def story_anchor(identity, prefix: str = "mn-story-") -> Column:
     """Readable, unique anchor of a story."""
     text = _col(identity)
     slug = F.substring(F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_-]+", "-"), "^-+|-+$", ""), 1, 45)
-    return F.concat(F.lit("mn-story-"), F.when(slug == "", "item").otherwise(slug), F.lit("-"),
+    return F.concat(F.lit(prefix), F.when(slug == "", "item").otherwise(slug), F.lit("-"),
                     F.substring(F.sha2(text, 256), 1, 10))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from leadflow.functions.dates import iso
 from leadflow.plans import views as v
 from leadflow.plans.registry import query
-from leadflow.plans.texts import VISIBLE_SQL
+from leadflow.plans.texts import ENTITIES, VISIBLE_SQL
 from leadflow.plans.times import iso_sql
 from leadflow.sources import articles as ar
 from leadflow.sources import markup as mk
@@ -161,8 +161,6 @@ def jsonp_leads(spark, d):
 
 def plain_sql(expr):
     out = f"regexp_replace({expr}, '(?s)<[^>]*>', ' ', 'g')"
-    from leadflow.functions.text import ENTITIES
-
     for entity, char in ENTITIES:
         out = f"""replace({out}, '{entity}', '{char.replace("'", "''")}')"""
     return v.sql_clean(out)
@@ -188,7 +186,7 @@ def page_paragraphs(spark, d):
 
 @query("doc_paragraphs", v.with_views(PIECES) + f"""
 SELECT g.page_id, {plain_sql("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")} AS title, md5(coalesce(t.text, g.whole)) AS text_md5
-FROM (SELECT page_id, html, {v.sql_clean(VISIBLE_SQL)} AS whole FROM pages) g LEFT JOIN (SELECT page_id, string_agg(p, chr(10) ORDER BY pos) AS text FROM paragraphs_v WHERE length(p) >= 35 GROUP BY 1) t USING (page_id)""")
+FROM (SELECT page_id, html, {v.sql_clean(VISIBLE_SQL.replace("(html,", "(" + ARTICLE_SQL + ",", 1))} AS whole FROM pages) g LEFT JOIN (SELECT page_id, string_agg(p, chr(10) ORDER BY pos) AS text FROM paragraphs_v WHERE length(p) >= 35 GROUP BY 1) t USING (page_id)""")
 def doc_paragraphs(spark, d):
     doc = pages(spark, d).withColumn("x", ar.extract_document("html"))
     return doc.select("page_id", "x.title", F.md5("x.text").alias("text_md5"))

