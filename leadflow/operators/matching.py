@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from leadflow.functions.text import CJK_CLASS, _col, clean
 from leadflow.operators.windows import market_code, ticker_market
 from leadflow.rules import TOPIC_NAMES, TOPIC_PATTERN
+from leadflow.session import written_table
 
 MIN_TERM_CHARS = 3
 # Letters, digits and the underscore make words; everything else separates them.
 WORD, GAP = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 PIECES = f"{WORD}+|{GAP}+"
-# Words of a name that take part in the join key; longer names are checked against the text.
+# Words of the runs by which names and texts meet; of a longer name its rarest run counts.
 KEY_WORDS = 2
 KEY_CHARS = 3
 # Marks the three-character keys, so that they never equal a word.
 CJK_MARK = "\u0001"
-# Names up to this many are looked up by broadcast; a larger table joins by shuffle.
-MAX_BROADCAST_TERMS = 500_000
 
 
 def watch_terms(watchlist: DataFrame) -> DataFrame:
@@ -29,33 +28,39 @@ def watch_terms(watchlist: DataFrame) -> DataFrame:
             .filter(F.char_length("term") >= MIN_TERM_CHARS).distinct())
 
 
+def _word_runs(low: Column, words: int) -> Column:
+    """All runs of so many words with the separators between them; look-ahead lets them overlap."""
+    return F.regexp_extract_all(low, F.lit(f"(?<!{WORD})(?=({WORD}++" + f"{GAP}++{WORD}++" * (words - 1) + "))"), F.lit(1))
+
+
+def _cjk_runs(low: Column) -> Column:
+    """Marked three-character runs that hold a Japanese or Chinese character."""
+    chars = F.filter(F.regexp_extract_all(low, F.lit("(?s)(?=(" + "." * KEY_CHARS + "))"), F.lit(1)), lambda k: k.rlike(CJK_CLASS))
+    return F.transform(chars, lambda k: F.concat(F.lit(CJK_MARK), k))
+
+
 def _keyed_terms(terms: DataFrame) -> DataFrame:
-    """Join key of each term and whether equality of keys already proves the match."""
+    """Join key of each term and whether equality of keys already proves the match.
+
+    The key is the run of two words (or the one word, or the three characters) of the name that the
+    fewest names share, so that names with a common beginning do not meet in one key."""
     low = F.lower("term")
-    pieces = F.regexp_extract_all(low, F.lit(PIECES), F.lit(0))
-    is_word = lambda p: p.rlike("^" + WORD)
-    # Pieces alternate between words and separators.
-    first = F.when(is_word(F.element_at(pieces, 1)), 1).otherwise(2)
-    last = F.when(is_word(F.element_at(pieces, -1)), F.size(pieces)).otherwise(F.size(pieces) - 1)
-    key_last = F.least(last, first + 2 * (KEY_WORDS - 1))
     cjk = F.col("term").rlike(CJK_CLASS)
-    start = F.greatest(F.lit(1), F.least(F.regexp_instr(low, F.lit(CJK_CLASS)), F.char_length(low) - (KEY_CHARS - 1)))
-    word_key = F.array_join(F.slice(pieces, first, F.greatest(key_last - first + 1, F.lit(0))), "")
-    return (terms.withColumn("is_cjk", cjk)
-            .withColumn("key", F.when(cjk, F.concat(F.lit(CJK_MARK), low.substr(start, F.lit(KEY_CHARS)))).otherwise(word_key))
-            .withColumn("exact", ~cjk & (word_key == low)))
+    runs = _word_runs(low, KEY_WORDS)
+    keys = F.when(cjk, _cjk_runs(low)).when(F.size(runs) > 0, runs).otherwise(F.array(F.regexp_extract(low, f"{WORD}+", 0)))
+    every = terms.select("ticker", "term", cjk.alias("is_cjk"), F.posexplode(keys).alias("pos", "key"))
+    shared = every.groupBy("key").agg(F.count_distinct("term").alias("names"))
+    rarest = every.join(shared, "key").groupBy("ticker", "term", "is_cjk").agg(F.min(F.struct("names", "pos", "key")).alias("k"))
+    return rarest.select("ticker", "term", "is_cjk", F.col("k.key").alias("key"), (~F.col("is_cjk") & (F.col("k.key") == low)).alias("exact"))
 
 
 def _text_keys(leads: DataFrame, text: Column) -> DataFrame:
     """Distinct (lead_seq, key): runs of one to KEY_WORDS words with the separators between them, and
     three-character runs of texts in Japanese or Chinese script. Each kind is one linear pass over the
-    text; longer runs are taken by look-ahead so that they overlap."""
+    text."""
     low = F.col("_low")
-    runs = [F.regexp_extract_all(low, F.lit(f"({WORD}+)"), F.lit(1))]
-    for n in range(2, KEY_WORDS + 1):
-        runs.append(F.regexp_extract_all(low, F.lit(f"(?<!{WORD})(?=({WORD}++" + f"{GAP}++{WORD}++" * (n - 1) + "))"), F.lit(1)))
-    chars = F.filter(F.regexp_extract_all(low, F.lit("(?s)(?=(" + "." * KEY_CHARS + "))"), F.lit(1)), lambda k: k.rlike(CJK_CLASS))
-    cjk = F.when(low.rlike(CJK_CLASS), F.transform(chars, lambda k: F.concat(F.lit(CJK_MARK), k))).otherwise(F.array().cast("array<string>"))
+    runs = [F.regexp_extract_all(low, F.lit(f"({WORD}+)"), F.lit(1)), _word_runs(low, KEY_WORDS)]
+    cjk = F.when(low.rlike(CJK_CLASS), _cjk_runs(low)).otherwise(F.array().cast("array<string>"))
     return (leads.select("lead_seq", F.lower(text).alias("_low"))
             .select("lead_seq", F.explode(F.array_distinct(F.concat(*runs, cjk))).alias("key")))
 
@@ -70,12 +75,10 @@ def match_terms(leads: DataFrame, watchlist: DataFrame, text: Column | None = No
     substrings."""
     body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))) if text is None else text
     terms = _keyed_terms(watch_terms(watchlist))
-    # Two numbers about the name table decide the plan: whether it may be broadcast, so that the word
-    # runs are looked up where they are read, and whether any name needs a second look at the text.
-    size = terms.agg(F.count("*").alias("n"), F.count_if(~F.col("exact")).alias("open")).first()
-    table = F.broadcast(terms) if size["n"] <= MAX_BROADCAST_TERMS else terms
-    met = _text_keys(leads, body).join(table, "key")
-    if size["open"] == 0:
+    # The name table is written, so that the planner knows its size when it chooses the join.
+    terms = written_table(terms, "terms")
+    met = _text_keys(leads, body).join(terms, "key")
+    if terms.filter("NOT exact").isEmpty():
         return met.select("lead_seq", "ticker").distinct()
     proven = met.filter("exact").select("lead_seq", "ticker")
     open_pairs = met.filter("NOT exact").select("lead_seq", "ticker", "term", "is_cjk").distinct()

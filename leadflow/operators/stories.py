@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from leadflow.functions import urls
 from leadflow.functions.dates import DESK_ZONE, iso, strict_ts
 from leadflow.functions.text import language_label
-from leadflow.operators.windows import infer_markets, market_code, windows_map
+from leadflow.operators.windows import MAX_MARKETS, infer_markets, market_code, windows_map
 from leadflow.rules import SECTIONS
-from leadflow.session import cut_lineage
+from leadflow.session import bounded_rows, cut_lineage
 
 TOP_STORIES = 2
 ORIGIN_KINDS = ("exchange", "issuer", "regulator", "original_reporting")
@@ -136,7 +136,7 @@ def _outside(ts) -> Column:
 
 def story_reasons(placed: DataFrame, windows: DataFrame) -> DataFrame:
     """Reasons of the story's own fields."""
-    table = {r["market"]: r["status"] for r in windows.select("market", "status").collect()}
+    table = {r["market"]: r["status"] for r in bounded_rows(windows.select("market", "status"), MAX_MARKETS, "the window table")}
     statuses = F.create_map(*[F.lit(x) for pair in table.items() for x in pair]) if table else F.create_map().cast("map<string,string>")
     wording = F.create_map(*[F.lit(x) for pair in WINDOW_STATES.items() for x in pair])
     state = F.transform("markets", lambda m, i: F.struct(_at(1, i).alias("at"), F.concat(m, F.try_element_at(wording, F.try_element_at(statuses, m))).alias("reason")))

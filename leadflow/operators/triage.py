@@ -22,12 +22,29 @@ def _regex(pattern: str) -> str:
     return "(?iU)" + pattern
 
 
+ADDED = ("attention_score", "attention_reasons", "event_type", "category", "market_relevant")
+
+
 def triage(leads: DataFrame, rules: RuleSet = DEFAULT_RULES, matched: str = "tickers") -> DataFrame:
-    """Add attention_score, attention_reasons, event_type, category and market_relevant.
+    """Add attention_score, attention_reasons, event_type, category and market_relevant to leads that
+    carry their matched names."""
+    return with_name_bonus(score_texts(leads, rules), matched)
+
+
+def with_name_bonus(scored: DataFrame, matched: str = "tickers") -> DataFrame:
+    """A name match adds eight whether or not there is an event."""
+    named = F.size(F.coalesce(F.col(matched), F.array().cast("array<string>"))) > 0
+    score = F.least(F.lit(MAX_SCORE), F.col("attention_score") + F.when(named, PRIORITY_BONUS).otherwise(0))
+    reasons = F.when(named, F.concat("attention_reasons", F.array(F.lit(PRIORITY_REASON)))).otherwise(F.col("attention_reasons"))
+    return scored.withColumns({"attention_score": score, "attention_reasons": reasons})
+
+
+def score_texts(leads: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """Scores without names: the texts need not travel to the join that brings the names.
 
     All rules run in one projection over the row's own text: no join and no shuffle. A headline
     signal counts its full score, a body signal eight less; the best three signals are the
-    reasons. A name match adds eight whether or not there is an event."""
+    reasons."""
     base = leads.withColumn("_h", clean(nfkc(F.coalesce("title", F.lit(""))))).withColumn("_b", clean(nfkc(F.coalesce("text", F.lit("")))))
     base = base.withColumn("_all", F.trim(F.concat_ws(" ", "_h", "_b")))
     business = F.col("_all").rlike(_regex(rules.business))
@@ -58,14 +75,9 @@ def triage(leads: DataFrame, rules: RuleSet = DEFAULT_RULES, matched: str = "tic
         .when(F.col("_all").rlike(_regex(rules.macro)), fallback(MACRO_SCORE, "Macro/markets", MACRO_REASON, True))
         .when(business, fallback(BUSINESS_SCORE, "General business", BUSINESS_REASON, True))
         .otherwise(fallback(0, "Other", NO_REASON, False)))
-    named = F.size(F.coalesce(F.col(matched), F.array().cast("array<string>"))) > 0
-    added = ("attention_score", "attention_reasons", "event_type", "category", "market_relevant")
     return scored.select(
-        *[c for c in leads.columns if c not in added],
-        F.least(F.lit(MAX_SCORE), F.col("_t.score") + F.when(named, PRIORITY_BONUS).otherwise(0)).alias("attention_score"),
-        F.when(named, F.concat("_t.reasons", F.array(F.lit(PRIORITY_REASON)))).otherwise(F.col("_t.reasons")).alias("attention_reasons"),
-        F.col("_t.event_type").alias("event_type"), F.col("_t.category").alias("category"),
-        F.col("_t.relevant").alias("market_relevant"))
+        *[c for c in leads.columns if c not in ADDED], F.col("_t.score").alias("attention_score"), F.col("_t.reasons").alias("attention_reasons"),
+        F.col("_t.event_type").alias("event_type"), F.col("_t.category").alias("category"), F.col("_t.relevant").alias("market_relevant"))
 
 
 def event_label(text, labels=EVENT_LABELS) -> Column:

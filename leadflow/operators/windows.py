@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from leadflow.functions.dates import AFTERNOON_BOUNDARY, AFTERNOON_FLOOR, DESK_ZONE, edition_kind, window_verdict
 from leadflow.functions.text import _col
 from leadflow.rules import MARKET_ALIASES, SESSION_HORIZON_DAYS
+from leadflow.session import bounded_rows
+
+MAX_MARKETS = 500  # rows of a market table that may be read on the driver
 
 
 def market_code(value) -> Column:
@@ -25,8 +28,8 @@ def ticker_market(ticker) -> Column:
 
 
 def for_each_row(df: DataFrame, small: DataFrame, name: str) -> DataFrame:
-    """Every row of ``df`` once per row of a small dimension (tens of rows, read on the driver)."""
-    rows = [F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in small.dtypes]) for r in small.collect()]
+    """Every row of ``df`` once per row of a small dimension, read on the driver (at most MAX_MARKETS rows)."""
+    rows = [F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in small.dtypes]) for r in bounded_rows(small, MAX_MARKETS, "the dimension")]
     return df.withColumn(name, F.explode(F.array(*rows)))
 
 
@@ -111,8 +114,8 @@ def infer_markets(market, exchange_tickers, tickers, matched, source_tickers, au
 def windows_map(windows: DataFrame) -> Column:
     """The windows of one edition as a literal map: market -> (start, active, inclusive).
 
-    There is one row per market (15 in the default table), so they are read on the driver."""
-    rows = windows.select("market", F.unix_micros("window_start").alias("start"), "status", "start_inclusive").collect()
+    There is one row per market (15 in the default table, at most MAX_MARKETS), so they are read on the driver."""
+    rows = bounded_rows(windows.select("market", F.unix_micros("window_start").alias("start"), "status", "start_inclusive"), MAX_MARKETS, "the window table")
     if not rows:
         return F.create_map().cast("map<string,struct<start:timestamp,active:boolean,inclusive:boolean>>")
     pairs = []

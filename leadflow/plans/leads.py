@@ -112,11 +112,12 @@ def merge_article(spark, d):
     return merged.select("lead_seq", "title", "access_status", "published", "date_origin")
 
 
-BODY_MATCHES = r"""body_matches_v AS MATERIALIZED (
-  SELECT DISTINCT k.lead_seq, t.ticker FROM (SELECT DISTINCT lead_seq, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM leads_v) k
-  JOIN watch_terms_v t ON t.term = k.token
-  UNION SELECT l.lead_seq, t.ticker FROM leads_v l, watch_terms_v t
-  WHERE regexp_matches(t.term, '[^\p{L}\p{N}_]') AND contains(lower(l.text), lower(t.term))),
+BODY_MATCHES = r"""body_tokens_v AS MATERIALIZED (
+  SELECT DISTINCT lead_seq, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM leads_v),
+body_matches_v AS MATERIALIZED (
+  SELECT DISTINCT k.lead_seq, t.ticker FROM body_tokens_v k JOIN watch_terms_v t ON t.term = k.token
+  UNION SELECT l.lead_seq, t.ticker FROM phrases_v t JOIN body_tokens_v k ON k.token = t.head JOIN leads_v l USING (lead_seq)
+  WHERE contains(lower(l.text), t.term)),
 discovery_v AS MATERIALIZED (
   SELECT lead_seq, list(ticker ORDER BY ticker) AS discovery_only FROM (SELECT * FROM matches_v EXCEPT SELECT * FROM body_matches_v) GROUP BY lead_seq)"""
 

@@ -58,7 +58,11 @@ def named_leads(spark, d):
 
 
 def scored_leads(spark, d):
-    return t.triage(named_leads(spark, d), stand_in_rules(v.top_words(spark, d, 20)))
+    """Leads without their texts, which are scored and matched where they are read."""
+    scored = t.score_texts(v.leads(spark, d), stand_in_rules(v.top_words(spark, d, 20))).drop("title", "text")
+    found = m.match_terms(v.leads(spark, d), v.watchlist(spark, d)).groupBy("lead_seq").agg(F.array_sort(F.collect_list("ticker")).alias("tickers"))
+    named = scored.join(found, "lead_seq", "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>")))
+    return t.with_name_bonus(named)
 
 
 @query("watch_matches", v.with_views(v.LEADS, v.WATCHLIST, v.MATCHES) + "SELECT lead_seq, ticker FROM matches_v")

@@ -128,11 +128,13 @@ RULE_WORDS = """rule_words_v AS MATERIALIZED (
 # and underscore are word characters.
 MATCHES = r"""tokens_v AS MATERIALIZED (
   SELECT DISTINCT lead_seq, unnest(regexp_extract_all(lower(title || ' ' || text), '[\p{L}\p{N}_]+')) AS token FROM leads_v),
+phrases_v AS MATERIALIZED (
+  SELECT DISTINCT ticker, lower(term) AS term, regexp_extract(lower(term), '[\p{L}\p{N}_]+') AS head FROM watch_terms_v WHERE regexp_matches(term, '[^\p{L}\p{N}_]')),
 matches_v AS MATERIALIZED (
   SELECT DISTINCT k.lead_seq, t.ticker FROM tokens_v k JOIN watch_terms_v t ON t.term = k.token
   UNION
-  SELECT l.lead_seq, t.ticker FROM leads_v l, watch_terms_v t
-  WHERE regexp_matches(t.term, '[^\p{L}\p{N}_]') AND contains(lower(l.title || ' ' || l.text), lower(t.term)))"""
+  SELECT l.lead_seq, t.ticker FROM phrases_v t JOIN tokens_v k ON k.token = t.head JOIN leads_v l USING (lead_seq)
+  WHERE contains(lower(l.title || ' ' || l.text), t.term))"""
 
 
 def editions(spark: SparkSession, sf_dir: str) -> DataFrame:

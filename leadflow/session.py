@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +69,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read by column; the planner knows its size when it chooses a join."""
+    path = f"{shared_folder(df.sparkSession)}/leadflow/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
+    """Rows of a small dimension on the driver; more than ``limit`` of them are an error."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{what} has more than {limit} rows")
+    return rows

@@ -27,10 +27,25 @@ def reference_matches(text, names):
     return False
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
-def test_match_terms_equals_brute_force(spark, monkeypatch, limit):
+@pytest.fixture(params=["10m", "-1"])
+def broadcast(spark, request):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_names_with_a_common_beginning_meet_in_no_key(spark):
+    """Ten thousand names share "bank of"; texts meet as many names as they hold, not all of them."""
+    watch = spark.range(10_000).selectExpr("concat(id, ' US') AS ticker", "concat('Bank of Town', id, ' Holdings') AS name", "CAST(NULL AS array<string>) AS aliases")
+    keys = m._keyed_terms(m.watch_terms(watch))
+    assert keys.groupBy("key").count().agg(F.max("count")).first()[0] == 1
+    leads = spark.createDataFrame([(i, f"The Bank of Town{i} Holdings and the Bank of Nowhere", "") for i in range(50)], LEADS)
+    assert {tuple(r) for r in m.match_terms(leads, watch).collect()} == {(i, f"{i} US") for i in range(50)}
+
+
+def test_match_terms_equals_brute_force(spark, broadcast):
     """With and without broadcasting the names."""
-    monkeypatch.setattr(m, "MAX_BROADCAST_TERMS", limit)
     rnd = random.Random(7)
     words = ["Example", "Acquirer", "financing", "Acquirered", "AB", "Yahoo!", "M&A", "é", "Été", "1234", "JP", "買収", "東京電力", "東京", "TOB", "(ABC)", "one", "two", "three", "four", "\n", "Q\\E"]
     firms = [("1234 JP", "Example Acquirer", ["AB"]), ("9 US", "Yahoo!", ["(ABC)"]), ("7 HK", "東京電力", ["TOB買収"]), ("5 AU", "one two three four", ["Été"]), ("3 NZ", "M&A", []), ("2 KR", "Q\\E", ["zz"])]
