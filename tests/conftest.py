@@ -10,7 +10,9 @@ from leadflow.session import local_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("tests", cores="4", memory="6g")
+    session = local_session("tests", cores="6", memory="6g")
+    # Tiny tables: most of a job's time is its tasks' start.
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
