@@ -13,22 +13,22 @@ blocks too.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StructType
 
-from leadflow.llm.support import hashed_words, mixed, mounted_folder, written
+from leadflow.llm.support import bucket_of, hashed_words, mixed, mounted_folder, saved, written
 
-BUCKET_BYTES = 24 << 20  # text per range of hashes
-PENDING = 3_000_000  # entries a task holds before it sends them on
-PATIENCE = 400_000  # entries gathered before they are reduced
+BUCKET_BYTES = 8 << 20  # text per range of hashes: what a merging task holds is in proportion
+PENDING = 1_500_000  # entries a task holds before it sends them on
+PATIENCE = 300_000  # entries gathered before they are reduced
 END_HASH = np.uint64(0x5EED0F5EED0F5EED)
 _FACTOR_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _LOW = np.uint64(0xFFFFFFFF)
@@ -76,22 +76,6 @@ def unblocked(table: pa.Table, columns: int = 1) -> tuple[np.ndarray, np.ndarray
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
-def saved(folder: str, name: str, array: np.ndarray) -> None:
-    """Write an array so that a second attempt of the task replaces it as a whole."""
-    temporary = os.path.join(folder, f".{name}-{uuid.uuid4().hex}")
-    with open(temporary, "wb") as out:
-        np.save(out, array)
-    os.replace(temporary, os.path.join(folder, f"{name}.npy"))
-
-
-def _shift(bits: int) -> np.uint64:
-    return np.uint64(64 - bits)
-
-
-def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> _shift(bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
-
-
 @dataclass(frozen=True)
 class Arrays:
     """Sorted hashes with counts in ``2 ** bits`` files by the high bits; ``offsets`` is the place of each file's first entry."""
@@ -112,7 +96,7 @@ class Arrays:
         order = np.argsort(hashes)
         ordered = hashes[order]
         places, counts = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
-        edges = np.searchsorted(_bucket(ordered, self.bits), np.arange((1 << self.bits) + 1))
+        edges = np.searchsorted(bucket_of(ordered, self.bits), np.arange((1 << self.bits) + 1))
         for b in np.flatnonzero((edges[1:] > edges[:-1]) & (np.diff(self.offsets) > 0)):
             lo, hi = edges[b], edges[b + 1]
             keys = self._mapped("keys", b)
@@ -211,7 +195,7 @@ def pairs_of(ids: np.ndarray, edges: np.ndarray, start: int) -> np.ndarray:
 def _reduced(parts: Iterator[np.ndarray], kind: str, bits: int) -> Iterator[pa.RecordBatch]:
     """Count hashes in bounded memory and send them as blocks."""
     def sent(keys, counts):
-        rows = list(blocks(kind, keys, counts, _bucket(keys, bits)))
+        rows = list(blocks(kind, keys, counts, bucket_of(keys, bits)))
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_BLOCK)
 
@@ -271,14 +255,13 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         bucket, counts = table["bucket"][0].as_py(), counts[:, 0]
         saved(folder, f"pair-keys-{bucket}", keys)
         saved(folder, f"pair-counts-{bucket}", counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
+        size = planes(np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].astype(np.uint64))
+        rows = [{"kind": "size", "bucket": bucket, "size": len(keys), "keys": b"", "counts": size}]
         plain = unmixed(keys)
-        contexts, ids = plain >> np.uint64(32), plain & _LOW
-        rows = [{"kind": "size", "bucket": bucket, "size": len(keys), "keys": b"", "counts": planes(np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].astype(np.uint64))}]
-        seen = np.column_stack([np.zeros_like(counts), counts, counts == 1, counts == 2, counts > 2]).astype(np.int64)
-        follows = np.zeros_like(seen)
-        follows[:, 0] = 1
-        every, totals = summed(np.concatenate([contexts, ids]), np.concatenate([seen, follows]))
-        rows += blocks("stats", every, totals, (every // np.uint64(range_size)).astype(np.int64))
+        seen = np.column_stack([counts, counts == 1, counts == 2, counts > 2]).astype(np.uint64)
+        for kind, ids, columns in (("context", plain >> np.uint64(32), seen), ("follow", plain & _LOW, np.ones((len(keys), 1), np.uint64))):
+            every, totals = summed(ids, columns)
+            rows += blocks(kind, every, totals, (every // np.uint64(range_size)).astype(np.int64))
         return pa.Table.from_pylist(rows, schema=_BLOCK)
 
     counted = written(texts.mapInArrow(count_pairs, BLOCK).groupBy("bucket").applyInArrow(merge_pairs, BLOCK), "pairs")
@@ -288,15 +271,18 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         once += unplaned(bytes(r["counts"])).astype(np.int64)
 
     def merge_stats(table: pa.Table) -> pa.Table:
-        ids, totals = unblocked(table, 5)
         bucket = table["bucket"][0].as_py()
         dense = np.zeros((min(range_size, distinct + 1 - bucket * range_size), 5), dtype=np.int64)
-        dense[(ids - np.uint64(bucket * range_size)).astype(np.int64)] = totals
+        for kind, columns in (("follow", slice(0, 1)), ("context", slice(1, 5))):
+            mine = table.filter(pc.equal(table["kind"], kind))
+            if mine.num_rows:
+                ids, totals = unblocked(mine, columns.stop - columns.start)
+                dense[(ids - np.uint64(bucket * range_size)).astype(np.int64), columns] = totals
         saved(folder, f"stats-{bucket}", dense.astype(np.uint32) if dense.max(initial=0) < 1 << 32 else dense)
         seen = np.bincount(np.minimum(dense[:, 0], 5), minlength=6)
         return pa.table({f"n{k}": [int(seen[k])] for k in range(1, 6)})
 
-    parts = counted.filter("kind = 'stats'").groupBy("bucket").applyInArrow(merge_stats, ", ".join(f"n{k} long" for k in range(1, 6)))
+    parts = counted.filter("kind <> 'size'").groupBy("bucket").applyInArrow(merge_stats, ", ".join(f"n{k} long" for k in range(1, 6)))
     n = [int(x or 0) for x in written(parts, "stats").agg(*[F.sum(f"n{k}") for k in range(1, 6)]).first()]
     word_discounts = discounts(n[:4])
     rest = word_discounts[0] * n[0] + word_discounts[1] * n[1] + word_discounts[2] * sum(n[2:])

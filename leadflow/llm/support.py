@@ -66,6 +66,19 @@ def mounted_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def saved(folder: str, name: str, array: np.ndarray) -> None:
+    """Write an array so that a second attempt of the task replaces it as a whole."""
+    temporary = os.path.join(folder, f".{name}-{uuid.uuid4().hex}")
+    with open(temporary, "wb") as out:
+        np.save(out, array)
+    os.replace(temporary, os.path.join(folder, f"{name}.npy"))
+
+
+def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Number of the range of 64-bit hashes, by their high bits."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
+
+
 def uniform(*columns) -> F.Column:
     """A number in [0, 1) that depends on the values alone."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -147,12 +160,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, breaks:
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def hashed_words(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of every row, in order, and the number of words of each row.
-
-    Memory is bounded by the window and eight bytes a word, also for very long rows. ``fold`` lower-cases A-Z."""
+def word_windows(texts: pa.Array, fold: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each window of the rows: hashes of its words, the rows they are in, and the places in ``text_buffer`` where they begin and end."""
     data, offsets = text_buffer(texts)
-    counts, parts = np.zeros(len(texts), dtype=np.int64), []
     codes = _BYTE_CODES
     if fold:
         codes = codes.copy()
@@ -165,6 +175,15 @@ def hashed_words(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.nd
         begins, ends = word_spans(data, offsets, lo, hi, WHITE)
         sums = np.zeros(hi - lo + 1, dtype=np.uint64)
         np.cumsum(codes[data[lo:hi]] * power[: hi - lo], out=sums[1:])
-        parts.append(mixed((sums[ends] - sums[begins]) * inverse[begins]))
-        counts += np.bincount(np.searchsorted(offsets, begins + lo, side="right") - 1, minlength=len(texts))
+        yield mixed((sums[ends] - sums[begins]) * inverse[begins]), np.searchsorted(offsets, begins + lo, side="right") - 1, begins + lo, ends + lo
+
+
+def hashed_words(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of every row, in order, and the number of words of each row.
+
+    Memory is bounded by the window and eight bytes a word, also for very long rows. ``fold`` lower-cases A-Z."""
+    counts, parts = np.zeros(len(texts), dtype=np.int64), []
+    for hashes, rows, _, _ in word_windows(texts, fold):
+        parts.append(hashes)
+        counts += np.bincount(rows, minlength=len(texts))
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), counts
