@@ -5,6 +5,9 @@ bin after bin is seeded with the longest length left and filled by a subset-sum
 some combination is t long); the combination is then taken out as often as the counts allow, so there are about as many patterns
 as lengths. Pieces find their place by their rank among the pieces of their length, counted in slices, without sorting all pieces of a
 common length in one task.
+
+Tokenizing a word costs far more than finding it, so the distinct words of the corpus are encoded once, in Spark, and kept in
+sorted files that workers map into memory; a text's ids are looked up by the hashes of its words.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,62 +24,123 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from leadflow.llm.support import written
+from leadflow.llm.support import bucket_of, hashed_words, mounted_folder, saved, text_buffer, word_windows, written
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 300_000  # words whose ids a worker keeps
-BLOCK_CHARS = 1 << 21
+BUCKET_BYTES = 24 << 20  # text per range of word hashes
+HELD_WORDS = 2_000_000  # word hashes by which a task knows what it has sent
+WORDS_AT_ONCE = 20_000
+ROWS_AT_ONCE = 200
 ROWS_PER_SLICE = 10_000
 
 
-class WordIds:
-    """Ids of texts by a tokenizer whose matches never cross a space or a line break, as little-endian 32-bit bytes.
-
-    Words between spaces are encoded once and remembered, up to a bound; the ids of a text are those of its words in order."""
-
-    def __init__(self, path: str, bound: int = CACHED_WORDS):
+def _tokenizer(path: str):
+    """One per worker process and vocabulary file, kept between tasks."""
+    if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.bound, self.known = bound, {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        for w, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.array(found.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        if len(self.known) > self.bound:
-            for w in new:
-                del self.known[w]
-        return out
-
-    def encode_all(self, texts: Iterator[str]) -> Iterator[bytes]:
-        """Texts in blocks of bounded size; a long text is cut at spaces, which never changes its ids."""
-        block, size = [], 0
-        for text in texts:
-            if len(text) > BLOCK_CHARS:
-                yield from self.encode(block)
-                block, size, parts, at = [], 0, [], 0
-                while at < len(text):
-                    cut = text.find(" ", at + BLOCK_CHARS)
-                    cut = len(text) if cut < 0 else cut
-                    parts += self.encode([text[at:cut]])
-                    at = cut
-                yield b"".join(parts)
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        _TOKENIZERS[path].encode_special_tokens = True
+    return _TOKENIZERS[path]
+
+
+_TOKENIZERS: dict = {}
+_MAPS: dict[tuple, np.ndarray] = {}  # arrays a worker has mapped
+
+_WORDS = pa.schema([("bucket", pa.int64()), ("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.string()))])
+
+
+def _new_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Every distinct word of a task once (again after ``HELD_WORDS`` others), by range of its hash."""
+    seen = np.zeros(0, np.uint64)
+    for batch in batches:
+        texts = batch.column(0)
+        data, _ = text_buffer(texts)
+        for hashes, _, begins, ends in word_windows(texts):
+            found, first = np.unique(hashes, return_index=True)
+            if len(seen):
+                at = np.minimum(np.searchsorted(seen, found), len(seen) - 1)
+                fresh = seen[at] != found
+                found, first = found[fresh], first[fresh]
+            if not len(found):
                 continue
-            block.append(text)
-            size += len(text)
-            if size > BLOCK_CHARS:
-                yield from self.encode(block)
-                block, size = [], 0
-        yield from self.encode(block)
+            words = [data[lo:hi].tobytes() for lo, hi in zip(begins[first].tolist(), ends[first].tolist())]
+            buckets = bucket_of(found, bits)
+            cuts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1], True])
+            rows = [{"bucket": int(buckets[lo]), "hashes": found[lo:hi].view(np.int64), "words": [w.decode() for w in words[lo:hi]]} for lo, hi in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_pylist(rows, schema=_WORDS)
+            seen = np.sort(np.concatenate([seen, found])) if len(seen) < HELD_WORDS else found
 
 
-_TOKENIZERS: dict[str, WordIds] = {}  # one per worker process and vocabulary, kept between tasks
+@dataclass(frozen=True)
+class WordIds:
+    """Ids of every distinct word of a corpus in mapped files: sorted hashes, where each word's ids begin, and the ids.
+
+    For tokenizers whose matches never hold white space: the ids of a text are those of its words in order."""
+
+    folder: str
+    bits: int
+
+    def _mapped(self, part: str, bucket: int) -> np.ndarray:
+        key = (self.folder, part, bucket)
+        if key not in _MAPS:
+            _MAPS[key] = np.load(os.path.join(self.folder, f"{part}-{bucket}.npy"), mmap_mode="r")
+        return _MAPS[key]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, ``END_ID`` after each, and the places where rows begin and end."""
+        hashes, counts = hashed_words(texts)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        edges = np.searchsorted(bucket_of(ordered, self.bits), np.arange((1 << self.bits) + 1))
+        lengths, first, parts = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=np.int64), []
+        for b in np.flatnonzero(edges[1:] > edges[:-1]):
+            keys, starts = self._mapped("keys", b), self._mapped("starts", b)
+            mine = slice(edges[b], edges[b + 1])
+            at = np.minimum(np.searchsorted(keys, ordered[mine]), len(keys) - 1)
+            if (keys[at] != ordered[mine]).any():
+                raise LookupError("a word was not in the corpus when its words were encoded")
+            first[mine], lengths[mine] = starts[at], starts[at + 1] - starts[at]
+            parts.append((b, mine))
+        size = np.empty_like(lengths)
+        size[order] = lengths
+        row = np.repeat(np.arange(len(counts)), counts)
+        place = np.cumsum(size) - size + row  # one end id for every row before
+        per_row = np.bincount(row, weights=size, minlength=len(counts)).astype(np.int64) + 1
+        out = np.full(int(per_row.sum()), END_ID, dtype="<u4")
+        for b, mine in parts:
+            n = lengths[mine]
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(place[order[mine]], n) + within] = self._mapped("ids", b)[np.repeat(first[mine], n) + within]
+        return out, np.r_[0, np.cumsum(per_row)]
+
+
+def encode_words(docs: DataFrame, vocabulary: str, text: str = "text") -> WordIds:
+    """Encodes each distinct word of the corpus once, and writes the files into the shared folder."""
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, (size // BUCKET_BYTES).bit_length())
+    folder = mounted_folder(docs.sparkSession, "word-ids")
+
+    def merge(table: pa.Table) -> pa.Table:
+        hashes = np.asarray(table["hashes"].combine_chunks().flatten(), dtype=np.int64).view(np.uint64)
+        words = table["words"].combine_chunks().flatten()
+        keys, first = np.unique(hashes, return_index=True)
+        starts, ids, tokenizer = [0], [], _tokenizer(vocabulary)
+        for lo in range(0, len(first), WORDS_AT_ONCE):
+            for found in tokenizer.encode_batch(words.take(pa.array(first[lo : lo + WORDS_AT_ONCE])).to_pylist(), add_special_tokens=False):
+                ids += found.ids
+                starts.append(len(ids))
+        bucket = table["bucket"][0].as_py()
+        for name, array in (("keys", keys), ("starts", np.array(starts, np.int64)), ("ids", np.array(ids, np.uint32))):
+            saved(folder, f"{name}-{bucket}", array)
+        return pa.table({"bucket": [bucket], "words": [len(keys)]})
+
+    found = texts.mapInArrow(lambda batches: _new_words(batches, bits), "bucket long, hashes array<long>, words array<string>")
+    written(found.groupBy("bucket").applyInArrow(merge, "bucket long, words long"), "word-ids")
+    return WordIds(folder, bits)
 
 
 def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -83,25 +148,25 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     A null text is empty: one piece with the end id alone. Each row is a document, repeated rows too."""
     fields = [StructField("length", IntegerType()), StructField("ids_crc32", LongType())] + [StructField("ids", ArrayType(IntegerType()))] * with_ids
+    words = encode_words(docs, vocabulary, text)
 
     @arrow_udf(ArrayType(StructType(fields)))
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if vocabulary not in _TOKENIZERS:
-            _TOKENIZERS[vocabulary] = WordIds(vocabulary)
         for texts in batches:
             sizes, lengths, sums, flat = [0], [], [], []
-            for ids in _TOKENIZERS[vocabulary].encode_all(t.as_py() or "" for t in texts):
-                ids += END_ID.to_bytes(4, "little")
-                for at in range(0, len(ids), 4 * capacity):
-                    part = ids[at : at + 4 * capacity]
-                    lengths.append(len(part) // 4)
-                    sums.append(zlib.crc32(part))
-                    flat.append(part)
-                sizes.append(len(lengths))
+            for lo in range(0, len(texts), ROWS_AT_ONCE):
+                ids, edges = words.encode(texts.slice(lo, ROWS_AT_ONCE))
+                flat.append(ids)
+                for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    for at in range(begin, end, capacity):
+                        part = ids[at : min(end, at + capacity)]
+                        lengths.append(len(part))
+                        sums.append(zlib.crc32(part))
+                    sizes.append(len(lengths))
             values, names = [pa.array(lengths, pa.int32()), pa.array(sums, pa.int64())], ["length", "ids_crc32"]
             if with_ids:
-                ids = np.frombuffer(b"".join(flat), dtype="<i4")
-                values.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(ids, pa.int32())))
+                every = np.concatenate([*flat, np.zeros(0, np.uint32)]).view(np.int32)
+                values.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(every, pa.int32())))
                 names.append("ids")
             yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(values, names=names))
 

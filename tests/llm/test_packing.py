@@ -45,22 +45,19 @@ def least(lengths, capacity):
     return best
 
 
-def test_word_by_word_equals_whole_texts(tokenizer):
+@pytest.mark.parametrize("small", [False, True])
+def test_word_by_word_equals_whole_texts(documents, tokenizer, monkeypatch, small):
+    if small:  # many ranges of hashes, words sent again, texts cut into windows
+        monkeypatch.setattr(packing, "BUCKET_BYTES", 1 << 10)
+        monkeypatch.setattr(packing, "HELD_WORDS", 10)
     r = random.Random(1)
-    alphabet = ["a", "The", "é", "é", " ", "  ", "\n", "\t", "　", "\x1c", "'s", "'", "12", "漢", "<|endoftext|>", "</w>", "ΑΣ", "!?", "İ", "́"]
-    texts = ["".join(r.choices(alphabet, k=r.randrange(40))) for _ in range(3000)] + ["word " * 50_000]
-    small = packing.WordIds(VOCABULARY, bound=50)
-    small_blocks = list(small.encode_all(iter(texts)))
-    for text, found, ids in zip(texts, small_blocks, tokenizer.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(found, "<u4").tolist() == ids.ids, text
-    assert len(small.known) <= 51
-
-
-def test_long_texts_are_cut_at_spaces(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "BLOCK_CHARS", 16)
-    texts = ["one two three four five six seven eight nine ten", "", "unbrokenunbrokenunbroken", "a " * 30, "x\ny"]
-    found = list(packing.WordIds(VOCABULARY).encode_all(iter(texts)))
-    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    alphabet = ["a", "The", "é", "é", " ", "  ", "\n", "\t", "\x0b", "\r", "　", "\x1c", "\x85", "'s", "'", "12", "漢", "<|endoftext|>", "</w>", "ΑΣ", "!?", "İ", "́"]
+    texts = ["".join(r.choices(alphabet, k=r.randrange(40))) for _ in range(1500)] + ["word " * 50_000, None, ""]
+    rows = packing.pieces(documents(texts), VOCABULARY, capacity=1 << 20, with_ids=True).collect()
+    assert len(rows) == len(texts)
+    encoded = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    for row in rows:
+        assert row["ids"] == [*encoded[row["doc_id"]].ids, 0], texts[row["doc_id"]]
 
 
 def test_pieces_and_places(documents, tokenizer):
