@@ -6,18 +6,22 @@ it only if they hold the same k-mers in the same order. Texts that share a sketc
 its word edit similarity ``1 - distance / longer length`` is at least ``SIMILARITY``, decided by banded alignment. Classes are
 the connected components of the links.
 
-Texts of equal words are one node from the start. Links are then found in two passes that leave no candidate pair undecided:
+Texts of equal words are one node from the start. Links are then found in passes that leave no candidate pair undecided:
 
-1. each bucket (texts of one sketch) is linked to its smallest id, a star, however large it is; stars that hold give components;
-2. pairs of a bucket that are still in different components are compared one by one in buckets of up to ``SMALL`` texts. In
-   larger ones they are compared where they share a rare word: similar texts have ``SIMILARITY`` of their words in common, so
-   they share one of the rarest ``1 - SIMILARITY`` of each other's words, counted within the bucket, and no link is lost.
+1. The texts of a bucket (of one sketch) are compared with one of them, its hub: a star, however large the bucket is. Texts that
+   are linked to the hub settle there. By the triangle inequality a text that is far from the hub is similar to none that is
+   linked to it; one that only just misses the hub is compared with those in other components.
+2. What has not settled is compared pair by pair across components in buckets where up to ``SMALL`` texts are left. Larger ones get
+   another star, around a text of their most frequent component, up to ``STARS`` times.
+3. Texts still left in large buckets are compared where they share a rare word: similar texts have ``SIMILARITY`` of their words in
+   common, so they share one of the rarest ``1 - SIMILARITY`` of each other's words, counted among all texts left.
 
 A pair at Jaccard similarity J of the k-mers shares a sketch with probability of about ``1 - (1 - J ** MEMBERS) ** TABLES``: 1.0000 at 0.8, 0.98 at 0.5.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,21 +29,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from leadflow.llm.support import hashed_words, mixed, written
+from leadflow.llm.support import hashed_words, mixed, uniform, written
 
 K = 5
 MEMBERS = 3
 TABLES = 32
 SIMILARITY = 0.8
 SMALL = 64
+STARS = 3
+ORDER_TEXTS = 1_000  # texts by which rare words are told from common ones; any order finds all links
+COMMON_WORDS = 50_000  # size of the table of common words
+SECOND_LOOK = 20_000  # words of a pair up to which a failed star pair is measured again, to tell far from near
 MAX_ROUNDS = 60  # rounds of the component search grow with the logarithm of the longest chain
 
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(6).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def labelled(values: np.ndarray) -> np.ndarray:
+    """64-bit values told apart by their occurrence number: the second copy of a value differs from the first."""
+    order = np.argsort(values, kind="stable")
+    same = np.r_[False, values[order][1:] == values[order][:-1]][: len(values)]
+    if not same.any():
+        return values
+    place = np.arange(len(values))
+    occurrence = np.zeros(len(values), dtype=np.uint64)
+    occurrence[order] = (place - np.maximum.accumulate(np.where(same, 0, place))).astype(np.uint64)
+    return values + occurrence * _PLACES[40]
+
+
 def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     """Hash of every run of ``k`` words, labelled with its occurrence number; a shorter text is one k-mer."""
     if not len(words):
@@ -48,14 +68,7 @@ def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     runs = np.zeros(len(words) - size + 1, dtype=np.uint64)
     for j in range(size):
         runs += words[j : j + len(runs)] * _PLACES[j]
-    order = np.argsort(runs, kind="stable")
-    same = np.r_[False, runs[order][1:] == runs[order][:-1]]
-    if same.any():
-        place = np.arange(len(runs))
-        occurrence = np.zeros(len(runs), dtype=np.uint64)
-        occurrence[order] = (place - np.maximum.accumulate(np.where(same, 0, place))).astype(np.uint64)
-        runs = runs + occurrence * _PLACES[40]
-    return mixed(runs)
+    return mixed(labelled(runs))
 
 
 def sketches(grams: np.ndarray, tables: int = TABLES, members: int = MEMBERS) -> np.ndarray:
@@ -110,11 +123,44 @@ def word_codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
 
 
-def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
-    """True if the edit distance of two word sequences is at most ``limit``.
-
-    Furthest-reaching points on the diagonals of a band that widens by one with every edit, after the equal ends are cut off and
-    the number of words in common has left it possible."""
+def _banded(x: list, y: list, limit: int) -> bool:
+    """True if the edit distance is at most ``limit``, which is less than either length and no less than their difference.
+
+    The cells of the table within ``limit`` of the diagonal, a column at a time as differences between neighbours in the bits of
+    whole numbers (Myers' bit vectors, in Hyyro's form for a band that moves down the diagonal)."""
+    width = 2 * limit + 2
+    full = (1 << width) - 1
+    places: dict = {}
+    for p, word in enumerate(x):
+        places[word] = places.get(word, 0) | 1 << p
+    plus, minus, distance = (full << (width - limit - 1)) & full, 0, limit
+    last, most = 1 << (width - 1), 2 * limit + len(y) - len(x)
+    row = 1 << (width - 2)
+    for i, word in enumerate(y):
+        shift = limit + 1 - width + i
+        match = places.get(word, 0)
+        match = (match >> shift if shift >= 0 else match << -shift) & full
+        diagonal = ((((match & plus) + plus) ^ plus) | match | minus) & full
+        right_plus, right_minus = minus | (full ^ (diagonal | plus)), diagonal & plus
+        if i < len(x) - limit:
+            if not diagonal & last:
+                distance += 1
+                if distance > most:
+                    return False
+        else:
+            if right_plus & row:
+                distance += 1
+            elif right_minus & row:
+                distance -= 1
+            row >>= 1
+        plus, minus = right_minus | (full ^ ((diagonal >> 1) | right_plus)), (diagonal >> 1) & right_plus
+    return distance <= limit
+
+
+def within(a: np.ndarray, b: np.ndarray, limit: int, most_words: int | None = None) -> bool:
+    """True if the edit distance of two word sequences is at most ``limit``; also if that is open and they have over ``most_words``.
+
+    The equal ends are cut off, and pairs with too few words in common are told apart, before the band is computed."""
     if abs(len(a) - len(b)) > limit:
         return False
     short = min(len(a), len(b))
@@ -125,71 +171,85 @@ def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     tail = int(differ[0]) if len(differ) else short
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     n, m = len(a), len(b)
+    if max(n, m) <= limit:
+        return True
     if not n or not m:
-        return max(n, m) <= limit
-    codes, numbers = np.unique(np.concatenate([a, b]), return_inverse=True)
-    in_a, in_b = np.bincount(numbers[:n], minlength=len(codes)), np.bincount(numbers[n:], minlength=len(codes))
-    if max(n, m) - int(np.minimum(in_a, in_b).sum()) > limit:
         return False
+    both = np.sort(np.concatenate([a, b]))
+    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    codes, total = both[first], np.diff(np.r_[first, n + m])
+    in_a = np.bincount(np.searchsorted(codes, a), minlength=len(codes))
+    if max(n, m) - int(np.minimum(in_a, total - in_a).sum()) > limit:
+        return False
+    if most_words is not None and n + m > most_words:
+        return True
     x, y = a.tolist(), b.tolist()
-    far = {}  # by diagonal (place in y less place in x): the furthest place in x reached with the edits so far
-    for edits in range(limit + 1):
-        now = {}
-        for d in range(-min(edits, n), min(edits, m) + 1):
-            if edits:
-                i = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1)
-                if i < 0:
-                    continue
-                i = min(i, n, m - d)
-            else:
-                i = 0
-            j = i + d
-            if j < 0:
-                continue
-            while i < n and j < m and x[i] == y[j]:
-                i += 1
-                j += 1
-            if i >= n and j >= m:
-                return True
-            now[d] = i
-        far = now
-    return False
-
-
-@arrow_udf(BooleanType())
-def _linked(left: pa.Array, right: pa.Array) -> pa.Array:
+    if limit < min(n, m):
+        return _banded(x, y, limit)
+    line = list(range(m + 1))  # one side is shorter than the limit
+    for i, word in enumerate(x):
+        before, line = line, [i + 1]
+        for j in range(m):
+            line.append(min(before[j] + (word != y[j]), before[j + 1] + 1, line[j] + 1))
+    return line[-1] <= limit
+
+
+LINKED, NEAR, FAR = 0, 1, 2
+
+
+@arrow_udf(IntegerType())
+def _compared(left: pa.Array, right: pa.Array) -> pa.Array:
+    """LINKED, or FAR where the distance exceeds what two similar steps can bridge, or else NEAR."""
     out = []
     for k in range(len(left)):
         a, b = np.asarray(left[k].values), np.asarray(right[k].values)
-        out.append(within(a, b, int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)))
-    return pa.array(out, pa.bool_())
+        if within(a, b, int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)):
+            out.append(LINKED)
+        else:
+            out.append(NEAR if within(a, b, int(_reach(len(a), len(b)) + 1e-9), SECOND_LOOK) else FAR)
+    return pa.array(out, pa.int32())
+
+
+def _reach(n, m):
+    """If a - b is no longer than this, some text may be similar to both: its own length is at most n and m over SIMILARITY."""
+    return (1 - SIMILARITY) / SIMILARITY * (n + m)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` to ``(node, label)``: the smallest node of each component, by alternating large and small stars.
+    """``edges(a, b)`` to ``(node, label)``: the smallest node of the component of every node that is not itself the smallest.
 
-    Each round is written; hot nodes only meet their neighbours through a partially aggregated minimum and a join on one row."""
+    Alternating large and small stars until every node has one edge, to a node that has none upwards. Each round is written; hot
+    nodes only meet their neighbours through a partially aggregated minimum and a join on one row."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
-    seen = None
     for _ in range(MAX_ROUNDS):
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+        if ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).filter("ups > 1 OR (ups = 1 AND n > 1)").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
-        edges = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "small-star")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
-        seen = state
+        edges = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "stars")
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
-def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """The candidate pairs ``(a, b)`` whose texts align."""
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: the links join components, so only the components' labels are searched again."""
+    ends = links
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        ends = ends.join(known, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    joined = components(ends.filter("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    moved = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")).union(joined), "labels")
+
+
+def _verdicts(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """``a, b, verdict`` of the candidate pairs, by aligning their texts."""
     left = codes.select(F.col("node").alias("a"), F.col("codes").alias("codes_a"))
     right = codes.select(F.col("node").alias("b"), F.col("codes").alias("codes_b"))
-    return pairs.join(left, "a").join(right, "b").filter(_linked("codes_a", "codes_b")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", _compared("codes_a", "codes_b").alias("verdict"))
 
 
 def _sized(left: str, right: str) -> F.Column:
@@ -197,23 +257,96 @@ def _sized(left: str, right: str) -> F.Column:
     return F.abs(F.col(left) - F.col(right)) <= (1 - SIMILARITY) * F.greatest(left, right) + 1e-9
 
 
-def _rare_words(members: DataFrame, codes: DataFrame) -> DataFrame:
-    """Members of large buckets by (bucket, rare word): each comes with the rarest words that a similar text must share one of."""
-    words = (members.join(codes, "node").select("bucket", "node", "label", "n", F.explode("codes").alias("word"))
-             .groupBy("bucket", "node", "label", "n", "word").agg(F.count("*").alias("times")))
-    # The occurrences of a word are separate members of the bag: 1st, 2nd, ...
-    words = words.select("bucket", "node", "label", "n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("occurrence"), "word")
-    counted = words.groupBy("bucket", "word", "occurrence").agg(F.count("*").alias("texts"))
-    rare = words.join(counted, ["bucket", "word", "occurrence"]).selectExpr("*", "row_number() OVER (PARTITION BY bucket, node ORDER BY texts, word, occurrence) AS place")
-    return rare.filter((F.col("place") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1) & (F.col("texts") > 1)).select(
-        F.xxhash64("bucket", "word", "occurrence").alias("bucket"), "node", "label", "n")
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _across(members: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Pairs of a bucket that are in different components: each pair of ``members`` once, or each of a member and another."""
+    right = (members if others is None else others).select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    once = F.col("a") < F.col("b") if others is None else F.col("a") != F.col("b")
+    found = members.withColumnRenamed("node", "a").join(right, "bucket").filter(once & (F.col("label") != F.col("label_b")) & _sized("n", "n_b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different components, each pair once."""
-    other = members.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-    return (members.withColumnRenamed("node", "a").join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sized("n", "n_b"))
-            .select("a", "b").distinct())
+def _bag(codes: np.ndarray) -> np.ndarray:
+    """The words of a text as a set: 32-bit hashes with their occurrence numbers, hashed."""
+    return mixed(labelled(codes.view(np.uint32).astype(np.uint64)))
+
+
+@arrow_udf(ArrayType(LongType()))
+def _bags(codes: pa.Array) -> pa.Array:
+    parts = [_bag(np.asarray(row.values)) for row in codes]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _rare_words(members: DataFrame, codes: DataFrame) -> DataFrame:
+    """``bucket, node, label, n`` with a bucket for each of the rarest words of a text, of which similar texts share one.
+
+    That holds for the first words in any order that is the same for all texts, so the order may rest on a sample: the words of the most
+    texts among about ``ORDER_TEXTS`` come last, the most common at the very end, and the others first. The table of the order has a
+    fixed size, ``COMMON_WORDS`` at most."""
+    nodes = written(members.select("node", "label", "n").distinct(), "rest").join(codes, "node")
+    share = ORDER_TEXTS / max(1, nodes.select("node").count())
+    counts = nodes.filter(uniform("node") < share).select(F.explode(_bags("codes")).alias("word")).groupBy("word").agg(F.count("*").alias("texts")).filter("texts > 1")
+    common = [r["word"] for r in counts.orderBy(F.desc("texts"), "word").limit(COMMON_WORDS).collect()]
+    words = np.array(common, dtype=np.int64).view(np.uint64)
+    order = np.argsort(words)
+    known, rank = words[order], (len(words) - order).astype(np.int64)  # the most common word has the highest rank
+
+    @arrow_udf(ArrayType(LongType()))
+    def first_words(rows: pa.Array) -> pa.Array:
+        parts = []
+        for row in rows:
+            bag = _bag(np.asarray(row.values))
+            place = np.zeros(len(bag), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, bag), len(known) - 1)
+                place = np.where(known[at] == bag, rank[at], 0)
+            parts.append(bag[np.lexsort((bag, place))][: len(bag) - math.ceil(SIMILARITY * len(bag) - 1e-9) + 1])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+
+    return nodes.select(F.explode(first_words("codes")).alias("bucket"), "node", "label", "n")
+
+
+def _star(left: DataFrame, hubs: DataFrame, codes: DataFrame) -> DataFrame:
+    """``bucket, node, n, hub, verdict`` of the members against the hub of their bucket; the hub itself is linked."""
+    rows = left.join(hubs, "bucket")
+    pairs = rows.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n_hub").alias("n_a"), "n").distinct()
+    aligned = _verdicts(pairs.filter(_sized("n", "n_a")).select("a", "b"), codes)
+    # Of pairs whose lengths alone rule out a link, those that differ by more than two steps are far.
+    apart = pairs.filter(~_sized("n", "n_a")).select("a", "b", F.when(F.abs(F.col("n") - F.col("n_a")) > _reach(F.col("n"), F.col("n_a")) + 1e-9, FAR).otherwise(NEAR).alias("verdict"))
+    verdicts = written(aligned.unionByName(apart), "verdicts").select(F.col("a").alias("hub"), F.col("b").alias("node"), "verdict")
+    return written(rows.join(verdicts, ["hub", "node"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(LINKED))).select("bucket", "node", "n", "hub", "verdict"), "star")
+
+
+def _labels(posted: DataFrame, codes: DataFrame) -> DataFrame:
+    """``node, label`` of all texts linked to others, among texts that share a bucket; ``posted`` holds ``bucket, node, n``."""
+    spark = posted.sparkSession
+    labels, pairs, left = spark.createDataFrame([], "node long, label long"), spark.createDataFrame([], "a long, b long"), posted
+    for number in range(STARS + 1):
+        counted = _labelled(left, labels).groupBy("bucket", "label").agg(F.count("*").alias("texts"), F.min(F.struct("node", "n")).alias("first"))
+        sizes = counted.groupBy("bucket").agg(F.sum("texts").alias("size"), F.count("*").alias("labels"), F.max_by("first", F.struct("texts", -F.col("label"))).alias("hub"))
+        sizes = sizes.filter("labels > 1").select("bucket", "size", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"))  # elsewhere nothing is left to find
+        if number:
+            sizes = written(sizes, "sizes")
+            small = _labelled(left.join(sizes.filter(F.col("size") <= SMALL).select("bucket"), "bucket", "left_semi"), labels)
+            pairs = pairs.union(_across(small))
+            sizes = sizes.filter(F.col("size") > SMALL)
+            if sizes.isEmpty():
+                break
+        hubs = sizes.select("bucket", "hub", "n_hub")
+        if number == STARS:
+            pairs = pairs.union(_across(_rare_words(_labelled(left.join(hubs, "bucket", "left_semi"), labels), codes)))
+            break
+        star = _star(left, hubs, codes)
+        links = star.filter((F.col("verdict") == LINKED) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        labels = _relabelled(labels, links)
+        placed = _labelled(star, labels)
+        pairs = pairs.union(_across(placed.filter(F.col("verdict") == NEAR), placed.filter(F.col("verdict") == LINKED)))
+        left = star.filter(F.col("verdict") != LINKED).select("bucket", "node", "n")
+    more = _verdicts(written(pairs.distinct(), "pairs"), codes).filter(F.col("verdict") == LINKED).select("a", "b")
+    return _relabelled(labels, written(more, "more-links"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,24 +359,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     copies = written(sketch.filter("NOT missing").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "copies")
     nodes = sketch.join(copies, (sketch.doc_id == copies.node) & (sketch.k1 == copies.k1) & (sketch.k2 == copies.k2), "left_semi")
     posted = nodes.select(F.explode("sketches").alias("bucket"), F.col("doc_id").alias("node"), "n").distinct()
-    buckets = posted.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    members = written(posted.join(buckets, "bucket"), "members")
+    shared = posted.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    members = written(posted.join(shared, "bucket", "left_semi"), "members")
     involved = members.select("node").distinct()
     codes = written(rows.withColumnRenamed("doc_id", "node").join(involved, "node", "left_semi").select("node", word_codes("text").alias("codes")).dropDuplicates(["node"]), "codes")
-    lengths = members.select("node", "n").distinct()
-
-    stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "n").distinct()
-    stars = stars.join(lengths.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").filter(_sized("n", "n_a")).select("a", "b")
-    links = written(_verified(stars, codes), "links")
-    labels = components(links)
-
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    apart = written(labelled.join(split, "bucket", "left_semi").select("bucket", "node", "label", "n", "size"), "apart")
-    pairs = _across(apart.filter(F.col("size") <= SMALL)).union(_across(_rare_words(apart.filter(F.col("size") > SMALL), codes))).distinct()
-    pairs = written(pairs.join(links, ["a", "b"], "left_anti"), "pairs")
-    more = written(_verified(pairs, codes), "more-links")
-    labels = written(components(links.union(more)), "labels")
+    labels = _labels(members, codes)
 
     named = copies.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     whole = sketch.filter("NOT missing").select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", "class_id")

@@ -111,8 +111,10 @@ def test_components_of_chains_and_stars(llm):
     r = random.Random(5)
     r.shuffle(edges)
     out = {row["node"]: row["label"] for row in neardup.components(llm.createDataFrame(edges, "a long, b long")).collect()}
-    out |= {0: 0, 1000: 1000, 2000: 2000}
-    assert out == {k: 0 for k in range(301)} | {1000 + k: 1000 for k in range(50)} | {2000: 2000, 2001: 2000}
+    assert out == {k: 0 for k in range(1, 301)} | {1000 + k: 1000 for k in range(1, 50)} | {2001: 2000}
+    more = llm.createDataFrame([(300, 1049), (5, 7), (2000, 9000)], "a long, b long")
+    again = {row["node"]: row["label"] for row in neardup._relabelled(llm.createDataFrame(list(out.items()), "node long, label long"), more).collect()}
+    assert again == {k: 0 for k in [*range(1, 301), *range(1000, 1050)]} | {2001: 2000, 9000: 2000}
 
 
 def test_far_texts_are_similar_to_none_linked_to_the_hub():
