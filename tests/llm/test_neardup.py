@@ -57,6 +57,23 @@ def test_classes_equal_brute_force(documents):
     assert classes(documents([" ".join(w) for w in rows])) == dict(enumerate(label))
 
 
+def test_pairs_of_every_band_are_found(documents):
+    """Recall of pairs with edits scattered over the text, against the planted links: all of short texts, nearly all of long ones."""
+    r, rows, bands = random.Random(7), [], []
+    for n, edits in [(300, 60), (300, 45), (300, 30), (120, 24), (101, 20), (30, 5), (30, 3), (20, 2), (12, 1), (5, 1)]:
+        for _ in range(40):
+            base = text(r, n)
+            other = list(base)
+            for at in r.sample(range(n), edits):
+                other[at] = f"e{r.randrange(10**9)}"
+            rows += [base, other]
+            bands.append((n, edits))
+    found = classes(documents([" ".join(w) for w in rows]))
+    for band in set(bands):
+        hits = [found[2 * k + 1] == 2 * k for k, b in enumerate(bands) if b == band]
+        assert sum(hits) >= (40 if band[0] <= neardup.SHORT else 38), (band, sum(hits))
+
+
 def test_occurrences_and_order_matter():
     grams = neardup.kmers(np.array([1, 2, 3, 4, 5] * 4, np.uint64))
     assert len(set(grams.tolist())) == len(grams)
