@@ -1,8 +1,9 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A header is a line that holds an anchor word of licence language; a licence file is a file named so, or one whose headers hold a
-good part of its words. Headers, and named licence files as a whole, are compared with every template they share a term with, by an
-equi-join on terms. A file takes the licence of its best header; without one it inherits that of the licence file in the nearest
+A header is a line, a sentence of a line, a paragraph or a comment block that holds an anchor word of licence language; a licence file
+is a file named so, or one whose anchored lines hold a good part of its words. Headers, and named licence files as a whole, are compared
+with every template they share a term with, by an equi-join on terms: notices, titles, SPDX lines, standard headers and the bodies of the
+short licences. A file takes the licence of its best header, a reserved right only where nothing is granted; without one it inherits that of the licence file in the nearest
 directory above it. Directories are resolved once each, before files are joined to them. DataFrame expressions throughout.
 """
 
@@ -13,7 +14,25 @@ from pyspark.sql import functions as F
 
 from leadflow.llm.support import written
 
-# Notices by which licences are declared. Callers may pass their own list of (licence, text).
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+)
+_GNU = {"GPL-2.0": ("", "2", "June 1991"), "GPL-3.0": ("", "3", "29 June 2007"), "LGPL-2.1": ("Lesser ", "2.1", "February 1999"), "LGPL-3.0": ("Lesser ", "3", "29 June 2007"), "AGPL-3.0": ("Affero ", "3", "19 November 2007")}
+_SPDX = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "ISC", "MIT", "MPL-2.0", "Unlicense")
+
+# Texts by which licences are declared, without apostrophes. Callers may pass their own list of (licence, text).
 TEMPLATES = (
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -31,7 +50,29 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", _MIT[0]),
+    ("MIT", " ".join(_MIT)),
+    ("ISC", "ISC License"),
+    ("ISC", _ISC),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", _BSD[1]),
+    ("BSD-2-Clause", " ".join((_BSD[0], _BSD[2]))),
+    ("BSD-3-Clause", " ".join(_BSD)),
+    *((name, f"GNU {kind}General Public License Version {version}, {date}") for name, (kind, version, date) in _GNU.items()),
+    *((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+      for name, (kind, version, _) in _GNU.items()),
+    *((name, f"SPDX-License-Identifier: {name}-{which}") for name in _GNU for which in ("only", "or-later")),
+    *((name, f"SPDX-License-Identifier: {name}") for name in (*_GNU, *_SPDX)),
 )
+RESERVED = "Proprietary"  # found beside a licence, as in the first line of most BSD texts, it does not stand against it
+SENTENCE = "(?<=[.!?])\\s+"
+PARAGRAPH = "\n[ \t\r]*\n"
+COMMENTS = "(?m)(?:^[ \t]*+(?:#|//|/?[*]|--|;|%)[^\n]*+(?:\n|$)){2,80}"  # bounded, as the pattern is matched by recursion
 ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "permission", "spdx")
 FILE_NAMES = "(?i)^(licen[cs]e|copying|copyright|notice|unlicense)([.-].*)?$"
 LEAST_COSINE = 0.6
@@ -69,14 +110,18 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
     """``path, licence, score, licence_file`` of every path with a header or licence file that matches a template.
 
     Texts are scanned whole. Null texts and paths are left out; rows with the same path are one file. Ties of the rounded score go
-    to the first licence by name."""
+    to the first licence by name; reserved rights come after all licences."""
     idf, unit, unknown = _template_weights(files.sparkSession, templates)
     rows = files.select(F.col(path).alias("path"), F.col(text).alias("text")).filter("path IS NOT NULL AND text IS NOT NULL")
     named = F.element_at(F.split("path", "/"), -1).rlike(FILE_NAMES)
     likely = rows.filter(named | _anchored(F.col("text"))).withColumn("named", named).withColumn("words", F.size(F.filter(F.split("text", "\\s+"), lambda w: w != "")))
     lines = likely.select("path", "words", "named", F.explode(F.split("text", "\n")).alias("unit_text")).filter(_anchored(F.col("unit_text"))).withColumn("whole", F.lit(False))
     whole = likely.filter("named").select("path", "words", "named", F.col("text").alias("unit_text"), F.lit(True).alias("whole"))
-    units = lines.unionByName(whole).withColumn("unit_id", F.xxhash64("unit_text", "whole")).withColumn("unit_words", F.size(F.filter(F.split("unit_text", "\\s+"), lambda w: w != "")))
+    pieces = lines.select("path", "words", "named", F.split("unit_text", SENTENCE).alias("parts")).filter(F.size("parts") > 1)
+    pieces = pieces.unionByName(likely.select("path", "words", "named", F.concat(F.filter(F.split("text", PARAGRAPH), lambda p: F.contains(F.trim(p), F.lit("\n"))),
+                                                                                F.regexp_extract_all("text", F.lit(COMMENTS), F.lit(0))).alias("parts")))
+    blocks = pieces.select("path", "words", "named", F.explode("parts").alias("unit_text"), F.lit(True).alias("whole")).filter(_anchored(F.col("unit_text")))
+    units = lines.unionByName(whole).unionByName(blocks).withColumn("unit_id", F.xxhash64("unit_text", "whole")).withColumn("unit_words", F.size(F.filter(F.split("unit_text", "\\s+"), lambda w: w != "")))
     per_unit = units.groupBy("path", "unit_id", "named", "words").agg(F.first("unit_text").alias("unit_text"), F.sum(F.when(~F.col("whole"), F.col("unit_words")).otherwise(0)).alias("unit_words"))
     shares = per_unit.groupBy("path").agg((F.max("named") | (F.sum("unit_words") >= FILE_SHARE * F.max("words"))).alias("licence_file"))
     terms = per_unit.select("path", "unit_id", F.explode(_terms(F.col("unit_text"))).alias("term")).groupBy("path", "unit_id", "term").agg(F.count("*").alias("times"))
@@ -84,7 +129,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
     lengths = weighed.groupBy("path", "unit_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("length"))
     products = weighed.join(F.broadcast(unit), "term").groupBy("path", "unit_id", "licence", "notice").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
     scores = products.join(lengths, ["path", "unit_id"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= least)
-    best = scores.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("licence"))).alias("b"))
+    best = scores.groupBy("path").agg(F.min(F.struct((F.col("licence") == RESERVED).alias("reserved"), (-F.col("score")).alias("minus"), F.col("licence"))).alias("b"))
     return best.join(shares, "path").select("path", "b.licence", (-F.col("b.minus")).alias("score"), "licence_file")
 
 

@@ -47,6 +47,21 @@ def test_every_template_finds_itself_and_has_an_anchor(llm):
     assert {p.split("/")[0]: licence for p, (licence, _, _) in found(llm, rows).items()} == {name: name for name, _ in li.TEMPLATES}
 
 
+def test_real_headers_titles_and_bodies(llm):
+    gpl = ["This file is part of Foo.", "", "Foo is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or",
+           "(at your option) any later version.", "", "You should have received a copy of the GNU General Public License", "along with Foo.  If not, see <https://www.gnu.org/licenses/>."]
+    mit = "\n".join(["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal", "in the Software without restriction, including without limitation the rights",
+                     "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell", "copies of the Software, and to permit persons to whom the Software is", "furnished to do so, subject to the following conditions:"])
+    bsd = li._BSD[0].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ")
+    held = "Copyright (c) 2019, A. Person. All rights reserved."
+    rows = {"GPL-3.0": "\n".join(f" * {x}" for x in gpl) + "\nint main() {}\n" + PROSE, "MIT": f"x = 1\n\nCopyright (c) 2020 A. Person\n\n{mit}\n\n{PROSE}", "ISC": "\n".join(["// " + x for x in (held, *li._ISC.split(", "))]) + "\n" + PROSE,
+            "Apache-2.0": f"{PROSE} More text here. Licensed under the Apache License, Version 2.0. And more.", "AGPL-3.0": "# SPDX-License-Identifier: AGPL-3.0-or-later\n" + PROSE, "LGPL-2.1": "  GNU LESSER GENERAL PUBLIC LICENSE\n     Version 2.1, February 1999\n\n" + PROSE,
+            "Proprietary": held + "\n" + PROSE, None: "// SPDX-License-Identifier: Zlib\n" + PROSE}
+    out = found(llm, [(f"{name}/x.txt", text) for name, text in rows.items()] + [("b2/LICENSE", f"{held}\n\n{bsd}\n\n{li._BSD[2]}"), ("b3/LICENSE", f"{held}\n\n{bsd}\n\n{li._BSD[1]}\n\n{li._BSD[2]}")])
+    assert {name: out[f"{name}/x.txt"][0] for name in rows} == {name: name for name in rows}
+    assert out["b2/LICENSE"][:2] == ("BSD-2-Clause", "file") and out["b3/LICENSE"][:2] == ("BSD-3-Clause", "file")
+
+
 def test_empty_table(llm):
     assert found(llm, []) == {}
 
