@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.llm import ann, bpe, chat, language, licences, lm, neardup, packing, quality, warc
+from leadflow.llm import ann, bpe, chat, language, licences, lm, neardup, packing, quality, repair, tiers, warc, whitening
 from leadflow.llm.support import QUERIES, SQL, query, table
 
 
@@ -114,3 +114,22 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     branch = F.expr("CASE doc_id % 3 WHEN 0 THEN concat(source, '/') WHEN 1 THEN concat(source, '/', lang, '/') ELSE concat(source, '/', lang, '/', doc_id % 50, '/') END")
     files = table(spark, sf_dir, "documents").select(F.concat(branch, F.col("doc_id"), F.lit(".txt")).alias("path"), "text")
     return licences.licences(files).select(F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long").alias("doc_id"), "*")
+
+
+@query("op11_hierarchical_packing")
+def hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of several lengths without padding."""
+    return tiers.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op12_structure_repair")
+def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a rule on its ids and repaired by the cheapest edits."""
+    turns = table(spark, sf_dir, "conversations")
+    return repair.summaries(repair.repaired(repair.damage(turns), turns))
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every usable vector on the eight strongest components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

@@ -160,6 +160,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, breaks:
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+def span_hashes(data: np.ndarray, lo: int, hi: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans of ``data[lo:hi]``, places counted from ``lo``; equal bytes have equal hashes."""
+    size = WINDOW_BYTES
+    while size < hi - lo + 1:
+        size *= 2
+    power, inverse = _powers(size)
+    sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_CODES[data[lo:hi]] * power[: hi - lo], out=sums[1:])
+    return mixed((sums[ends] - sums[begins]) * inverse[begins])
+
+
 def word_windows(texts: pa.Array, fold: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each window of the rows: hashes of its words, the rows they are in, and the places in ``text_buffer`` where they begin and end."""
     data, offsets = text_buffer(texts)
