@@ -271,16 +271,30 @@ def _segments(rows: DataFrame, costs: Costs, segment: int) -> DataFrame:
 
 
 def _borders(costs: Costs):
-    """The states before and after each segment of a conversation; of its rows only the tables are here, 32 numbers for ``SEGMENT`` rows."""
+    """The states before and after each segment; rows come sorted by conversation, part and seq. Of a conversation only the tables
+    are held, 32 numbers for ``SEGMENT`` rows."""
     names = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("seq", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("last", pa.bool_())])
+    four = lambda flat: tuple(tuple(flat[k : k + 4]) for k in (0, 4, 8, 12))
 
-    def solve(group: pa.Table) -> pa.Table:
-        rows = group.sort_by([("part", "ascending"), ("seq", "ascending")]).to_pylist()
-        four = lambda flat: tuple(tuple(flat[4 * k : 4 * k + 4]) for k in range(4))
-        tables = [Table(four(r["costs"]), four(r["orders"])) for r in rows]
+    def solved(rows: list[tuple]) -> list[tuple]:
+        tables = [Table(four(r[3]), four(r[4])) for r in rows]
         states = crossings(tables, START, last_state(tables, costs))
-        return pa.Table.from_pylist([{"conv_id": r["conv_id"], "part": r["part"], "seq": r["seq"], "start": p, "end": q, "last": k == len(rows) - 1}
-                                     for k, (r, p, q) in enumerate(zip(rows, [START, *states], states))], schema=names)
+        return [(*r[:3], p, q, k == len(rows) - 1) for k, (r, p, q) in enumerate(zip(rows, [START, *states], states))]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        made: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "part", "seq", "costs", "orders"))):
+                if rows and row[0] != rows[0][0]:
+                    made += solved(rows)
+                    rows = []
+                rows.append(row)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), names)], schema=names)
+                made = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*solved(rows)), names)], schema=names)
 
     return solve
 
@@ -290,7 +304,8 @@ def edits(rows: DataFrame, costs: Costs = Costs(), segment: int = SEGMENT) -> Da
 
     Letters of one row end with its own edit; after the last row of a conversation there may be inserts alone."""
     found = written(_segments(rows, costs, segment), "segments")
-    borders = found.drop("codes").groupBy("conv_id").applyInArrow(_borders(costs), "conv_id long, part long, seq long, start int, end int, last boolean")
+    borders = (found.drop("codes").repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
+               .mapInArrow(_borders(costs), "conv_id long, part long, seq long, start int, end int, last boolean"))
     names = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("seq", pa.int64()), ("audits", pa.list_(pa.string())), ("roles", pa.list_(pa.string()))])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
