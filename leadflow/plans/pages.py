@@ -10,6 +10,14 @@ from leadflow.plans.times import iso_sql
 from leadflow.sources import articles as ar
 from leadflow.sources import markup as mk
 from leadflow.sources.captures import decode_body
+from leadflow.sources.tree import Page, node_table, page_index
+
+
+PAGE = Page.of("_page")
+
+
+def indexed(df):
+    return df.withColumn("_page", page_index("html"))
 
 
 def pages(spark, d):
@@ -180,7 +188,7 @@ def page_titles(spark, d):
 
 @query("page_paragraphs", v.with_views(PIECES) + "SELECT page_id, pos - 1 AS number, md5(p) AS text_md5 FROM paragraphs_v")
 def page_paragraphs(spark, d):
-    rows = pages(spark, d).select("page_id", F.posexplode(ar.article_paragraphs("html")).alias("i", "p"))
+    rows = indexed(pages(spark, d)).select("page_id", F.posexplode(ar.article_paragraphs(PAGE)).alias("i", "p"))
     return rows.select("page_id", (F.col("i") + 1).cast("long").alias("number"), F.md5("p").alias("text_md5"))
 
 
@@ -188,27 +196,83 @@ def page_paragraphs(spark, d):
 SELECT g.page_id, {plain_sql("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")} AS title, md5(coalesce(t.text, g.whole)) AS text_md5
 FROM (SELECT page_id, html, {v.sql_clean(VISIBLE_SQL.replace("(html,", "(" + ARTICLE_SQL + ",", 1))} AS whole FROM pages) g LEFT JOIN (SELECT page_id, string_agg(p, chr(10) ORDER BY pos) AS text FROM paragraphs_v WHERE length(p) >= 35 GROUP BY 1) t USING (page_id)""")
 def doc_paragraphs(spark, d):
-    doc = pages(spark, d).withColumn("x", ar.extract_document("html"))
+    doc = indexed(pages(spark, d)).withColumn("x", ar.extract_document(PAGE))
     return doc.select("page_id", "x.title", F.md5("x.text").alias("text_md5"))
 
 
-@query("extract_articles")
+# The paragraphs of a page, each once, are its body if they say enough.
+BODY_SQL = f"""h1_v AS MATERIALIZED (SELECT page_id, {plain_sql("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")} AS h1, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS language FROM pages),
+body_v AS MATERIALIZED (
+  SELECT page_id, h1, language, CASE WHEN length(t) >= 45 THEN t ELSE '' END AS body
+  FROM h1_v LEFT JOIN (SELECT page_id, string_agg(p, chr(10) ORDER BY first_at) AS t FROM (SELECT page_id, p, min(pos) AS first_at FROM paragraphs_v WHERE p <> '' GROUP BY ALL) GROUP BY 1) USING (page_id))"""
+ARTICLE_COLUMNS = ("page_id", "title", "text_md5", "published", "updated", "date_precision", "language", "access_status", "evidence_level")
+
+
+def article_columns(found):
+    return found.withColumn("text_md5", F.md5("text")).select(*ARTICLE_COLUMNS)
+
+
+@query("extract_articles", v.with_views(PIECES, BODY_SQL) + """
+SELECT page_id, h1 AS title, md5(coalesce(body, '')) AS text_md5, '' AS published, '' AS updated, 'missing' AS date_precision, language,
+  CASE WHEN body <> '' THEN 'readable' WHEN h1 <> '' THEN 'metadata_only' ELSE 'unavailable' END AS access_status,
+  CASE WHEN body <> '' THEN 'public_article_body' WHEN h1 <> '' THEN 'public_metadata_only' ELSE 'unavailable' END AS evidence_level
+FROM body_v""")
 def extract_articles(spark, d):
-    found = ar.extract_articles(pages(spark, d))
-    return found.select("page_id", "title", F.md5("text").alias("text_md5"), "published", "updated", "date_precision", "language", "access_status", "evidence_level")
+    return article_columns(ar.extract_articles(pages(spark, d)))
+
+
+def published_pages(spark, d):
+    """The pages, six kinds in turn: plain, with structured data, with a time and a share box, behind a wall, with a marked body next to an aside, in a main element."""
+    kind = F.col("page_id") % 6
+    number = F.col("page_id").cast("string")
+    with_head = lambda text: F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), text))
+    in_article = lambda text: F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), text))
+    as_element = lambda start, end: F.replace(F.replace("html", F.lit("<article>"), F.lit(start)), F.lit("</article>"), F.lit(end))
+    structured = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Organization"},{"@type":["Thing","https://schema.org/NewsArticle"],"headline":"Story '), number,
+                          F.lit('","datePublished":"2026-09-24T10:00:00+09:00"}]}</script>'))
+    box = '<time datetime="2024-05-05">5 May</time><div class="share-box"><p>Share this story with all of your friends and colleagues today</p></div><ul><li><a href="/x">A linked story that is not part of it</a></li></ul>'
+    wall = F.concat(F.lit('<meta name="description" content="About page '), number, F.lit('"><meta content="2026-09-24T01:00:00Z" property="article:modified_time">'))
+    html = (F.when(kind == 1, with_head(structured)).when(kind == 2, in_article(F.lit(box)))
+            .when(kind == 3, F.replace(with_head(wall), F.lit("<article>"), F.lit("<article data-access='premium'>")))
+            .when(kind == 4, as_element('<aside><p>Elsewhere on this site there is much more to read</p></aside><div itemprop="articleBody">', "</div>"))
+            .when(kind == 5, as_element("<main><p hidden>This paragraph is never shown to anybody who reads the page</p>", "</main>")).otherwise(F.col("html")))
+    return pages(spark, d).withColumn("html", html)
+
+
+@query("article_evidence", v.with_views(PIECES, BODY_SQL) + """
+SELECT page_id, CASE page_id % 6 WHEN 1 THEN 'Story ' || page_id ELSE h1 END AS title,
+  md5(CASE page_id % 6 WHEN 3 THEN 'About page ' || page_id ELSE coalesce(body, '') END) AS text_md5,
+  CASE page_id % 6 WHEN 1 THEN '2026-09-24T10:00:00+09:00' WHEN 2 THEN '2024-05-05' ELSE '' END AS published,
+  CASE page_id % 6 WHEN 3 THEN '2026-09-24T01:00:00+00:00' ELSE '' END AS updated,
+  CASE page_id % 6 WHEN 1 THEN 'time' WHEN 2 THEN 'day' ELSE 'missing' END AS date_precision, language,
+  CASE WHEN page_id % 6 = 3 THEN 'restricted' WHEN body <> '' THEN 'readable' WHEN h1 <> '' OR page_id % 6 = 1 THEN 'metadata_only' ELSE 'unavailable' END AS access_status,
+  CASE WHEN page_id % 6 = 3 THEN 'public_metadata_only' WHEN body <> '' THEN 'public_article_body' WHEN h1 <> '' OR page_id % 6 = 1 THEN 'public_metadata_only' ELSE 'unavailable' END AS evidence_level
+FROM body_v""")
+def article_evidence(spark, d):
+    return article_columns(ar.extract_articles(published_pages(spark, d)))
+
+
+@query("page_outline", r"""
+SELECT page_id, lower(tag) AS tag, count(*)::BIGINT AS n FROM (
+  SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)(<(script|style)[^>]*>).*?</(script|style)\s*>', '\1', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
+GROUP BY ALL""")
+def page_outline(spark, d):
+    """Elements of every page by name, from the node table."""
+    nodes = node_table(pages(spark, d).select("page_id", page_index("html").alias("page")))
+    return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 def walled(spark, d):
     """Pages with a wall by class, by structured data or by sentence, or only with a sign-in link."""
     mark = (F.when(F.contains("url", F.lit("?page")), '<div class="story__paywall">Members</div>')
-            .when(F.contains("url", F.lit("utm_source")), '<script type="application/ld+json">{"a":[{"isAccessibleForFree":"False"}]}</script>')
+            .when(F.contains("url", F.lit("utm_source")), '<script type="application/ld+json">{"a":[{"@type":"Article","isAccessibleForFree":"False"}]}</script>')
             .when(F.endswith("url", F.lit(".html")), "<p>Please <b>sign in</b> to continue reading</p>").otherwise('<a class="paywall" href="/login">Sign in</a>'))
     return pages(spark, d).withColumn("html", F.replace("html", F.lit("<article>"), F.concat(mark, F.lit("<article>"))))
 
 
 @query("restricted_pages", "SELECT page_id, contains(url, '?page') OR contains(url, 'utm_source') OR ends_with(url, '.html') AS restricted FROM pages")
 def restricted_pages(spark, d):
-    return walled(spark, d).select("page_id", ar.is_restricted("html").alias("restricted"))
+    return indexed(walled(spark, d)).select("page_id", ar.is_restricted(PAGE, ar.article_node(PAGE, "url")).alias("restricted"))
 
 
 @query("article_access", "SELECT page_id, CASE WHEN contains(url, '?page') OR contains(url, 'utm_source') OR ends_with(url, '.html') THEN 'restricted' ELSE 'open' END AS access FROM pages")
@@ -222,4 +286,5 @@ def login_pages(spark, d):
     form = '<form><input type="password"></form>'
     title = F.when(F.contains("url", F.lit("?page")), "Log in | Example").otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     url = F.when(F.endswith("url", F.lit("/")), F.concat("url", F.lit("login/"))).otherwise(F.col("url"))
-    return pages(spark, d).select("page_id", ar.is_login_page(title, url, F.concat("html", F.lit(form))).alias("login"))
+    forms = indexed(pages(spark, d).select("page_id", title.alias("title"), url.alias("url"), F.concat("html", F.lit(form)).alias("html")))
+    return forms.select("page_id", ar.is_login_page("title", "url", PAGE).alias("login"))
