@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leadflow import sinks
 from leadflow.operators import audit, candidates as c, dedupe
+from leadflow.operators.components import components
 from leadflow.operators.ranking import rank_rows
 
 
@@ -115,6 +116,51 @@ def test_merge_equals_the_sequential_rule(spark, seed, n_ids, n_texts):
     assert sum(counts.values()) == len(want_copies)
 
 
+MERGE = "seq bigint, id string, signature string, readable boolean, older_duplicate boolean, tickers array<string>, canonical string"
+
+
+def chain(n, order):
+    """Ids that share texts in turn: id k has texts k and k + 1, in the given order of arrival."""
+    rows = [dict(id=f"i{k}", signature=f"t{k + j}", readable=True, older_duplicate=False, tickers=[f"T{k % 5}"], canonical="u") for k in range(n // 2) for j in (0, 1)]
+    for seq, at in enumerate(order(len(rows))):
+        rows[at]["seq"] = seq
+    return rows
+
+
+@pytest.mark.parametrize("order", [lambda n: range(n), lambda n: range(n - 1, -1, -1), lambda n: random.Random(1).sample(range(n), n)], ids=["rising", "falling", "shuffled"])
+def test_a_long_chain_is_merged_in_few_rounds(spark, order):
+    rows = chain(10_000, order)
+    df = spark.createDataFrame(rows, MERGE)
+    kept = {r["seq"] for r in dedupe.owners(df).collect()}
+    assert kept == set(sequential(rows)[0])
+    edges = spark.createDataFrame([(a["seq"], b["seq"]) for a, b in zip(rows, rows[1:])], "a long, b long")
+    roots, rounds = components(edges)
+    assert rounds <= 16 and roots.count() == len(rows) - 1 and {r["root"] for r in roots.collect()} == {0}
+
+
+def test_components_over_the_stated_size_go_by_rounds(spark):
+    rows = chain(60, lambda n: random.Random(2).sample(range(n), n)) + [dict(seq=1000 + k, id=f"j{k % 3}", signature=f"s{k % 4}", readable=k % 5 > 0, older_duplicate=False, tickers=[], canonical="u") for k in range(40)]
+    df = spark.createDataFrame(rows, MERGE)
+    wanted = set(sequential(rows)[0])
+    assert {r["seq"] for r in dedupe.owners(df, component_rows=5).collect()} == wanted == {r["seq"] for r in dedupe.owners(df).collect()}
+
+
+def test_a_hot_text_leaves_one_pair_and_no_rounds(spark, monkeypatch):
+    rows = [dict(seq=k, id=f"i{k}", signature="hot", readable=True, older_duplicate=False, tickers=["A"], canonical="u") for k in range(500)]
+    rows += [dict(seq=600 + k, id="one", signature=f"t{k}", readable=True, older_duplicate=False, tickers=["B"], canonical="u") for k in range(300)]
+    found = []
+    monkeypatch.setattr(dedupe, "components", lambda edges: found.append(components(edges)) or found[-1])
+    kept, copies = dedupe.dedupe_candidates(spark.createDataFrame(rows, MERGE))
+    assert {r["seq"] for r in kept.collect()} == {0, 600} and copies.count() == 499 and found[0][1] == 0
+
+
+def test_discovery_matches_come_from_copies_of_the_text_only(spark):
+    row = lambda seq, one, text, found: dict(seq=seq, id=one, signature=text, readable=True, older_duplicate=False, tickers=[f"T{seq}"], canonical="u", discovery_matches=found)
+    rows = [row(1, "a", "x", ["P", "Q"]), row(2, "b", "x", ["Q", "R"]), row(3, "a", "y", ["S"]), row(4, "c", "z", None)]
+    kept, _ = dedupe.dedupe_candidates(spark.createDataFrame(rows, MERGE + ", discovery_matches array<string>"))
+    assert {r["seq"]: (r["tickers"], r["discovery_matches"]) for r in kept.collect()} == {1: (["T1", "T2", "T3"], ["P", "Q", "R"]), 4: (["T4"], [])}
+
+
 def test_select_edition(spark):
     rows = [(i, 50 + i % 3, "changed" if i % 5 == 0 else "new", "Company update" if i % 2 else "Deal", [f"{i % 4} JP"], i % 7 != 0) for i in range(60)]
     df = spark.createDataFrame(rows, "lead_seq bigint, attention_score int, change string, event_type string, tickers array<string>, eligible boolean")
