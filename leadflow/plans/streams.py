@@ -13,6 +13,9 @@ from leadflow.session import shared_folder
 from leadflow.streaming import intake
 
 
+HORIZON_DAYS = 400  # no event of the tables is as late as that
+
+
 def folders(spark):
     base = f"{shared_folder(spark)}/streams/{uuid4().hex}"
     return f"{base}/out", f"{base}/state", f"{base}/checkpoint"
@@ -47,8 +50,8 @@ def stream_window_verdict(spark, d):
 
 @query("stream_dedup", v.with_views(v.LEADS, v.HASHED) + "SELECT DISTINCT id FROM hashed_v")
 def stream_dedup(spark, d):
-    out, _, checkpoint = folders(spark)
-    intake.run_batches(stream_of_leads(spark, d).select("id", "published"), intake.dedup_batches(out), checkpoint)
+    out, state, checkpoint = folders(spark)
+    intake.run_batches(stream_of_leads(spark, d).select("id", "published"), intake.dedup_batches(out, time="published", horizon_days=HORIZON_DAYS, state=state), checkpoint)
     return spark.read.parquet(out).select("id")
 
 
@@ -59,7 +62,7 @@ FROM (SELECT *, lag(content_hash) OVER w AS prev, lag(title) OVER w AS prev_titl
 def stream_change_status(spark, d):
     out, state, checkpoint = folders(spark)
     leads = stream_of_leads(spark, d).select("lead_seq", "id", "published", "content_hash", "title")
-    intake.run_batches(leads, intake.change_batches(spark, out, state), checkpoint)
+    intake.run_batches(leads, intake.change_batches(spark, out, state, HORIZON_DAYS), checkpoint)
     return intake.latest_changes(spark.read.parquet(out))
 
 

@@ -1,15 +1,17 @@
 """Continuous intake: labels, deduplication, change detection and counts.
 
 Late and early rows are labelled by the same verdict as in batch, and none is dropped: state is kept in
-tables by batch and bucket instead of behind a watermark, so a stream gives what the batch gives.
+tables by batch and bucket instead of behind a watermark, so a stream gives what the batch gives; rows from before a stated
+horizon go to a side table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadflow.operators.candidates import change_history
+from leadflow.streaming.state import EVERY, KeyedState, write_batch
 
 
 def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -34,48 +36,37 @@ def run_batches(stream: DataFrame, handle, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-BUCKETS = 64  # folders of the state by hash of the key; a batch reads and writes only those its keys fall into
+def dedup_batches(out: str, key: str = "id", order: str | None = None, time: str | None = None, horizon_days: int | None = None, state: str | None = None, late: str | None = None, every: int = EVERY):
+    """Sink that keeps the first row of each key: the first batch that holds the key decides, and within a batch the row with the
+    smallest ``order`` (the smallest row, if none is given).
 
-
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def _earlier(session: SparkSession, path: str, batch: DataFrame, batch_id: int, schema: str) -> DataFrame:
-    """Rows of the state that earlier batches wrote into the buckets of this batch; ``batch`` has a column ``bucket``."""
-    if batch_id == 0:
-        return session.createDataFrame([], f"{schema}, batch int, bucket int")
-    touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS
-    rows = session.read.schema(f"{schema}, batch int, bucket int").option("basePath", path).parquet(path)
-    return rows.filter((F.col("batch") < batch_id) & F.col("bucket").isin(touched))
-
-
-def _write_batch(rows: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
-    """Each batch has its own folder, which a retry replaces; a batch without rows leaves an empty one."""
-    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch={batch_id}")
-
-
-def dedup_batches(out: str, key: str = "id", order: str | None = None):
-    """Sink that keeps the first row of each key, however late a copy arrives: the first batch that holds the
-    key decides, and within a batch the row with the smallest ``order`` (the smallest row, if none is given).
-
-    A watermark would drop late rows, so the keys already written are the state: a batch is compared with
-    the keys of earlier batches in the buckets it touches, and a retried batch sees the same ones and
-    replaces its own folder. Rows without a key are one key."""
+    The keys are the state, next to ``out`` if ``state`` is not given. With a horizon a key is known for that many days of ``time`` after its
+    first row, rows from before the horizon go to ``late`` with their batch, and the state stays as large as the keys of the horizon.
+    Without one no key is forgotten. Rows without a key are one key."""
+    side = late or f"{out}_late"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         names = batch.columns
-        whole = F.struct(*[F.col(c) for c in names])
-        first = batch.groupBy(key).agg(F.min(F.struct(F.col(order or key).alias("o"), whole.alias("r"))).alias("f")).select(*[F.col(f"f.r.{c}").alias(c) for c in names])
-        first = first.withColumn("bucket", _bucket(key))
-        kind = dict(batch.dtypes)[key]
-        seen = _earlier(batch.sparkSession, out, first, batch_id, f"{key} {kind}").select(F.col(key).alias("_seen"))
+        known = KeyedState(state or f"{out}_state", f"{key} {dict(batch.dtypes)[key]}", key, (key,), horizon_days, every=every)
+        rows, behind = known.begin(batch, time, batch_id)
+        whole = F.struct(*[F.col(c) for c in (*names, "at", "bucket")])
+        first = rows.groupBy(key).agg(F.min(F.struct(F.col(order or key).alias("o"), whole.alias("r"))).alias("f")).select("f.r.*")
+        seen = known.before(first, batch_id).select(F.col(key).alias("_seen"))
         fresh = first.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
-        _write_batch(fresh, out, batch_id, "bucket")
+        write_batch(fresh.drop("at"), out, batch_id, "bucket")
+        known.write(_just_written(batch, out, batch_id, names + ["bucket"]).join(first.select(F.col(key).alias("_k"), "at"), F.col(key).eqNullSafe(F.col("_k"))), batch_id)
+        if horizon_days is not None:
+            behind.drop("at").write.mode("overwrite").parquet(f"{side}/batch={batch_id}")
 
     return handle
 
 
+def _just_written(batch: DataFrame, out: str, batch_id: int, names: list[str]) -> DataFrame:
+    """What a batch has just written, so that it is not computed again for the state."""
+    kinds = dict(batch.dtypes) | {"bucket": "int"}
+    return batch.sparkSession.read.schema(", ".join(f"`{n}` {kinds[n]}" for n in names)).parquet(f"{out}/batch={batch_id}")
+
+
 def count_batches(out: str, time: str = "published"):
     """Sink of the rows per source and day of each batch; ``daily_counts`` adds them up. Late rows count on
     their own day, and a retried batch replaces its own folder."""
@@ -91,30 +82,33 @@ def daily_counts(written: DataFrame) -> DataFrame:
     return written.groupBy("source_id", "day").agg(F.sum("headlines").alias("headlines"))
 
 
-def change_batches(spark: SparkSession, out: str, state: str):
+def change_batches(spark: SparkSession, out: str, state: str, horizon_days: int | None = None, late: str | None = None, every: int = EVERY):
     """Sink that marks every document new, changed or unchanged against the one before it at its address, in
     order of publication day and sequence, as the batch operator does for all documents at once.
 
-    The state holds the documents seen, narrow and bucketed by address. A batch is compared with the
+    The state holds the documents seen with their marks, narrow and bucketed by address. A batch is compared with the
     documents of its own addresses; where a late document comes before one already marked, the mark of that one is
     written again. ``latest_changes`` reads the last mark of each document, so the result does not depend on
-    the order of arrival. No address is held by one Python worker, and a retried batch reads the same state
-    and replaces its own folders."""
+    the order of arrival. With a horizon, documents from before it go to ``late``, and a document is compared with those up to
+    a horizon older than itself; the state holds two horizons. No address is held by one Python worker."""
     columns = ("lead_seq", "id", "published", "content_hash", "title")
-    schema = "lead_seq bigint, id string, published timestamp, content_hash string, title string"
-    marks = "lead_seq bigint, id string, change string, previous_title string"
+    documents = KeyedState(state, "lead_seq bigint, id string, published timestamp, content_hash string, title string, change string, previous_title string", "id", ("lead_seq",), horizon_days, 2, every)
+    side = late or f"{out}_late"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        rows = batch.select(*columns).withColumn("bucket", _bucket("id"))
+        rows, behind = documents.begin(batch.select(*columns), "published", batch_id)
         ids = rows.select(F.col("id").alias("_id")).distinct()
-        same = F.col("id").eqNullSafe(F.col("_id"))
-        before = _earlier(session, state, rows, batch_id, schema).select(*columns).join(ids, same, "left_semi")
-        marked = change_history(before.unionByName(rows.select(*columns))).select("lead_seq", "id", "change", "previous_title")
-        given = latest_changes(_earlier(session, out, rows, batch_id, marks)).select(F.col("lead_seq").alias("_seq"), F.struct("change", "previous_title").alias("_mark"))
-        news = marked.join(given, F.col("lead_seq") == F.col("_seq"), "left").filter(~F.struct("change", "previous_title").eqNullSafe(F.col("_mark")))
-        _write_batch(news.select("lead_seq", "id", "change", "previous_title").withColumn("bucket", _bucket("id")), out, batch_id, "bucket")
-        _write_batch(rows, state, batch_id, "bucket")
+        before = documents.before(rows, batch_id).join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+        old = before.select("lead_seq", F.struct("change", "previous_title").alias("_mark"))
+        both = before.select(*columns, "at", "bucket").unionByName(rows.select(*columns, "at", "bucket"))
+        # A document whose predecessor has left the state looks new; its mark stands.
+        moved = ~F.struct("change", "previous_title").eqNullSafe(F.col("_mark")) & (F.col("_mark").isNull() | (F.col("change") != "new"))
+        marked = change_history(both).join(old, "lead_seq", "left").filter(moved)
+        documents.write(marked, batch_id)
+        news = documents.rows_in(batch.sparkSession, [documents.folder("rows", batch_id)])
+        write_batch(news.select("lead_seq", "id", "change", "previous_title", "bucket"), out, batch_id, "bucket")
+        if horizon_days is not None:
+            behind.drop("at").write.mode("overwrite").parquet(f"{side}/batch={batch_id}")
 
     return handle
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leadflow.operators.candidates import change_history
 from leadflow.streaming import intake
+from leadflow.streaming.state import KeyedState
 
 
 def documents(spark):
@@ -80,3 +81,61 @@ def test_the_first_copy_stays(spark, tmp_path):
     handle(docs, 0)
     handle(spark.createDataFrame([(0, "k", "late"), (4, "new", "z")], docs.schema), 1)
     assert {r["body"] for r in spark.read.parquet(str(tmp_path / "ids")).collect()} == {"a", "m", "z"}
+
+
+def dated(spark, rows):
+    """Documents (lead_seq, id, day, hash); a null day is undated."""
+    df = spark.createDataFrame([(s, i, d, h, f"t{s}") for s, i, d, h in rows], "lead_seq long, id string, d int, content_hash string, title string")
+    return df.withColumn("published", F.timestamp_seconds(F.lit(1790000000) + F.col("d") * 86400)).select("lead_seq", "id", "published", "content_hash", "title")
+
+
+def files(path):
+    return [p for p in path.rglob("*.parquet")]
+
+
+def test_state_stays_bounded_over_many_batches(spark, tmp_path):
+    """One new key a batch and one that comes back; three days a batch, a horizon of twelve days, a snapshot every three batches."""
+    handle = intake.dedup_batches(str(tmp_path / "out"), "id", "lead_seq", "published", 12, str(tmp_path / "state"), every=3)
+    sizes, held = [], []
+    for b in range(15):
+        handle(dated(spark, [(10 * b, f"k{b}", 3 * b, "h"), (10 * b + 1, f"k{max(0, b - 2)}", 3 * b, "h"), (10 * b + 2, "old", 3 * b - 40, "h")]), b)
+        sizes.append(len(files(tmp_path / "state")))
+        known = KeyedState("", "id string", "id", ("id",)).rows_in(spark, [str(p) for kind in ("rows", "snapshots") for p in (tmp_path / "state").glob(f"{kind}/*")])
+        held.append(known.select("id").distinct().count())
+    assert max(sizes[12:]) <= max(sizes[9:12]) + 1 and max(held[12:]) <= max(held[9:12]) + 1, (sizes, held)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["id"] for r in out.collect()) == sorted([f"k{b}" for b in range(15)] + ["old"])  # the first batch has no high mark
+    late = spark.read.parquet(str(tmp_path / "out_late"))
+    assert late.count() == 14 and {r["id"] for r in late.select("id").distinct().collect()} == {"old"}
+
+
+def test_a_retried_batch_leaves_the_same_state(spark, tmp_path):
+    batches = [dated(spark, [(100 * b + k, f"i{(b * 3 + k) % 11}", b, f"h{(b + k) % 3}") for k in range(6)]) for b in range(7)]
+    results = []
+    for name, retried in (("once", ()), ("twice", (1, 3, 4, 6))):
+        handle = intake.change_batches(spark, str(tmp_path / name / "out"), str(tmp_path / name / "state"), 30, every=3)
+        for b, rows in enumerate(batches):
+            for _ in range(2 if b in retried else 1):
+                handle(rows, b)
+        results.append({tuple(r) for r in intake.latest_changes(spark.read.parquet(str(tmp_path / name / "out"))).collect()})
+    whole = batches[0]
+    for more in batches[1:]:
+        whole = whole.unionByName(more)
+    want = {tuple(r) for r in change_history(whole).select("lead_seq", "change", "previous_title").collect()}
+    assert results[0] == results[1] == want
+
+
+def test_changes_equal_the_batch_inside_the_horizon(spark, tmp_path):
+    """Documents arrive up to nine days late, in shuffled order; their predecessors are at most ten days older."""
+    rnd = __import__("random").Random(8)
+    rows = [(k, f"i{k % 9}", k // 6, f"h{rnd.randint(0, 2)}") for k in range(240)]
+    arrival = sorted(rows, key=lambda r: r[2] + rnd.randint(0, 9))
+    handle = intake.change_batches(spark, str(tmp_path / "out"), str(tmp_path / "state"), 10, every=4)
+    for b in range(12):
+        handle(dated(spark, arrival[20 * b : 20 * b + 20]), b)
+    got = {tuple(r) for r in intake.latest_changes(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    want = {tuple(r) for r in change_history(dated(spark, rows)).select("lead_seq", "change", "previous_title").collect()}
+    assert got == want and spark.read.parquet(str(tmp_path / "out_late")).count() == 0
+    # Snapshots hold two horizons only.
+    last = max((tmp_path / "state" / "snapshots").glob("batch=*"), key=lambda p: int(p.name.split("=")[1]))
+    assert spark.read.parquet(str(last)).count() < 200
