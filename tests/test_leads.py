@@ -1,6 +1,7 @@
 """Ranking, audit, change, classification and merging."""
 
 import hashlib
+import os
 import random
 
 import pytest
@@ -169,21 +170,86 @@ def test_select_edition(spark):
     assert len(got) == 60 and [r["lead_seq"] for r in sorted((g for g in got if g["selected"]), key=lambda g: g["position"])] == [r[0] for r in best]
 
 
-def test_state_and_run_folders(spark, tmp_path):
-    cand = lambda rows: spark.createDataFrame(rows, "lead_seq bigint, id string, content_hash string, title string, canonical string, published timestamp")
-    first = sinks.advance_state(spark, str(tmp_path / "state"), 0, cand([(1, "a", "h1", "A", "u", None), (2, "b", "h2", "B", "u", None)]), "2026-09-23")
-    assert first.count() == 2
-    sinks.advance_state(spark, str(tmp_path / "state"), 1, cand([(3, "b", "h3", "B2", "u", None)]), "2026-09-24", dry_run=True)
-    assert not (tmp_path / "state" / "version=1").exists()
-    for _ in range(2):
-        sinks.advance_state(spark, str(tmp_path / "state"), 1, cand([(3, "b", "h3", "B2", "u", None)]), "2026-09-24")
-    after = {r["id"]: (r["content_hash"], str(r["edition_date"])) for r in sinks.read_state(spark, str(tmp_path / "state"), 1).collect()}
+def state_rows(spark, rows):
+    return spark.createDataFrame(rows, "lead_seq bigint, id string, content_hash string, title string, canonical string, published timestamp")
+
+
+def test_state_versions(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert sinks.read_state(spark, path).count() == 0 and sinks.latest_version(spark, path) == -1
+    first = sinks.advance_state(spark, path, state_rows(spark, [(1, "a", "h1", "A", "u", None), (2, "b", "h2", "B", "u", None)]), "2026-09-23", "r1")
+    assert first.count() == 2 and sinks.latest_version(spark, path) == 0
+    later = state_rows(spark, [(3, "b", "h3", "B2", "u", None)])
+    assert sinks.advance_state(spark, path, later, "2026-09-24", dry_run=True).count() == 2 and sinks.latest_version(spark, path) == 0
+    for _ in range(2):  # the retry of a run that has been committed changes nothing
+        sinks.advance_state(spark, path, later, "2026-09-24", "r2")
+    assert sinks.latest_version(spark, path) == 1
+    after = {r["id"]: (r["content_hash"], str(r["edition_date"])) for r in sinks.read_state(spark, path).collect()}
     assert after == {"a": ("h1", "2026-09-23"), "b": ("h3", "2026-09-24")}
-    sinks.write_run({"audit": spark.range(3)}, str(tmp_path / "runs"), "2026-09-24", "r1")
+    assert {r["content_hash"] for r in sinks.read_state(spark, path, 0).collect()} == {"h1", "h2"}
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    path = str(tmp_path / "state")
+    mine, other = (state_rows(spark, [(1, i, "h", "T", "u", None)]) for i in ("mine", "other"))
+    empty = sinks.read_state(spark, path)
+    upsert = lambda rows: c.upsert_state(empty, rows, "2026-09-23")
+    assert sinks.write_state(upsert(other), path, -1, "other") == 0
+    with pytest.raises(sinks.CommitConflict):
+        sinks.write_state(upsert(mine), path, -1, "mine")
+    assert [r["id"] for r in sinks.read_state(spark, path).collect()] == ["other"]
+    # Both have written their data when one commits.
+    commits = sinks.Commits(spark, f"{path}/_versions")
+    commits.add(f"{1:020d}", {"version": 1, "folder": "data/none", "run_id": "x"})
+    with pytest.raises(sinks.CommitConflict):
+        commits.add(f"{1:020d}", {"version": 1, "folder": "data/other", "run_id": "y"})
+    assert commits.read(f"{1:020d}")["run_id"] == "x"
+    # A writer that was ended inside its commit.
+    (tmp_path / "state" / "_versions" / f"{2:020d}.json").touch()
+    assert sinks.latest_version(spark, path) == 1
+    with pytest.raises(sinks.CommitConflict):
+        commits.add(f"{2:020d}", {"version": 2})
+    os.utime(tmp_path / "state" / "_versions" / f"{2:020d}.json", (0, 0))
+    commits.add(f"{2:020d}", {"version": 2})
+    assert sinks.latest_version(spark, path) == 2
+
+
+def test_a_writer_ended_before_its_commit_leaves_nothing_to_read(spark, tmp_path, monkeypatch):
+    path, runs = str(tmp_path / "state"), str(tmp_path / "runs")
+    sinks.advance_state(spark, path, state_rows(spark, [(1, "a", "h1", "A", "u", None)]), "2026-09-23", "r1")
+
+    class Ended(BaseException):
+        pass
+
+    def ended(*_):
+        raise Ended
+
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks.Commits, "add", ended)
+        with pytest.raises(Ended):
+            sinks.advance_state(spark, path, state_rows(spark, [(2, "b", "h2", "B", "u", None)]), "2026-09-24", "r2")
+    broken = spark.range(3).select(F.raise_error(F.lit("lost")).alias("id"))
     with pytest.raises(Exception):
-        sinks.write_run({"audit": spark.range(3)}, str(tmp_path / "runs"), "2026-09-24", "r1")
-    sinks.write_run({"audit": spark.range(2)}, str(tmp_path / "runs"), "2026-09-24", "r2")
-    assert sinks.read_run(spark, str(tmp_path / "runs"), "audit").count() == 5
+        sinks.write_run({"audit": spark.range(3), "candidates": broken}, runs, "2026-09-24", "r1")
+    assert sinks.latest_version(spark, path) == 0 and [r["id"] for r in sinks.read_state(spark, path).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        sinks.read_run(spark, runs, "audit")
+    # The same run is written again as a whole; what the first attempt left is not read.
+    sinks.write_run({"audit": spark.range(2), "candidates": spark.range(1)}, runs, "2026-09-24", "r1")
+    assert sinks.read_run(spark, runs, "audit").count() == 2
+    sinks.advance_state(spark, path, state_rows(spark, [(2, "b", "h2", "B", "u", None)]), "2026-09-24", "r2")
+    assert sinks.read_state(spark, path).count() == 2 and len(sinks.expire_state(spark, path, 1)) == 2 and sinks.read_state(spark, path).count() == 2
+
+
+def test_run_folders(spark, tmp_path):
+    runs = str(tmp_path / "runs")
+    sinks.write_run({"audit": spark.range(3)}, runs, "2026-09-24", "r1")
+    with pytest.raises(sinks.CommitConflict):
+        sinks.write_run({"audit": spark.range(3)}, runs, "2026-09-24", "r1")
+    sinks.write_run({"audit": spark.range(2)}, runs, "2026-09-24", "r2")
+    sinks.write_run({"audit": spark.range(1)}, runs, "2026-09-25", "r1")
+    assert sinks.read_run(spark, runs, "audit").count() == 6 and sinks.read_run(spark, runs, "audit", "2026-09-24").count() == 5
+    assert sinks.read_run(spark, runs, "audit", run_id="r1").columns == ["id", "edition_date", "run_id"] and len(sinks.runs(spark, runs)) == 3
 
 
 def test_id_and_hash(spark):
