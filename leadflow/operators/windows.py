@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadflow.functions.dates import AFTERNOON_BOUNDARY, AFTERNOON_FLOOR, DESK_ZONE, edition_kind, window_verdict
 from leadflow.functions.text import _col
+from leadflow.operators.asof import asof_join, fill_forward, prev_weekday
 from leadflow.rules import MARKET_ALIASES, SESSION_HORIZON_DAYS
-from leadflow.session import bounded_rows
+from leadflow.session import bounded_rows, written_table
 
+LOOKBACK_HOURS = 24
 MAX_MARKETS = 500  # rows of a market table that may be read on the driver
 
 
@@ -33,47 +36,65 @@ def for_each_row(df: DataFrame, small: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(*rows)))
 
 
-def _cutoffs(pairs: DataFrame, overrides: DataFrame, days: int) -> DataFrame:
-    """Latest close at or before ``as_of`` among the last ``days`` local days of each (edition,
-    market) pair; null where none of them had a session."""
-    local = F.to_date(F.from_utc_timestamp("as_of", F.col("timezone")))
-    dated = pairs.withColumn("session_date", F.explode(F.sequence(F.date_sub(local, days - 1), local)))
-    special = overrides.select("market", F.col("session_date").cast("date").alias("session_date"),
-                               F.col("close").alias("_special"), F.lit(True).alias("_listed"))
-    named = dated.join(special, ["market", "session_date"], "left")
-    clock = F.when(F.col("_listed"), F.col("_special")).when(F.weekday("session_date") < 5, F.col("close"))
+def _clock(day: Column, clock: Column, zone: Column) -> Column:
+    """Instant of a local clock time; null without one."""
     seconds = F.when(F.length(clock) > 5, clock).otherwise(F.concat(clock, F.lit(":00")))
-    at = F.to_utc_timestamp(F.to_timestamp(F.concat(F.date_format("session_date", "yyyy-MM-dd "), seconds)), F.col("timezone"))
-    basis = F.when(F.col("_listed"), "session override").otherwise(F.col("basis"))
-    done = at.isNotNull() & (at <= F.col("as_of"))
-    return (named.groupBy("edition_id", "as_of", "market", "timezone", F.col("close").alias("close"), "basis")
-            .agg(F.max_by(F.struct(at.alias("window_start"), "session_date", basis.alias("basis")),
-                          F.when(done, F.col("session_date"))).alias("c"))
-            .withColumnRenamed("basis", "rule_basis"))
+    return F.to_utc_timestamp(F.to_timestamp(F.concat(F.date_format(day, "yyyy-MM-dd "), seconds)), zone)
+
+
+def _replaced(overrides: DataFrame) -> DataFrame:
+    """(market, session_date, regular): for every weekday with an override of its own, the last weekday before it without one.
+
+    Runs of such days are islands in the order of weekdays, so a closure of any length is one step."""
+    days = overrides.select("market", F.col("session_date").cast("date").alias("session_date")).distinct().filter(F.weekday("session_date") < 5)
+    order = Window.partitionBy("market").orderBy("session_date")
+    begins = F.coalesce(F.lag("session_date").over(order) != prev_weekday(F.col("session_date")), F.lit(True)).cast("int")
+    runs = days.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order))
+    first = F.min("session_date").over(Window.partitionBy("market", "_run"))
+    return runs.select(F.col("market").alias("_m"), F.col("session_date").alias("_d"), prev_weekday(first).alias("regular"))
 
 
-def latest_close(editions: DataFrame, rules: DataFrame, overrides: DataFrame, near_days: int = 8) -> DataFrame:
+def latest_close(editions: DataFrame, rules: DataFrame, overrides: DataFrame) -> DataFrame:
     """As-of lookup of the last completed close per (edition, market).
 
-    Editions are (edition_id, as_of). Almost every close lies a few days back, so the last
-    ``near_days`` are tried first and only pairs without one look back over the whole horizon. A pair
-    with no session inside the horizon is an error."""
-    pairs = for_each_row(editions.select("edition_id", "as_of"), rules.select("market", "timezone", "close", "basis"), "_r")
-    near = _cutoffs(pairs.select("edition_id", "as_of", "_r.*"), overrides, near_days)
-    found = near.filter(F.col("c").isNotNull())
-    rest = near.filter(F.col("c").isNull()).select("edition_id", "as_of", "market", "timezone", "close", F.col("rule_basis").alias("basis"))
-    far = _cutoffs(rest, overrides, SESSION_HORIZON_DAYS)
+    Editions are (edition_id, as_of). The regular close follows from the calendar: the day itself, or the weekday before it, or the
+    weekday before a run of days with sessions of their own. Closes of special sessions are looked up as of the edition, and
+    the later of both counts. A pair with no session in the last ``SESSION_HORIZON_DAYS`` days is an error."""
+    pairs = for_each_row(editions.select("edition_id", "as_of"), rules.select("market", "timezone", "close", "basis"), "_r").select("edition_id", "as_of", "_r.*")
+    local = F.to_date(F.from_utc_timestamp("as_of", F.col("timezone")))
+    today = (F.weekday(local) < 5) & (_clock(local, F.col("close"), F.col("timezone")) <= F.col("as_of"))
+    regular = pairs.withColumn("_local", local).withColumn("_day", F.when(today, local).otherwise(prev_weekday(local)))
+    replaced = regular.join(F.broadcast(_replaced(overrides)), (F.col("market") == F.col("_m")) & (F.col("_day") == F.col("_d")), "left").withColumn("_day", F.coalesce("regular", "_day"))
+    zones = rules.select(F.col("market").alias("_z"), "timezone")
+    special = (overrides.filter("close IS NOT NULL").join(zones, F.col("market") == F.col("_z")).select("market", F.col("session_date").cast("date").alias("_special"), F.col("close").alias("_at"), "timezone")
+               .select("market", "_special", _clock(F.col("_special"), F.col("_at"), F.col("timezone")).alias("_closed")))
+    found = asof_join(replaced.drop("_m", "_d", "regular"), special, ["market"], "as_of", "_closed", ["_closed", "_special"], salts=1)
+    since = F.date_sub("_local", SESSION_HORIZON_DAYS - 1)
+    usual = F.when(F.col("_day") >= since, F.struct(_clock(F.col("_day"), F.col("close"), F.col("timezone")).alias("window_start"), F.col("_day").alias("session_date"), F.col("basis").alias("basis")))
+    own = F.when(F.col("_special") >= since, F.struct(F.col("_closed").alias("window_start"), F.col("_special").alias("session_date"), F.lit("session override").alias("basis")))
+    best = found.withColumn("c", F.greatest(usual, own))
     start = F.when(F.col("c").isNull(), F.raise_error(F.concat(F.lit("no completed session for "), "market")).cast("timestamp"))
-    return found.unionByName(far).select(
-        "edition_id", "as_of", "market", start.otherwise(F.col("c.window_start")).alias("window_start"), "c.session_date", "c.basis")
+    return best.select("edition_id", "as_of", "market", start.otherwise(F.col("c.window_start")).alias("window_start"), "c.session_date", "c.basis")
+
+
+def fallback_start(editions: DataFrame, windows: DataFrame, hours: int | Column = LOOKBACK_HOURS) -> DataFrame:
+    """(edition_id, start): where records without a market of their own begin. It is the earliest window of the edition, or ``hours`` before the
+    edition where it has none (rolling mode)."""
+    rolling = editions.select("edition_id", (F.col("as_of") - F.make_dt_interval(hours=hours if isinstance(hours, Column) else F.lit(hours))).alias("_rolling"))
+    earliest = windows.groupBy(F.col("edition_id").alias("_e")).agg(F.min("window_start").alias("_earliest"))
+    return rolling.join(earliest, F.col("edition_id") == F.col("_e"), "left").select("edition_id", F.coalesce("_earliest", "_rolling").alias("start"))
 
 
 def build_windows(editions: DataFrame, rules: DataFrame, overrides: DataFrame, mode: str = "auto",
-                  boundary: str = AFTERNOON_BOUNDARY) -> DataFrame:
+                  boundary: str = AFTERNOON_BOUNDARY, timing: str = "market_close") -> DataFrame:
     """Window per (edition, market) plus a GLOBAL row.
 
-    Morning: from the latest close, inclusive; GLOBAL is the earliest of them. Afternoon: strictly
+    With ``timing`` "rolling_hours" there are no windows: everything is resolved and starts at ``fallback_start``. Morning: from the latest close, inclusive; GLOBAL is the earliest of them. Afternoon: strictly
     after 14:10 Singapore for every market, pending until that time has passed."""
+    if timing not in ("market_close", "rolling_hours"):
+        raise ValueError("timing must be market_close or rolling_hours")
+    if timing == "rolling_hours":
+        editions = editions.limit(0)
     kinds = editions.select("edition_id", "as_of").withColumn("edition", edition_kind("as_of", mode, boundary))
     morning = latest_close(kinds.filter("edition = 'morning'").drop("edition"), rules, overrides)
     per_market = morning.select("edition_id", "as_of", "market", "window_start", "session_date", "basis")
@@ -155,17 +176,40 @@ def with_verdict(df: DataFrame, as_of, ts: str = "published", precision: str = "
     return df.withColumn("window_status", window_verdict(when, precision, "applied_window_start", end, F.col("applied_inclusive")))
 
 
-def assign_editions(leads: DataFrame, windows: DataFrame) -> DataFrame:
+def _layers(rows: pa.Table) -> pa.Table:
+    """The windows of a market in layers: in a layer, starts and ends rise with ``rank``. Morning and afternoon editions make two."""
+    ends: list[tuple] = []
+    counts: list[int] = []
+    placed = []
+    rows = rows.sort_by([("_start", "ascending"), ("_strict", "ascending"), ("as_of", "ascending"), ("edition_id", "ascending")])
+    for end in rows["as_of"].to_pylist():
+        layer = next((k for k, last in enumerate(ends) if last <= end), len(ends))
+        if layer == len(ends):
+            ends.append(end)
+            counts.append(0)
+        ends[layer] = end
+        placed.append((layer, counts[layer]))
+        counts[layer] += 1
+    return rows.append_column("layer", pa.array([p[0] for p in placed], pa.int32())).append_column("rank", pa.array([p[1] for p in placed], pa.int32()))
+
+
+def assign_editions(leads: DataFrame, windows: DataFrame, salts: int = 4) -> DataFrame:
     """(lead, edition) pairs of a backfill: every edition whose window of the lead's market holds it.
 
-    Both sides meet on (market, UTC day): a window is listed under each day it touches, so the range
-    test only runs inside a day and a join too large to broadcast still spreads over market and day.
+    The windows of a market are laid out in layers in which starts and ends rise together. A lead then lies in the windows from the first
+    that has not ended to the last that has begun, and both are looked up as of its time; only pairs that match are made.
     Day precision and missing dates prove nothing and join no edition."""
-    exact = leads.filter(F.col("date_precision") == "time").withColumn("_day", F.to_date("published")).withColumn(
-        "_market", F.coalesce(F.col("market"), F.lit("GLOBAL")))
-    spans = windows.filter("status = 'active'").select(
-        "edition_id", F.col("market").alias("_market"), "window_start", "as_of", "start_inclusive",
-        F.explode(F.sequence(F.to_date("window_start"), F.to_date("as_of"))).alias("_day"))
-    inside = ((F.col("published") > F.col("window_start")) | (F.col("start_inclusive") & (F.col("published") == F.col("window_start")))) \
-        & (F.col("published") <= F.col("as_of"))
-    return exact.join(spans, ["_market", "_day"]).filter(inside).drop("_market", "_day")
+    exact = leads.filter(F.col("date_precision") == "time").withColumn("_market", F.coalesce(F.col("market"), F.lit("GLOBAL"))).withColumn("_t", F.unix_micros("published"))
+    spans = (windows.filter("status = 'active'").select("edition_id", F.col("market").alias("_market"), "window_start", "as_of", "start_inclusive")
+             .withColumn("_start", F.unix_micros("window_start")).withColumn("_strict", (~F.col("start_inclusive")).cast("int")))
+    # One row per market and edition; the layers of a market are found in one pass over its editions.
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.schema)
+    laid = written_table(spans.groupBy("_market").applyInArrow(_layers, f"{fields}, layer int, rank int"), "layers")
+    begun = laid.select("_market", "layer", F.col("_start").alias("_t"), (F.col("_strict") * 2).alias("_o"), F.col("rank").alias("_begun"), F.lit(None).cast("int").alias("_ended"))
+    ended = laid.select("_market", "layer", F.unix_micros("as_of").alias("_t"), F.lit(3).alias("_o"), F.lit(None).cast("int").alias("_begun"), F.col("rank").alias("_ended"))
+    asked = exact.filter("_t IS NOT NULL").join(laid.select("_market", "layer").distinct(), "_market").withColumn("_o", F.lit(1))
+    found = fill_forward(asked, begun.unionByName(ended), ["_market", "layer"], ["_begun", "_ended"], salts=salts)
+    first = F.coalesce(F.col("_ended") + 1, F.lit(0))
+    inside = found.filter(F.col("_begun") >= first).withColumn("rank", F.explode(F.sequence(first, "_begun")))
+    editions = laid.select("_market", "layer", "rank", "edition_id", "window_start", "as_of", "start_inclusive")
+    return inside.join(editions, ["_market", "layer", "rank"]).select(*leads.columns, "edition_id", "window_start", "as_of", "start_inclusive")
