@@ -8,16 +8,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadflow import sinks
-from leadflow.operators import audit, candidates as c, dedupe
+from leadflow.operators import audit, candidates as c, dedupe, ranking
 from leadflow.operators.components import components
 from leadflow.operators.ranking import rank_rows
 
 
-def test_rank_with_a_hot_group(spark):
+@pytest.mark.parametrize("n", [None, 1, 40])
+def test_rank_with_a_hot_group(spark, n, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK", 3)
     rnd = random.Random(3)
     data = [(i, "hot" if rnd.random() < 0.4 else f"s{rnd.randint(0, 5)}", rnd.choice([0, 0, 0, 8, 94])) for i in rnd.sample(range(5000), 2000)]
     df = spark.createDataFrame(data, "lead_seq bigint, source_id string, attention_score int")
-    got = {r["lead_seq"]: r["rank"] for r in rank_rows(df, ["source_id"], "attention_score", "lead_seq", rows_per_slice=50).collect()}
+    got = {r["lead_seq"]: r["rank"] for r in rank_rows(df, ["source_id"], "attention_score", "lead_seq", partitions=n).collect()}
     want = {}
     for s in {x[1] for x in data}:
         for n, row in enumerate(sorted((x for x in data if x[1] == s), key=lambda x: (-x[2], x[0])), 1):
@@ -274,5 +276,11 @@ def test_candidate_tickers(one):
 def test_rank_rows_keeps_rows_without_score_or_group(spark):
     rows = [(1, "s", 5), (2, "s", None), (3, None, 5), (4, None, None), (5, "s", 9), (6, "s", None)]
     df = spark.createDataFrame(rows, "seq long, source_id string, score int")
-    got = {r["seq"]: r["rank"] for r in rank_rows(df, ["source_id"], "score", "seq", rows_per_slice=2).collect()}
+    got = {r["seq"]: r["rank"] for r in rank_rows(df, ["source_id"], "score", "seq", partitions=4).collect()}
     assert got == {5: 1, 1: 2, 2: 3, 6: 4, 3: 1, 4: 2}
+
+
+def test_ranks_gather_no_group(spark):
+    df = spark.range(1000).select(F.col("id").alias("seq"), F.lit("all").alias("list"), (F.col("id") % 7).alias("score"))
+    plan = rank_rows(df, ["list"], "score", "seq", partitions=20)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and plan.count("Window [") <= 2 and all("_block" in line for line in plan.splitlines() if " Window [" in line)
