@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from html.entities import html5
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,8 +184,8 @@ def clamp_num(value, default, low, high, integer: bool = False) -> Column:
     return F.when(bad, F.lit(float(default))).otherwise(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), kept)))
 
 
-def story_anchor(identity, prefix: str = "mn-story-") -> Column:
-    """Readable, unique anchor of a story."""
+def story_anchor(identity, prefix: str = "") -> Column:
+    """Readable, unique anchor of a story, after the ``prefix`` of its product."""
     text = _col(identity)
     slug = F.substring(F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_-]+", "-"), "^-+|-+$", ""), 1, 45)
     return F.concat(F.lit(prefix), F.when(slug == "", "item").otherwise(slug), F.lit("-"),
@@ -196,18 +198,52 @@ def ordered_union(*arrays) -> Column:
     return F.array_distinct(F.concat(*[F.coalesce(_col(a), empty) for a in arrays]))
 
 
-def apply_aliases(value, aliases: dict[str, str]) -> Column:
-    """Replace whole names by display labels in one pass, the longest name first.
+_TOKEN = re.compile(r"\w+|\W")
+_WORD = re.compile(r"\w")
+
+
+class _Names:
+    """A trie over the tokens of names (words, and every other character), which gives their labels."""
+
+    LABEL = ""  # no token is empty
+
+    def __init__(self, aliases: dict[str, str]):
+        self.root: dict = {}
+        for name, label in aliases.items():
+            node = self.root
+            for token in _TOKEN.findall(name.lower()):
+                node = node.setdefault(token, {})
+            node[self.LABEL] = label
+
+    def replaced(self, text: str) -> str:
+        """At the leftmost place where a name stands as whole words, the longest one gives way to its label; then on behind it."""
+        tokens, out, at = _TOKEN.findall(text), [], 0
+        folded = [t.lower() for t in tokens]
+        if self.root.keys().isdisjoint(folded):
+            return text
+        word = [bool(_WORD.match(t)) for t in tokens]
+        while at < len(tokens):
+            node, end, label, k = self.root, 0, None, at
+            while k < len(tokens) and (at == 0 or not word[at - 1]) and folded[k] in node:
+                node = node[folded[k]]
+                k += 1
+                if self.LABEL in node and (k == len(tokens) or not word[k]):
+                    end, label = k, node[self.LABEL]
+            out.append(tokens[at] if label is None else label)
+            at = end or at + 1
+        return "".join(out)
 
-    Every name is marked before any label is written, so a label is never replaced again.
-    """
+
+def apply_aliases(value, aliases: dict[str, str]) -> Column:
+    """Replace whole names by display labels in one walk: the leftmost name, the longest of those that begin there; a label is never
+    replaced again. The cost of a headline does not depend on the number of names. Of names that differ in case only the last counts."""
     if any(not k.strip() or not v.strip() for k, v in aliases.items()):
         raise ValueError("aliases must map non-empty names to non-empty labels")
-    out = _col(value)
-    ordered = sorted(aliases.items(), key=lambda pair: -len(pair[0]))
-    for index, (name, _) in enumerate(ordered):
-        quoted = re.sub(r"([^\w\s])", r"\\\1", name)
-        out = F.regexp_replace(out, rf"(?iU)(?<![\w\x{{e000}}-\x{{f8ff}}]){quoted}(?![\w\x{{e000}}-\x{{f8ff}}])", chr(0xE000 + index))
-    for index, (_, label) in enumerate(ordered):
-        out = F.replace(out, F.lit(chr(0xE000 + index)), F.lit(label))
-    return out
+    names = _Names(aliases)
+
+    @F.arrow_udf(T.StringType())
+    def labelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([None if t is None else names.replaced(t) for t in texts.to_pylist()], pa.string())
+
+    return labelled(_col(value)) if aliases else _col(value)

@@ -135,13 +135,13 @@ def clamp_num(spark, d):
 
 
 @query("story_anchor", """
-SELECT o_orderkey, 'mn-story-' || substr(regexp_replace(regexp_replace(s, '[^A-Za-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 45)
+SELECT o_orderkey, 'story-' || substr(regexp_replace(regexp_replace(s, '[^A-Za-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 45)
   || '-' || substr(sha256(s), 1, 10) AS anchor
 FROM (SELECT o_orderkey, o_orderpriority || ' / ' || o_orderkey || ' / ' || o_orderdate::DATE || ' / ' || o_totalprice::BIGINT AS s FROM orders)""")
 def story_anchor(spark, d):
     s = F.concat_ws(" / ", "o_orderpriority", F.col("o_orderkey").cast("string"), F.col("o_orderdate").cast("date").cast("string"),
                     F.rint("o_totalprice").cast("long").cast("string"))
-    return v.table(spark, d, "orders").select("o_orderkey", tx.story_anchor(s).alias("anchor"))
+    return v.table(spark, d, "orders").select("o_orderkey", tx.story_anchor(s, "story-").alias("anchor"))
 
 
 @query("meaningful_docs", "SELECT doc_id, length(text) >= 45 AS meaningful FROM documents")
