@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("texts", "addresses", "times", "signals", "leads", "coverage", "stories", "pages", "streams")
+FAMILIES = ("texts", "addresses", "times", "signals", "leads", "coverage", "stories", "pages", "streams", "collect")
 
 
 def _load():
