@@ -97,12 +97,16 @@ def coverage_by_company(watchlist: DataFrame, reports: DataFrame) -> DataFrame:
     listed = F.when(F.size("tickers") == 0, F.col("scope_tickers")).when(F.col("scope_tickers").isNull(), F.col("tickers")).otherwise(
         F.array_intersect("tickers", "scope_tickers"))
     same_market = (F.col("_scope") == "") | (F.col("_scope") == F.col("_market"))
-    by_ticker = src.filter(has_list).withColumn("ticker", F.explode(F.array_distinct(listed))).join(firms, "ticker").filter(same_market)
-    by_market = src.filter(~has_list & (F.col("_scope") != "")).join(firms, F.col("_scope") == F.col("_market"))
     checked = F.col("_done") & F.coalesce(F.array_contains("successful_tickers", F.col("ticker")), F.col("successful_tickers").isNull())
-    columns = ["ticker", "status", F.lit(1).alias("applicable"), checked.alias("checked"),
-               (F.col("issuer_official") & F.array_contains("tickers", F.col("ticker"))).alias("direct")]
-    pairs = by_ticker.select(*columns).unionByName(by_market.select(*columns))
+    direct = F.col("issuer_official") & F.array_contains("tickers", F.col("ticker"))
+    # What a list says of a company is read where the list is; only (company, source) rows with plain columns meet the companies.
+    by_ticker = (src.filter(has_list).withColumn("ticker", F.explode(F.array_distinct(listed))).select("ticker", "status", "_scope", checked.alias("checked"), direct.alias("direct"))
+                 .join(firms, "ticker").filter(same_market).select("ticker", "status", F.lit(1).alias("applicable"), "checked", "direct"))
+    of_market = src.filter(~has_list & (F.col("_scope") != ""))
+    searched = of_market.filter("successful_tickers IS NOT NULL").select("id", F.explode(F.array_distinct("successful_tickers")).alias("ticker"), F.lit(True).alias("_hit"))
+    by_market = (of_market.select("id", "status", "_scope", "_done", F.col("successful_tickers").isNull().alias("_all")).join(firms, F.col("_scope") == F.col("_market")).join(searched, ["id", "ticker"], "left")
+                 .select("ticker", "status", F.lit(1).alias("applicable"), (F.col("_done") & (F.col("_all") | F.coalesce("_hit", F.lit(False)))).alias("checked"), F.lit(False).alias("direct")))
+    pairs = by_ticker.unionByName(by_market)
     # Sources open to all: where only some companies were searched, those are found by ticker.
     open_to_all = src.filter(~has_list & (F.col("_scope") == ""))
     some = (open_to_all.filter("successful_tickers IS NOT NULL AND _done").withColumn("ticker", F.explode(F.array_distinct("successful_tickers")))
@@ -112,12 +116,14 @@ def coverage_by_company(watchlist: DataFrame, reports: DataFrame) -> DataFrame:
         F.count_if((F.col("status") == "ok") & F.col("successful_tickers").isNull()).alias("ok"),
         F.count_if((F.col("status") == "partial") & F.col("successful_tickers").isNull()).alias("partial")).first()
     label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in STATUS_LABELS.items() for x in p]), F.col("status")), F.lit(UNKNOWN_LABEL))
+    labels = sorted({*STATUS_LABELS.values(), UNKNOWN_LABEL})
     per = pairs.unionByName(some).groupBy("ticker").agg(
         F.sum("applicable").alias("applicable"), F.count_if("checked").alias("checked"),
         F.count_if(F.col("checked") & (F.col("status") == "ok")).alias("ok"), F.count_if(F.col("checked") & (F.col("status") == "partial")).alias("partial"),
         F.count_if("direct").alias("direct"), F.count_if(F.col("direct") & F.col("checked")).alias("connected"),
-        F.array_sort(F.collect_set(F.when(F.col("direct") & ~F.col("checked"), label))).alias("other_states"))
-    df = watchlist.select("ticker").join(per, "ticker", "left").withColumn("other_states", _list("other_states"))
+        *[F.bool_or(F.col("direct") & ~F.col("checked") & (label == one)).alias(f"_state{k}") for k, one in enumerate(labels)])
+    df = watchlist.select("ticker").join(per, "ticker", "left").withColumn("other_states", F.array_compact(F.array(*[F.when(F.col(f"_state{k}"), one) for k, one in enumerate(labels)])))
+    df = df.drop(*[f"_state{k}" for k in range(len(labels))])
     add = {"applicable": everyone["n"], "checked": everyone["checked"], "ok": everyone["ok"], "partial": everyone["partial"], "direct": 0, "connected": 0}
     for name, extra in add.items():
         df = df.withColumn(name, (F.coalesce(name, F.lit(0)) + F.lit(extra)).cast("long"))

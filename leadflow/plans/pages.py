@@ -13,7 +13,8 @@ from leadflow.sources.captures import decode_body
 from leadflow.sources.tree import Page, node_table, page_index
 
 
-PAGE = Page.of("_page")
+def page():
+    return Page.of("_page")
 
 
 def indexed(df):
@@ -188,7 +189,7 @@ def page_titles(spark, d):
 
 @query("page_paragraphs", v.with_views(PIECES) + "SELECT page_id, pos - 1 AS number, md5(p) AS text_md5 FROM paragraphs_v")
 def page_paragraphs(spark, d):
-    rows = indexed(pages(spark, d)).select("page_id", F.posexplode(ar.article_paragraphs(PAGE)).alias("i", "p"))
+    rows = indexed(pages(spark, d)).select("page_id", F.posexplode(ar.article_paragraphs(page())).alias("i", "p"))
     return rows.select("page_id", (F.col("i") + 1).cast("long").alias("number"), F.md5("p").alias("text_md5"))
 
 
@@ -196,7 +197,7 @@ def page_paragraphs(spark, d):
 SELECT g.page_id, {plain_sql("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")} AS title, md5(coalesce(t.text, g.whole)) AS text_md5
 FROM (SELECT page_id, html, {v.sql_clean(VISIBLE_SQL.replace("(html,", "(" + ARTICLE_SQL + ",", 1))} AS whole FROM pages) g LEFT JOIN (SELECT page_id, string_agg(p, chr(10) ORDER BY pos) AS text FROM paragraphs_v WHERE length(p) >= 35 GROUP BY 1) t USING (page_id)""")
 def doc_paragraphs(spark, d):
-    doc = indexed(pages(spark, d)).withColumn("x", ar.extract_document(PAGE))
+    doc = indexed(pages(spark, d)).withColumn("x", ar.extract_document(page()))
     return doc.select("page_id", "x.title", F.md5("x.text").alias("text_md5"))
 
 
@@ -272,7 +273,7 @@ def walled(spark, d):
 
 @query("restricted_pages", "SELECT page_id, contains(url, '?page') OR contains(url, 'utm_source') OR ends_with(url, '.html') AS restricted FROM pages")
 def restricted_pages(spark, d):
-    return indexed(walled(spark, d)).select("page_id", ar.is_restricted(PAGE, ar.article_node(PAGE, "url")).alias("restricted"))
+    return indexed(walled(spark, d)).select("page_id", ar.is_restricted(page(), ar.article_node(page(), "url")).alias("restricted"))
 
 
 @query("article_access", "SELECT page_id, CASE WHEN contains(url, '?page') OR contains(url, 'utm_source') OR ends_with(url, '.html') THEN 'restricted' ELSE 'open' END AS access FROM pages")
@@ -287,4 +288,4 @@ def login_pages(spark, d):
     title = F.when(F.contains("url", F.lit("?page")), "Log in | Example").otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     url = F.when(F.endswith("url", F.lit("/")), F.concat("url", F.lit("login/"))).otherwise(F.col("url"))
     forms = indexed(pages(spark, d).select("page_id", title.alias("title"), url.alias("url"), F.concat("html", F.lit(form)).alias("html")))
-    return forms.select("page_id", ar.is_login_page("title", "url", PAGE).alias("login"))
+    return forms.select("page_id", ar.is_login_page("title", "url", page()).alias("login"))

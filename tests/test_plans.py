@@ -41,6 +41,24 @@ def test_sources_open_to_all_are_not_paired(spark):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_no_list_travels_in_coverage(spark):
+    watch = spark.createDataFrame([("1 JP",)], "ticker string")
+    reports = spark.createDataFrame([("a", "ok", ["1 JP"], None, "", True, ["1 JP"]), ("b", "ok", [], None, "JP", False, ["1 JP"])], "id string, status string, tickers array<string>, scope_tickers array<string>, scope_market string, issuer_official boolean, successful_tickers array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("-1", before):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        executed = coverage_by_company(watch, reports)._jdf.queryExecution().executedPlan().initialPlan()
+        todo, exchanges = [executed], 0
+        while todo:
+            node = todo.pop()
+            if "Exchange" in node.nodeName():
+                exchanges += 1
+                kinds = [node.output().apply(k).dataType().typeName() for k in range(node.output().size())]
+                assert "array" not in kinds, node.nodeName()
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+        assert exchanges
+
+
 def test_only_needed_columns_are_read(spark):
     from leadflow.functions import urls
 

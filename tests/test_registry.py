@@ -36,6 +36,14 @@ def test_query_equals_sql(spark, db, name):
     assert digest(df.columns, rows)[0] == digest(names, db.fetchall())[0]
 
 
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; assert len(e.queries()) >= len(e.oracle_sql()) > 100 and SparkContext._active_spark_context is None"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
