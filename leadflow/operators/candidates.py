@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadflow.functions import urls
+from leadflow.functions.dates import iso
 from leadflow.functions.text import _col, clean, content_hash, needs_translation, ordered_union
 from leadflow.rules import DEFAULT_SECTION, SECTIONS
 
@@ -161,13 +162,16 @@ def select_edition(cands: DataFrame, max_stories: int = MAX_STORIES) -> DataFram
 
 
 def export_items(cands: DataFrame) -> DataFrame:
-    """Flat draft contract: wording, provenance and review state of each candidate."""
+    """Flat draft contract: wording, provenance, evidence and review state of each candidate. Candidates without ``source_name``, ``evidence_level`` or
+    ``attention_reasons`` have their source's id, a source excerpt and no reasons."""
     from leadflow.functions.text import excerpt
 
+    own = lambda name, otherwise: F.coalesce(F.col(name), otherwise) if name in cands.columns else otherwise
     return cands.select(
         "id", "tickers", "category", F.col("title").alias("headline"), excerpt("title", "text").alias("source_excerpt"),
-        F.col("canonical").alias("source_url"), "source_id", "published", F.col("change").alias("document_change"),
-        F.lit(False).alias("novelty_verified"), "access_status", "language", "collection_role", "attention_score",
+        F.col("canonical").alias("source_url"), "source_id", own("source_name", F.col("source_id")).alias("source_name"), "published", iso("published").alias("published_at"),
+        F.col("change").alias("document_change"), F.lit(False).alias("novelty_verified"), "access_status", own("evidence_level", F.lit("source_excerpt")).alias("evidence_level"), "language", "collection_role",
+        "attention_score", own("attention_reasons", F.array().cast("array<string>")).alias("attention_reasons"),
         (F.size("tickers") > 0).alias("identity_verified"), F.lit(True).alias("review_required"), F.col("eligible").alias("eligible_for_email"))
 
 

@@ -136,6 +136,21 @@ def company_status(watchlist: DataFrame, cands: DataFrame, reports: DataFrame) -
     return df.withColumn("status", F.when(F.col("candidates") > 0, NEED_REVIEW).when(F.col("ok") > 0, NO_NEW_ITEMS).otherwise(INCOMPLETE))
 
 
+# What a draft says of each result.
+MESSAGES = {NEED_REVIEW: " relevant candidate(s) found; confirm which facts are new.",
+            NO_NEW_ITEMS: "No new relevant items found in the connected sources checked. Coverage is partial.",
+            INCOMPLETE: "Collection coverage is insufficient to determine whether there is new information."}
+
+
+def company_results(watchlist: DataFrame, cands: DataFrame, reports: DataFrame) -> DataFrame:
+    """What the draft says of each company: its result, the message, and how many sources finished without limits. The candidates of a company
+    are the items that list its ticker."""
+    df = company_status(watchlist, cands, reports).join(watchlist.select("ticker", F.col("name").alias("company")), "ticker")
+    said = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])[F.col("status")]
+    message = F.when(F.col("status") == NEED_REVIEW, F.concat(F.col("candidates").cast("string"), said)).otherwise(said)
+    return df.select("ticker", "company", "status", message.alias("message"), F.col("ok").alias("checked_sources"), "candidates")
+
+
 def _plural(n: Column, one: str, many: str) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, one).otherwise(many))
 

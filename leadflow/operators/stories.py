@@ -21,6 +21,7 @@ from leadflow.session import bounded_rows, cut_lineage
 
 TOP_STORIES = 2
 ORIGIN_KINDS = ("exchange", "issuer", "regulator", "original_reporting")
+NOT_RECORDED = "not recorded"
 ORIGIN_FIELDS = ("development", "timestamp_evidence", "verification_notes")
 WINDOW_STATUSES = ("active", "pending_start", "pending_close", "no_session")
 
@@ -297,6 +298,7 @@ def calendar_rows(events: DataFrame) -> DataFrame:
     text = lambda c: F.nullif(F.col(c), F.lit(""))
     return events.select(
         "id", F.coalesce(text("label"), text("company"), F.lit("Event awaiting identification")).alias("label"),
+        *[F.coalesce(text(c) if c in events.columns else F.lit(None).cast("string"), F.lit(without)).alias(c) for c, without in (("event_type", ""), ("timezone", ""), ("source_name", "Source"))],
         F.coalesce(text("event_date"), F.lit("Date unconfirmed")).alias("event_date"),
         F.concat(F.coalesce(text("time_status"), F.lit("Unconfirmed")), F.lit(" / "), F.coalesce(text("status"), F.lit("Status unchecked"))).alias("status"),
         F.when(urls.is_public_url("source_url"), F.col("source_url")).otherwise("Source missing").alias("source"),
@@ -349,10 +351,13 @@ def audit_state(stage) -> Column:
 
 def review_rows(validated: DataFrame, placed_origin: DataFrame) -> DataFrame:
     """Editor rows: status of the story and of its origin, with the original publication in UTC and
-    Singapore time."""
+    Singapore time, the source of the origin and what is recorded of its development, timestamp and chronology."""
     when = placed_origin.select("story_seq", "origin_ts")
     df = validated.join(when, "story_seq", "left")
     local = F.date_format(F.from_utc_timestamp("origin_ts", DESK_ZONE), "yyyy-MM-dd'T'HH:mm:ss'+08:00'")
-    return df.select("story_seq", F.coalesce(F.nullif("headline", F.lit("")), F.col("id")).alias("title"), "composition_status",
+    stated = lambda name: F.nullif(F.col(name) if name in df.columns else F.lit(None).cast("string"), F.lit(""))
+    recorded = [F.coalesce(stated(f"origin_{name}"), F.lit(NOT_RECORDED)).alias(name) for name in ORIGIN_FIELDS]
+    source = F.when(urls.is_public_url("origin_url"), F.col("origin_url")) if "origin_url" in df.columns else F.lit(None).cast("string")
+    return df.select("story_seq", F.coalesce(F.nullif("headline", F.lit("")), F.col("id")).alias("title"), "composition_status", source.alias("origin_source"), F.coalesce(stated("origin_kind"), F.lit("")).alias("origin_kind"), *recorded,
                      F.coalesce(F.nullif("origin_status", F.lit("")), F.lit("missing")).alias("origin_status"),
                      F.coalesce(iso("origin_ts"), F.lit("unverified")).alias("original_publication"), F.coalesce(local, F.lit("unverified")).alias("singapore"))

@@ -138,6 +138,16 @@ def company_status(spark, d):
     return cv.company_status(v.watchlist(spark, d), company_candidates(spark, d), company_reports(spark, d)).select("ticker", "candidates", "status")
 
 
+@query("company_results", v.with_views(*COMPANY_VIEWS) + """
+SELECT ticker, w.name AS company, CASE WHEN candidates > 0 THEN 'candidates_need_review' WHEN ok > 0 THEN 'no_new_items_in_checked_sources' ELSE 'coverage_incomplete' END AS status,
+  CASE WHEN candidates > 0 THEN candidates || ' relevant candidate(s) found; confirm which facts are new.'
+    WHEN ok > 0 THEN 'No new relevant items found in the connected sources checked. Coverage is partial.'
+    ELSE 'Collection coverage is insufficient to determine whether there is new information.' END AS message, ok AS checked_sources, candidates
+FROM found_v JOIN cover_v USING (ticker) JOIN watchlist_v w USING (ticker)""")
+def company_results(spark, d):
+    return cv.company_results(v.watchlist(spark, d), company_candidates(spark, d), company_reports(spark, d))
+
+
 @query("company_overview", v.with_views(*COMPANY_VIEWS) + """
 SELECT ticker, CASE WHEN connected > 0 THEN 'Connected (' || connected || ')' || CASE WHEN len(others) > 0 THEN '; others ' || array_to_string(others, ', ') ELSE '' END
     WHEN direct > 0 THEN 'Direct source ' || array_to_string(others, ', ') ELSE 'Needs a direct source' END AS direct_status,

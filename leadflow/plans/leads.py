@@ -328,14 +328,15 @@ def state_upsert(spark, d):
 
 
 @query("export_items", v.with_views(*CLASSIFIED_VIEWS) + f"""
-SELECT id, source_url, headline, tickers, document_change, access_status, attention_score, identity_verified, eligible_for_email, source_excerpt FROM (
-  SELECT lead_seq, id, canonical AS source_url, title AS headline, array_to_string(tickers, ',') AS tickers, change AS document_change, access_status,
+SELECT id, source_url, headline, tickers, document_change, access_status, attention_score, identity_verified, eligible_for_email, source_excerpt, source_name, published_at, evidence_level, reasons FROM (
+  SELECT lead_seq, id, 'Source ' || source_id AS source_name, {tm.iso_sql('published')} AS published_at, 'source_excerpt' AS evidence_level, array_to_string(attention_reasons, '; ') AS reasons, canonical AS source_url, title AS headline, array_to_string(tickers, ',') AS tickers, change AS document_change, access_status,
     attention_score, len(tickers) > 0 AS identity_verified, eligible AS eligible_for_email,
     CASE WHEN room > 0 AND len(body) > 0 THEN 'Source excerpt: “' || array_to_string(body[1:room], ' ') || CASE WHEN len(body) > room THEN '…' ELSE '' END || '”'
       ELSE 'Read the linked announcement for the details.' END AS source_excerpt
   FROM (SELECT *, greatest(0, 25 - len(string_split({v.sql_clean('title')}, ' '))) AS room,
-      CASE WHEN {v.sql_clean('text')} = '' THEN [] ELSE string_split({v.sql_clean('text')}, ' ') END AS body FROM classified_v WHERE kept))""")
+      CASE WHEN {v.sql_clean('text')} = '' THEN [] ELSE string_split({v.sql_clean('text')}, ' ') END AS body FROM classified_v JOIN (SELECT lead_seq, attention_reasons FROM scored_v) USING (lead_seq) WHERE kept))""")
 def export_items(spark, d):
-    items = c.export_items(classified(spark, d).filter("kept"))
+    items = c.export_items(classified(spark, d).filter("kept").withColumn("source_name", F.concat(F.lit("Source "), "source_id")))
     return items.select("id", "source_url", "headline", F.array_join("tickers", ",").alias("tickers"), "document_change", "access_status",
-                        F.col("attention_score").cast("long").alias("attention_score"), "identity_verified", "eligible_for_email", "source_excerpt")
+                        F.col("attention_score").cast("long").alias("attention_score"), "identity_verified", "eligible_for_email", "source_excerpt",
+                        "source_name", "published_at", "evidence_level", F.array_join("attention_reasons", "; ").alias("reasons"))

@@ -262,12 +262,14 @@ def citation_numbers(spark, d):
 @query("review_rows", v.with_views(*REASON_VIEWS) + f"""
 SELECT s.story_seq, coalesce(nullif(s.headline, ''), s.id) AS title, CASE WHEN h.story_seq IS NULL THEN 'ready' ELSE 'hold' END AS composition_status,
   coalesce(o.origin_status, 'missing') AS origin_status, coalesce({tm.iso_sql('o.origin_ts')}, 'unverified') AS original_publication,
-  coalesce(strftime(o.origin_ts + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S+08:00'), 'unverified') AS singapore
+  coalesce(strftime(o.origin_ts + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S+08:00'), 'unverified') AS singapore,
+  CASE WHEN o.has_origin THEN 'seen' ELSE 'not recorded' END AS development, CASE WHEN o.has_origin AND o.origin_timestamp_evidence <> '' THEN 'seen' ELSE 'not recorded' END AS timestamp_evidence,
+  CASE WHEN o.has_origin THEN 'seen' ELSE 'not recorded' END AS verification_notes
 FROM stories_v s LEFT JOIN held_v h USING (story_seq) LEFT JOIN origin_ts_v o USING (story_seq)""")
 def review_rows(spark, d):
     public = st.public_sources(sources(spark, d))
-    done = validated(spark, d).withColumn("origin_status", F.when(F.col("has_origin"), F.col("origin_status")))
-    return st.review_rows(done, st.with_origin_time(placed(spark, d), public))
+    done = validated(spark, d).withColumns({c: F.when(F.col("has_origin"), F.col(c)) for c in ("origin_status", *(f"origin_{n}" for n in st.ORIGIN_FIELDS))})
+    return st.review_rows(done, st.with_origin_time(placed(spark, d), public)).drop("origin_source", "origin_kind")
 
 
 def events(spark, d):
@@ -278,7 +280,8 @@ def events(spark, d):
         F.when(kind == "error", "").when(kind == "click", F.date_format("ts", "yyyy-MM-dd")).otherwise(iso("ts")).alias("event_date"),
         F.when(kind == "purchase", "confirmed").otherwise("").alias("time_status"), F.when(kind.isin("click", "purchase", "view"), "scheduled").when(kind == "signup", "cancelled").otherwise("").alias("status"),
         F.when(F.col("value") > 100, "http://localhost/").otherwise(F.concat(F.lit("https://www.example.com/e/"), F.col("event_id").cast("string"))).alias("source_url"),
-        F.when(kind == "signup", "").otherwise(iso("ts")).alias("checked_at"))
+        F.when(kind == "signup", "").otherwise(iso("ts")).alias("checked_at"), kind.alias("event_type"), F.when(kind == "click", "Asia/Tokyo").otherwise("").alias("timezone"),
+        F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("User "), F.col("user_id").cast("string"))).otherwise("").alias("source_name"))
 
 
 @query("calendar_rows", f"""
@@ -286,7 +289,8 @@ SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'User ' || user_id ELS
   CASE event_type WHEN 'error' THEN 'Date unconfirmed' WHEN 'click' THEN strftime(ts, '%Y-%m-%d') ELSE {tm.iso_sql('ts')} END AS event_date,
   CASE event_type WHEN 'purchase' THEN 'confirmed' ELSE 'Unconfirmed' END || ' / ' || CASE event_type WHEN 'signup' THEN 'cancelled' WHEN 'error' THEN 'Status unchecked' ELSE 'scheduled' END AS status,
   CASE WHEN value > 100 THEN 'Source missing' ELSE 'https://www.example.com/e/' || event_id END AS source,
-  'Checked: ' || CASE event_type WHEN 'signup' THEN 'Not recorded' ELSE {tm.iso_sql('ts')} END AS checked FROM events""")
+  'Checked: ' || CASE event_type WHEN 'signup' THEN 'Not recorded' ELSE {tm.iso_sql('ts')} END AS checked,
+  event_type, CASE WHEN event_type = 'click' THEN 'Asia/Tokyo' ELSE '' END AS timezone, CASE WHEN user_id % 2 = 0 THEN 'User ' || user_id ELSE 'Source' END AS source_name FROM events""")
 def calendar_rows(spark, d):
     return st.calendar_rows(events(spark, d))
 
