@@ -8,7 +8,7 @@ from leadflow.operators import candidates as c
 from leadflow.operators import dedupe
 from leadflow.operators.matching import match_terms, topic_match
 from leadflow.operators.ranking import rank_rows
-from leadflow.operators.triage import triage
+from leadflow.operators.triage import score_texts, with_name_bonus
 from leadflow.operators.windows import with_verdict
 from leadflow.plans import signals as sg
 from leadflow.plans import times as tm
@@ -51,8 +51,11 @@ CAP = 3
 
 
 def windowed(spark, d):
-    """Scored leads with their window verdict and source attributes."""
-    return triage(with_verdict(tm.recorded(spark, d), v.AS_OF), sg.stand_in_rules(v.top_words(spark, d, 20)))
+    """Scored leads with their window verdict and source attributes. Score, topic and hashes are computed where the texts are read; a query that does
+    not ask for the texts joins without them."""
+    leads = v.hashed(v.leads(spark, d)).withColumn("topic", topic_match(sg.TOPIC, F.col("text"), F.col("title")))
+    prepared = score_texts(leads, sg.stand_in_rules(v.top_words(spark, d, 20)))
+    return with_name_bonus(with_verdict(tm.recorded(spark, d, prepared), v.AS_OF))
 
 
 def market_leads(spark, d):
@@ -188,8 +191,7 @@ def classified(spark, d):
     access = articles(spark, d)
     df = df.join(access, "url", "left").withColumn("access_status", F.coalesce("access_status", F.lit("metadata_only")))
     df = df.withColumn("broad", F.col("collection_role") == "market").withColumn("publisher", F.col("broad") | F.col("publisher"))
-    df = df.withColumn("topic", topic_match(sg.TOPIC, F.col("text"), F.col("title"))).withColumn("article_error", F.lit(""))
-    df = c.change_status(v.hashed(df), v.prior_state(spark, d), EDITION_DATE)
+    df = c.change_status(df.withColumn("article_error", F.lit("")), v.prior_state(spark, d), EDITION_DATE)
     return c.classify(df).withColumn("eligible", c.is_eligible()).withColumn("flags", c.flags())
 
 

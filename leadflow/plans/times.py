@@ -172,12 +172,15 @@ INFER = """inferred_v AS MATERIALIZED (
 INFER_VIEWS = (v.LEADS, v.WATCHLIST, v.MATCHES, v.SOURCES, INFER)
 
 
-def inferred(spark, d):
-    """Leads with the markets their own fields, their name matches or their source establish."""
-    from leadflow.operators.matching import match_arrays
+def inferred(spark, d, prepared=None):
+    """Leads with the markets their own fields, their name matches or their source establish. ``prepared`` are the leads with what is
+    computed from their texts where they are read, so that the texts need not travel to the names."""
+    from leadflow.operators.matching import match_terms
 
     sources = v.sources(spark, d).withColumnRenamed("id", "source_id")
-    matched = match_arrays(v.leads(spark, d), v.watchlist(spark, d))
+    found = match_terms(v.leads(spark, d), v.watchlist(spark, d)).groupBy("lead_seq").agg(F.array_sort(F.collect_list("ticker")).alias("tickers"))
+    rows = v.leads(spark, d) if prepared is None else prepared
+    matched = rows.join(found, "lead_seq", "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>")))
     return matched.join(sources, "source_id").withColumn(
         "timing_markets", w.infer_markets("market", F.lit(None), F.lit(None), "tickers", F.lit(None), "issuer_official", "scope_market"))
 
@@ -198,8 +201,8 @@ RECORD = f"""recorded_v AS MATERIALIZED (
 RECORD_VIEWS = (*INFER_VIEWS, v.FIXED_WINDOWS, RECORD)
 
 
-def recorded(spark, d):
-    return w.record_window(inferred(spark, d), v.fixed_windows(spark), v.WINDOW_START)
+def recorded(spark, d, prepared=None):
+    return w.record_window(inferred(spark, d, prepared), v.fixed_windows(spark), v.WINDOW_START)
 
 
 @query("record_window", v.with_views(*RECORD_VIEWS) + f"""
