@@ -181,6 +181,8 @@ def inferred(spark, d, prepared=None):
     found = match_terms(v.leads(spark, d), v.watchlist(spark, d)).groupBy("lead_seq").agg(F.array_sort(F.collect_list("ticker")).alias("tickers"))
     rows = v.leads(spark, d) if prepared is None else prepared
     matched = rows.join(found, "lead_seq", "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>")))
+    # What a lead says of itself stands before what its source says.
+    sources = sources.drop(*(c for c in sources.columns if c != "source_id" and c in matched.columns))
     return matched.join(sources, "source_id").withColumn(
         "timing_markets", w.infer_markets("market", F.lit(None), F.lit(None), "tickers", F.lit(None), "issuer_official", "scope_market"))
 
