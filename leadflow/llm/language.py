@@ -208,6 +208,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """The rows whose language is accepted, with the columns they came with."""
+    """The rows whose language is accepted, with the columns they came with. Null, empty and letterless texts are not accepted; equal texts share a
+    decision, so repeated rows all stay or go; an empty table stays empty."""
     model = fit(docs.filter(~held_out(doc_id)), text, lang)
     return docs.filter(predict(model, F.col(text))["accepted"])
