@@ -22,8 +22,10 @@ def folders(spark):
 
 
 def stream(spark, d, name):
-    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return intake.read_stream(spark, d, schema, glob=f"{name}.parquet")
+    """A table as a stream: one file among others in the folder, or a folder of files."""
+    path = f"{d}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return intake.read_stream(spark, path, schema) if intake.is_folder(spark, path) else intake.read_stream(spark, d, schema, glob=f"{name}.parquet")
 
 
 def stream_of_leads(spark, d):

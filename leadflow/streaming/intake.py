@@ -14,6 +14,13 @@ from leadflow.operators.candidates import change_history
 from leadflow.streaming.state import EVERY, KeyedState, write_batch
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """A stream of a folder takes all its files; a single file is found by name in the folder above it."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(folder).isDirectory()
+
+
 def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """Stream of parquet files with a fixed schema."""
     reader = spark.readStream.schema(schema)

@@ -139,3 +139,19 @@ def test_changes_equal_the_batch_inside_the_horizon(spark, tmp_path):
     # Snapshots hold two horizons only.
     last = max((tmp_path / "state" / "snapshots").glob("batch=*"), key=lambda p: int(p.name.split("=")[1]))
     assert spark.read.parquet(str(last)).count() < 200
+
+
+def test_tables_in_folders_of_files(spark, tmp_path):
+    """A stream reads a table that is a folder of files as it reads one file, and gives every lead once."""
+    from leadflow.plans import all_queries
+
+    docs = spark.sql("SELECT id AS doc_id, concat('Title ', id, char(10), 'Text ', id) AS text, concat('src', id % 3) AS source, 'en' AS lang FROM range(20)")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.sql("SELECT id AS event_id, timestamp_seconds(1704067200 + id * 3600) AS ts, 'click' AS event_type, id AS user_id FROM range(40)").toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    spark.sql("SELECT id AS page_id, concat('https://example.com/', id) AS url FROM range(5)").toPandas().to_parquet(tmp_path / "pages.parquet")
+    run = lambda name: all_queries()[name](spark, str(tmp_path))
+    assert sorted(r["lead_seq"] for r in run("stream_leads").collect()) == list(range(20))
+    assert run("stream_window_verdict").count() == 20
+    assert run("stream_dedup").count() == 5
+    assert {tuple(r) for r in run("stream_change_status").collect()} == {tuple(r) for r in run("change_history").collect()}
+    assert run("stream_daily_counts").groupBy().sum("headlines").first()[0] == 40
