@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from leadflow.functions.dates import iso
 from leadflow.operators import coverage as cv
 from leadflow.operators import search as se
-from leadflow.operators.matching import match_terms
 from leadflow.operators.ranking import rank_rows
 from leadflow.plans import leads as ld
 from leadflow.plans import signals as sg
@@ -192,12 +191,9 @@ def radar_list(spark, d):
 
 
 def search_results(spark, d):
-    """Each lead as a result of the search for every company it names."""
-    found = match_terms(v.leads(spark, d), v.watchlist(spark, d))
-    rows = v.leads(spark, d).select("lead_seq", "url", F.concat(F.lit("<b>"), "title", F.lit("</b> &amp; more")).alias("title"),
+    """Each lead as a result row of a search."""
+    return v.leads(spark, d).select("lead_seq", "url", F.concat(F.lit("<b>"), "title", F.lit("</b> &amp; more")).alias("title"),
                                     F.col("text").alias("description"), iso("published").alias("age"))
-    return found.join(rows, "lead_seq")
-
 
 RESULTS = f"""results_v AS MATERIALIZED (
   SELECT m.lead_seq AS seq, m.ticker, CASE WHEN regexp_matches(l.url, '^https?://([^/?#]*\\.)?example\\.(com|org)(/|\\?|#|$)') THEN regexp_replace(l.url, '#.*$', '') ELSE '' END AS url,
@@ -207,8 +203,9 @@ RESULT_DOMAINS = ("example.com", "example.org")
 
 
 def normal_results(spark, d):
-    raw = search_results(spark, d).withColumnRenamed("lead_seq", "seq")
-    return se.normalize_results(raw, F.array(*[F.lit(x) for x in RESULT_DOMAINS]))
+    """Each result once for every company it names; a result found for many companies is normalized once."""
+    rows = se.normalize_results(search_results(spark, d), F.array(*[F.lit(x) for x in RESULT_DOMAINS]))
+    return v.named(spark, d).join(rows, "lead_seq").withColumnRenamed("lead_seq", "seq")
 
 
 @query("search_leads", v.with_views(v.LEADS, v.WATCHLIST, v.MATCHES, RESULTS) + "SELECT seq, ticker, url, title, md5(discovery_snippet) AS snippet_md5 FROM results_v")

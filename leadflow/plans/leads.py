@@ -6,7 +6,7 @@ from leadflow.functions.dates import iso
 from leadflow.operators import audit as a
 from leadflow.operators import candidates as c
 from leadflow.operators import dedupe
-from leadflow.operators.matching import match_terms, topic_match
+from leadflow.operators.matching import topic_match, with_names
 from leadflow.operators.ranking import rank_rows
 from leadflow.operators.triage import score_texts, with_name_bonus
 from leadflow.operators.windows import with_verdict
@@ -53,8 +53,8 @@ CAP = 3
 def windowed(spark, d):
     """Scored leads with their window verdict and source attributes. Score, topic and hashes are computed where the texts are read; a query that does
     not ask for the texts joins without them."""
-    leads = v.hashed(v.leads(spark, d)).withColumn("topic", topic_match(sg.TOPIC, F.col("text"), F.col("title")))
-    prepared = score_texts(leads, sg.stand_in_rules(v.top_words(spark, d, 20)))
+    rules = sg.stand_in_rules(v.top_words(spark, d, 20))
+    prepared = v.hashed_leads(spark, d, lambda docs: score_texts(docs.withColumn("topic", topic_match(sg.TOPIC, F.col("text"), F.col("title"))), rules))
     return with_name_bonus(with_verdict(tm.recorded(spark, d, prepared), v.AS_OF))
 
 
@@ -126,7 +126,7 @@ discovery_v AS MATERIALIZED (
 
 
 def with_discovery(df, spark, d):
-    body = match_terms(v.leads(spark, d), v.watchlist(spark, d), F.coalesce("text", F.lit("")))
+    body = v.named(spark, d, F.coalesce("text", F.lit("")))
     found = body.groupBy("lead_seq").agg(F.collect_list("ticker").alias("_body"))
     return df.join(found, "lead_seq", "left").withColumn(
         "discovery_only_tickers", c.discovery_only_tickers("tickers", "_body", F.lit(None))).drop("_body")
@@ -144,7 +144,7 @@ SELECT h.lead_seq, CASE WHEN s.id IS NULL THEN 'new' WHEN s.content_hash <> h.co
   coalesce(s.content_hash = h.content_hash AND s.edition_date < DATE '{EDITION_DATE}', false) AS seen_before
 FROM hashed_v h LEFT JOIN state_v s USING (id)""")
 def change_status(spark, d):
-    cands = c.with_identity(v.leads(spark, d))
+    cands = v.hashed_leads(spark, d).drop("signature")
     return c.change_status(cands, v.prior_state(spark, d), EDITION_DATE).select("lead_seq", "change", "previous_title", "seen_before")
 
 
@@ -154,7 +154,7 @@ SELECT lead_seq, CASE WHEN prev IS NULL THEN 'new' WHEN prev <> content_hash THE
 FROM (SELECT *, lag(content_hash) OVER w AS prev, lag(title) OVER w AS prev_title FROM hashed_v
       WINDOW w AS (PARTITION BY id ORDER BY published::DATE, lead_seq))""")
 def change_history(spark, d):
-    seen = c.with_identity(v.leads(spark, d)).select("lead_seq", "id", "published", "content_hash", "title")
+    seen = v.hashed_leads(spark, d).drop("signature").select("lead_seq", "id", "published", "content_hash", "title")
     return c.change_history(seen).select("lead_seq", "change", "previous_title")
 
 
@@ -225,7 +225,7 @@ SELECT CASE WHEN s.category <> '' THEN s.category ELSE coalesce(f.category, 'Oth
 FROM leads_v l JOIN sources_v s ON s.id = l.source_id LEFT JOIN first_v f USING (lead_seq) GROUP BY 1""")
 def category_rollup(spark, d):
     firms = v.watchlist(spark, d).select("ticker", "category")
-    first = (match_terms(v.leads(spark, d), v.watchlist(spark, d)).join(firms, "ticker").groupBy("lead_seq")
+    first = (v.named(spark, d).join(firms, "ticker").groupBy("lead_seq")
              .agg(F.min_by("category", "ticker").alias("first_match")))
     src = v.sources(spark, d).select(F.col("id").alias("source_id"), F.col("category").alias("source_category"))
     leads = v.leads(spark, d).select("lead_seq", "source_id").join(src, "source_id").join(first, "lead_seq", "left")
@@ -236,7 +236,7 @@ def category_rollup(spark, d):
 SELECT h.lead_seq, EXISTS (SELECT 1 FROM state_v s WHERE s.content_hash = h.content_hash AND s.id <> h.id AND s.edition_date < DATE '{EDITION_DATE}')
   AND coalesce({ACCESS_SQL} = 'readable', false) AS older_duplicate FROM hashed_v h""")
 def older_duplicates(spark, d):
-    cands = c.with_identity(v.leads(spark, d)).join(articles(spark, d), "url", "left").withColumn(
+    cands = v.hashed_leads(spark, d).drop("signature").join(articles(spark, d), "url", "left").withColumn(
         "readable", F.coalesce(F.col("access_status") == "readable", F.lit(False)))
     return c.older_duplicates(cands, v.prior_state(spark, d), EDITION_DATE).select("lead_seq", "older_duplicate")
 
@@ -273,9 +273,7 @@ def merge_sql(tail):
 
 
 def merge_input(spark, d):
-    from leadflow.functions.text import signature
-
-    cands = (c.with_identity(sg.named_leads(spark, d)).withColumn("signature", signature("title", "text")).drop("text")
+    cands = (with_names(v.hashed_leads(spark, d).drop("text"), v.named(spark, d))
              .join(articles(spark, d), "url", "left")
              .withColumn("readable", F.coalesce(F.col("access_status") == "readable", F.lit(False))))
     src = v.sources(spark, d).select(F.col("id").alias("source_id"), "collection_role")
@@ -324,7 +322,7 @@ SELECT coalesce(n.id, s.id) AS id, coalesce(n.content_hash, s.content_hash) AS c
   CASE WHEN n.id IS NULL THEN s.edition_date ELSE DATE '2024-01-30' END::VARCHAR AS edition_date
 FROM state_v s FULL JOIN new_v n ON n.id = s.id""")
 def state_upsert(spark, d):
-    later = c.with_identity(v.leads(spark, d)).filter(F.col("published") > F.lit(v.AS_OF).cast("timestamp"))
+    later = v.hashed_leads(spark, d).drop("signature").filter(F.col("published") > F.lit(v.AS_OF).cast("timestamp"))
     return c.upsert_state(v.prior_state(spark, d), later, "2024-01-30").select(
         "id", "content_hash", "title", F.col("edition_date").cast("string").alias("edition_date"))
 

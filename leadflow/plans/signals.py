@@ -54,20 +54,19 @@ SCORED_VIEWS = (v.LEADS, v.WATCHLIST, v.MATCHES, v.RULE_WORDS, TOKENS, SCORED)
 
 
 def named_leads(spark, d):
-    return m.match_arrays(v.leads(spark, d), v.watchlist(spark, d))
+    return m.with_names(v.leads(spark, d), v.named(spark, d))
 
 
 def scored_leads(spark, d):
     """Leads without their texts, which are scored and matched where they are read."""
-    scored = t.score_texts(v.leads(spark, d), stand_in_rules(v.top_words(spark, d, 20))).drop("title", "text")
-    found = m.match_terms(v.leads(spark, d), v.watchlist(spark, d)).groupBy("lead_seq").agg(F.array_sort(F.collect_list("ticker")).alias("tickers"))
-    named = scored.join(found, "lead_seq", "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>")))
-    return t.with_name_bonus(named)
+    rules = stand_in_rules(v.top_words(spark, d, 20))
+    scored = v.leads(spark, d, lambda docs: t.score_texts(docs, rules)).drop("title", "text")
+    return t.with_name_bonus(m.with_names(scored, v.named(spark, d)))
 
 
 @query("watch_matches", v.with_views(v.LEADS, v.WATCHLIST, v.MATCHES) + "SELECT lead_seq, ticker FROM matches_v")
 def watch_matches(spark, d):
-    return m.match_terms(v.leads(spark, d), v.watchlist(spark, d))
+    return v.named(spark, d)
 
 
 @query("scoped_watchlist", v.with_views(v.SOURCES, v.WATCHLIST) + """
@@ -100,8 +99,8 @@ SELECT lead_seq, NOT unclear AND list_contains(tt, w1) AS in_headline, NOT uncle
 def triage_negative(spark, d):
     rules = stand_in_rules(v.top_words(spark, d, 20), with_strip=True)
     only = RuleSet(rules.rules[:1], rules.macro, rules.business)
-    leads = v.leads(spark, d).withColumn("tickers", F.array().cast("array<string>"))
-    return t.triage(leads, only).select("lead_seq", F.array_contains("attention_reasons", "Event 1 signal in headline").alias("in_headline"),
+    leads = v.leads(spark, d, lambda docs: t.triage(docs.withColumn("tickers", F.array().cast("array<string>")), only))
+    return leads.select("lead_seq", F.array_contains("attention_reasons", "Event 1 signal in headline").alias("in_headline"),
                                         (F.col("event_type") == "Event 1").alias("found"))
 
 
@@ -128,4 +127,4 @@ TOPIC_SQL = f"""CASE WHEN contains(lower(text), '{TOPIC}') THEN 'text' WHEN cont
 
 @query("topic_match", v.with_views(v.LEADS) + f"SELECT lead_seq, {TOPIC_SQL} AS topic FROM leads_v")
 def topic_match(spark, d):
-    return v.leads(spark, d).select("lead_seq", m.topic_match(TOPIC, F.col("text"), F.col("title")).alias("topic"))
+    return v.leads(spark, d, lambda docs: docs.withColumn("topic", m.topic_match(TOPIC, F.col("text"), F.col("title")))).select("lead_seq", "topic")

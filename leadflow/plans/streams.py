@@ -30,7 +30,7 @@ def stream(spark, d, name):
 
 def stream_of_leads(spark, d):
     """The documents as a stream, joined with the static tables that complete a lead."""
-    return with_identity(v.leads(spark, d, docs=stream(spark, d, "documents")))
+    return with_identity(v.streamed_leads(spark, d, stream(spark, d, "documents")))
 
 
 @query("stream_leads", v.with_views(v.LEADS, v.HASHED) + "SELECT lead_seq, id, content_hash FROM hashed_v")

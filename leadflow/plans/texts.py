@@ -55,7 +55,7 @@ def decoded_bodies(spark, d):
 
 @query("content_hashes", v.with_views(v.LEADS, v.HASHED) + "SELECT lead_seq, id, content_hash, signature FROM hashed_v")
 def content_hashes(spark, d):
-    return v.hashed(v.leads(spark, d)).select("lead_seq", "id", "content_hash", "signature")
+    return v.hashed_leads(spark, d).select("lead_seq", "id", "content_hash", "signature")
 
 
 EXCERPT_SQL = """CASE WHEN room > 0 AND len(body) > 0 THEN 'Source excerpt: “' || array_to_string(body[1:room], ' ')

@@ -101,3 +101,13 @@ def test_results_do_not_depend_on_partitions(spark):
     watch = spark.createDataFrame([("1 JP", "Example Acquirer", [], "")], WATCH)
     run = lambda df: sorted(tuple(r) for r in triage(m.match_arrays(df, watch)).select("lead_seq", "attention_score", "event_type").collect())
     assert run(leads) == run(leads.repartition(7).orderBy(F.desc("lead_seq")))
+
+
+def test_keys_that_no_name_has_stay_where_texts_are_read(spark):
+    """Of the runs of a text nearly all are no name's and leave before the join; those of names all stay."""
+    keys = spark.range(20_000).select(F.col("id").alias("lead_seq"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("key"))
+    names = spark.range(0, 20_000, 20).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("key"))
+    kept = {r["lead_seq"] for r in m._may_be_names(keys, names).collect()}
+    assert set(range(0, 20_000, 20)) <= kept and len(kept) < 2_000
+    none = m._may_be_names(keys, names.limit(0))
+    assert none.count() == 0
