@@ -68,19 +68,17 @@ def _text_keys(leads: DataFrame, text: Column) -> DataFrame:
 
 
 def _may_be_names(keys: DataFrame, terms: DataFrame) -> DataFrame:
-    """Keys of texts without nearly all that no name has, by a table of bits (a Bloom filter of two bits for each key of a name).
+    """Keys of texts without nearly all that no name has, by a table of bits (a Bloom filter; both bits of a key lie in one word).
 
     Most runs of a text are no name's: they end where the text is read and are not shuffled to the names, however many there are. The
     table has at least BITS_A_NAME bits a name up to MAX_BITS, so it stays small; beyond, it lets more keys through. The join decides."""
-    size = min(MAX_BITS, max(1 << 12, 1 << (BITS_A_NAME * terms.count()).bit_length()))
-    places = lambda h: [F.pmod(h, F.lit(size)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(size))]
-    set_bits = terms.select(F.explode(F.array(*places(F.xxhash64("key")))).alias("at")).groupBy(F.shiftright("at", 6).alias("id")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("word"))
-    words = terms.sparkSession.range(size // 64).join(set_bits, "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")).alias("w"))
-    bits = words.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["word"]).alias("_bits"))
-    held = lambda at: F.getbit(F.get("_bits", F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
-    first, second = places(F.col("_hash"))
-    return keys.withColumn("_hash", F.xxhash64("key")).join(F.broadcast(bits), held(first) & held(second)).select("lead_seq", "key")
+    words = min(MAX_BITS, max(1 << 12, 1 << (BITS_A_NAME * terms.count()).bit_length())) // 64
+    place = F.pmod(F.shiftrightunsigned("_hash", 12), F.lit(words))
+    mask = F.expr("shiftleft(1L, cast(_hash & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(_hash, 6) & 63 as int))")
+    hashed = lambda rows: rows.withColumn("_hash", F.xxhash64("key")).withColumns({"_place": place, "_mask": mask})
+    bits = hashed(terms.select("key")).groupBy("_place").agg(F.bit_or("_mask").alias("_bits"))
+    met = hashed(keys).join(F.broadcast(bits), "_place")
+    return met.filter(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).select("lead_seq", "key")
 
 
 def match_terms(leads: DataFrame, watchlist: DataFrame, text: Column | None = None) -> DataFrame:
