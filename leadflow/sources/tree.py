@@ -20,6 +20,7 @@ from html import unescape as _unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,8 @@ SIBLINGS = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd":
 # End tags of other elements do not reach across these.
 SCOPES = frozenset(("article", "aside", "body", "div", "dl", "footer", "form", "header", "html", "li", "main", "nav", "ol", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))
 
+SLICE_BYTES = 1 << 20  # of markup whose nodes a worker holds at a time
+
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
@@ -136,16 +139,30 @@ class _Nodes:
         attributes = pa.MapArray.from_arrays(ints(self.attribute_ends), pa.array(self.names, pa.string()), pa.array(self.values, pa.string()))
         nodes = pa.StructArray.from_arrays([ints(self.pre), ints(self.last), ints(self.parent), pa.array(self.tag, pa.string()), attributes, ints(self.t0), ints(self.t1)], names=[f.name for f in NODE])
         lists = [pa.ListArray.from_arrays(ints(self.node_ends), nodes), pa.ListArray.from_arrays(ints(self.text_ends), pa.array(self.texts, pa.string()))]
-        return pa.StructArray.from_arrays(lists, names=["nodes", "texts"], mask=pa.array(self.missing))
+        return pa.StructArray.from_arrays(lists, names=["nodes", "texts"], mask=pa.array(self.missing, pa.bool_()))
+
+
+def _slices(html: pa.Array) -> Iterator[pa.Array]:
+    """A batch in stretches of about ``SLICE_BYTES``, one page at least: nodes take many times the room of their markup, so a worker holds those
+    of a stretch and not of a batch, however many pages a batch has."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(html), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    if not len(html):
+        yield html
+    while at < len(html):
+        stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield html.slice(at, stop - at)
+        at, before = stop, int(ends[stop - 1])
 
 
 @F.arrow_udf(PAGE)
 def _index_batch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for html in batches:
-        found = _Nodes()
-        for value in html.to_pylist():
-            found.page(value)
-        yield found.arrow()
+        for part in _slices(html):
+            found = _Nodes()
+            for value in part.to_pylist():
+                found.page(value)
+            yield found.arrow()
 
 
 def page_index(html) -> Column:
