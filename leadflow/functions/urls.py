@@ -26,6 +26,9 @@ PRIVATE_IPV4 = (r"^(?:(?:0|10|127)\.\d+\.\d+\.\d+|100\.(?:6[4-9]|[7-9]\d|1[01]\d
 # One http(s) address: no user or password, a host, and no port but 80 or 443.
 SAFE = r"(?is)^https?://(?::?@)?(?:\[[^\]]*\]|[^/?#@:\[\]]+)(?::(?:0*(?:80|443))?)?(?:[/?#].*)?$"
 
+# The usual public address, told by one pattern: a lower-case dotted host that ends in a public name, and printable characters behind it.
+USUAL_PUBLIC = r"^https?://(?:[a-z0-9-]+\.)+(?!(?:localhost|local|internal)(?:[/?#]|\z))[a-z]{2,63}(?:[/?#][!-\[\]-~]*)?\z"
+
 _PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -107,6 +110,10 @@ def lead_id(canonical) -> Column:
 def is_public_url(url) -> Column:
     """A safe address that also looks public: a dotted, non-local host and no private literal IP."""
     value = F.coalesce(_col(url), F.lit(""))
+    return F.when(value.rlike(USUAL_PUBLIC), True).otherwise(_is_public(value))
+
+
+def _is_public(value: Column) -> Column:
     name = F.regexp_replace(F.regexp_extract(F.lower(value), r"^https?://(?::?@)?([^/?#@:\[\]]+)", 1), r"\.+$", "")
     local = "|".join(suffix.replace(".", r"\.") for suffix in PRIVATE_SUFFIXES)
     return (value.rlike(SAFE) & ~value.rlike(r"[\x00-\x20\x7f\\]") & F.contains(name, F.lit("."))

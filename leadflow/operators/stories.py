@@ -17,7 +17,7 @@ from leadflow.functions.dates import DESK_ZONE, iso, strict_ts
 from leadflow.functions.text import language_label
 from leadflow.operators.windows import MAX_MARKETS, infer_markets, market_code, windows_map
 from leadflow.rules import SECTIONS
-from leadflow.session import bounded_rows, cut_lineage
+from leadflow.session import bounded_rows, written_table
 
 TOP_STORIES = 2
 ORIGIN_KINDS = ("exchange", "issuer", "regulator", "original_reporting")
@@ -113,13 +113,14 @@ def story_windows(stories: DataFrame, windows: DataFrame, start, as_of) -> DataF
     table = windows_map(windows)
     empty = F.lit(None).cast("array<string>")
     df = stories.withColumn("markets", infer_markets("market", empty, "tickers", empty, empty, F.lit(False), F.lit("")))
-    hits = F.transform("markets", lambda m: F.try_element_at(table, m))
-    known = (F.size("markets") > 0) & F.forall(hits, lambda w: w.isNotNull())
-    latest = F.array_max(F.transform(hits, lambda w: w["start"]))
+    # The windows of a story are looked up once, and three columns follow from them.
+    df = df.withColumn("_hits", F.transform("markets", lambda m: F.try_element_at(table, m)))
+    df = df.withColumn("_known", (F.size("markets") > 0) & F.forall("_hits", lambda w: w.isNotNull())).withColumn("_latest", F.array_max(F.col("_hits.start")))
+    known = F.col("_known")
     return (df.withColumn("market_known", (F.size(F.map_keys(table)) == 0) | known)
-            .withColumn("story_start", F.when(known, latest).otherwise(start))
-            .withColumn("story_inclusive", F.when(known, F.forall(hits, lambda w: (w["start"] != F.col("story_start")) | w["inclusive"])).otherwise(True))
-            .withColumn("as_of", as_of))
+            .withColumn("story_start", F.when(known, F.col("_latest")).otherwise(start))
+            .withColumn("story_inclusive", F.when(known, F.forall("_hits", lambda w: (w["start"] != F.col("_latest")) | w["inclusive"])).otherwise(True))
+            .withColumn("as_of", as_of).drop("_hits", "_known", "_latest"))
 
 
 def public_sources(sources: DataFrame) -> DataFrame:
@@ -213,14 +214,15 @@ def bullet_reasons(placed: DataFrame, bullets: DataFrame, public: DataFrame) ->
         F.when(_blank("text"), _reason(at(0), F.concat(label, F.lit(BULLET_NO_TEXT)))),
         F.when(~_blank("text") & (F.size("source_urls") == 0), _reason(at(0), F.concat(label, F.lit(BULLET_NO_SOURCE))))])
     checks = citation_check(bullets, public).join(own, "story_seq")
-    pos = F.col("pos")
-    detail = _rows(checks, [
-        F.when(~F.col("valid"), _reason(at(0, pos), F.concat(label, F.lit(BULLET_BAD_URL)))),
-        F.when(F.col("valid") & ~F.col("found"), _reason(at(1, pos), F.concat(label, F.lit(BULLET_ABSENT)))),
-        F.when(F.col("found") & (F.coalesce("access", F.lit("")) != "readable"), _reason(at(2, pos), F.concat(label, F.lit(BULLET_UNREAD)))),
-        F.when(F.col("found") & (F.coalesce("date_precision", F.lit("")) != "time"), _reason(at(3, pos), F.concat(label, F.lit(BULLET_NO_DAY)))),
-        F.when(F.col("found") & F.col("ts").isNull(), _reason(at(4, pos), F.concat(label, F.lit(BULLET_NO_TIME)))),
-        F.when(F.col("found") & _outside(F.col("ts")), _reason(at(4, pos), F.concat(label, F.lit(BULLET_OUTSIDE))))])
+    # A bullet breaks a rule at the first citation that breaks it: numbers alone are grouped, the wording is added to what is left.
+    rules = ((0, BULLET_BAD_URL, ~F.col("valid")), (1, BULLET_ABSENT, F.col("valid") & ~F.col("found")),
+             (2, BULLET_UNREAD, F.col("found") & (F.coalesce("access", F.lit("")) != "readable")), (3, BULLET_NO_DAY, F.col("found") & (F.coalesce("date_precision", F.lit("")) != "time")),
+             (4, BULLET_NO_TIME, F.col("found") & F.col("ts").isNull()), (4, BULLET_OUTSIDE, F.col("found") & _outside(F.col("ts"))))
+    broken = F.array_compact(F.array(*[F.when(rule, F.lit(i)) for i, (_, _, rule) in enumerate(rules)]))
+    firsts = checks.select("story_seq", "number", "pos", F.explode(broken).alias("rule")).groupBy("story_seq", "number", "rule").agg(F.min("pos").alias("pos"))
+    order, wording = (F.array(*[F.lit(rule[k]) for rule in rules]) for k in (0, 1))
+    place = _at(13, F.col("number"), F.col("pos")).withField("c", F.get(order, F.col("rule")))
+    detail = firsts.select("story_seq", place.cast(PLACE).alias("at"), F.concat(label, F.get(wording, F.col("rule"))).alias("reason"))
     return none.unionByName(uncited).unionByName(plain).unionByName(detail)
 
 
@@ -239,14 +241,14 @@ def validate_stories(stories: DataFrame, sources: DataFrame, bullets: DataFrame,
     bullets = bullets.withColumn("source_urls", F.coalesce("source_urls", F.array().cast("array<string>")))
     stories = stories.withColumn("has_origin", F.coalesce("has_origin", F.lit(False)))
     # Four groups of checks read both tables; they are computed once and written to the shared folder.
-    placed = cut_lineage(story_windows(stories, windows, start, as_of))
-    public = cut_lineage(public_sources(sources))
+    placed = written_table(story_windows(stories, windows, start, as_of), "placed")
+    public = written_table(public_sources(sources), "public")
     parts = [story_reasons(placed, windows), source_reasons(sources, public), origin_reasons(placed, public), bullet_reasons(placed, bullets, public)]
     every = reduce(DataFrame.unionByName, parts)
-    first = every.groupBy("story_seq", "reason").agg(F.min("at").alias("at"))
-    listed = first.groupBy("story_seq").agg(F.array_sort(F.collect_list(F.struct("at", "reason"))).alias("r"))
-    df = stories.join(listed, "story_seq", "left")
-    reasons = F.coalesce(F.transform("r", lambda x: x["reason"]), F.array().cast("array<string>"))
+    # Equal rows leave before the shuffle; a reason at several places stays at its first.
+    listed = every.groupBy("story_seq").agg(F.sort_array(F.collect_set(F.struct("at", "reason"))).alias("r"))
+    df = placed.select(stories.columns).join(listed, "story_seq", "left")
+    reasons = F.coalesce(F.array_distinct(F.col("r.reason")), F.array().cast("array<string>"))
     return df.withColumn("reasons", reasons).drop("r").withColumn("composition_status", F.when(F.size("reasons") == 0, "ready").otherwise("hold"))
 
 

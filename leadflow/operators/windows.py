@@ -25,9 +25,9 @@ def market_code(value) -> Column:
 
 def ticker_market(ticker) -> Column:
     """Market suffix of a ticker; empty when it has none. A trailing 'Equity' is ignored."""
-    parts = F.filter(F.split(F.coalesce(_col(ticker), F.lit("")), r"\s+"), lambda p: p != "")
-    core = F.when(F.upper(F.try_element_at(parts, F.lit(-1))) == "EQUITY", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.when(F.size(core) >= 2, market_code(F.try_element_at(core, F.lit(-1)))).otherwise("")
+    core = F.regexp_replace(F.coalesce(_col(ticker), F.lit("")), r"(?iu)(?:\A|\s)EQUITY\s*\z", "")
+    last = F.regexp_extract(core, r"\S\s+(\S+)\s*\z", 1)
+    return F.when(last != "", market_code(last)).otherwise("")
 
 
 def for_each_row(df: DataFrame, small: DataFrame, name: str) -> DataFrame:
@@ -128,8 +128,10 @@ def infer_markets(market, exchange_tickers, tickers, matched, source_tickers, au
     found = F.array_sort(F.array_distinct(F.filter(F.transform(chosen, ticker_market), lambda m: m != "")))
     scope = F.coalesce(_col(scope_market), F.lit(""))
     stated = F.coalesce(_col(market), F.lit(""))
-    return (F.when(stated != "", F.array(market_code(stated))).when(F.size(found) > 0, found)
-            .when(F.coalesce(_col(authoritative), F.lit(False)) & (scope != ""), F.array(market_code(scope))).otherwise(empty))
+    own = F.when(F.coalesce(_col(authoritative), F.lit(False)) & (scope != ""), F.array(market_code(scope))).otherwise(empty)
+    # Tickers are read once: the list found is bound before its size decides.
+    inferred = F.element_at(F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, f).otherwise(own)), 1)
+    return F.when(stated != "", F.array(market_code(stated))).otherwise(inferred)
 
 
 def windows_map(windows: DataFrame) -> Column:

@@ -110,12 +110,22 @@ STORY_VIEWS = (PACK_WINDOWS, STORIES)
 REASON_VIEWS = (PACK_WINDOWS, STORIES, REASONS)
 
 
+def source_url(supplier="l_suppkey", part="l_partkey", tax="l_tax"):
+    c = F.col
+    return F.when(c(tax) == 0.08, "http://localhost/x").otherwise(F.concat(F.lit("https://www.example.com/s"), c(supplier).cast("string"), F.lit("/p"), c(part).cast("string")))
+
+
+def place():
+    c = F.col
+    return c("l_linenumber") * F.lit(10 ** 12) + c("l_partkey") * F.lit(10 ** 5) + c("l_suppkey")
+
+
 def sources(spark, d):
     c = F.col
     return v.table(spark, d, "lineitem").select(
-        c("l_orderkey").alias("story_seq"), (c("l_linenumber") * F.lit(10 ** 12) + c("l_partkey") * F.lit(10 ** 5) + c("l_suppkey")).alias("pos"),
+        c("l_orderkey").alias("story_seq"), place().alias("pos"),
         "l_linenumber", c("l_quantity").alias("q"), "l_partkey", "l_returnflag", "l_discount",
-        F.when(c("l_tax") == 0.08, "http://localhost/x").otherwise(F.concat(F.lit("https://www.example.com/s"), c("l_suppkey").cast("string"), F.lit("/p"), c("l_partkey").cast("string"))).alias("url"),
+        source_url().alias("url"),
         F.when(c("l_tax") == 0.07, F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(iso("l_shipdate")).alias("published_at"),
         F.when(c("l_returnflag") == "R", "restricted").otherwise("readable").alias("access"),
         F.when(c("l_linestatus") == "O", "time").otherwise("day").alias("date_precision"),
@@ -131,7 +141,9 @@ def bullets(spark, d):
 
 
 def stories(spark, d):
-    first = sources(spark, d).groupBy("story_seq").agg(F.min_by(F.struct("url", "q", "l_returnflag", "l_discount"), "pos").alias("o"))
+    # The first line of an order as numbers; its address is made once for an order.
+    first = v.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("story_seq")).agg(
+        F.min_by(F.struct("l_suppkey", "l_partkey", "l_tax", F.col("l_quantity").alias("q"), "l_returnflag", "l_discount"), place()).alias("o"))
     orders = v.table(spark, d, "orders").join(v.table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     digit = F.substring("o_orderpriority", 1, 1).cast("int")
     sections = F.array(*[F.lit(s) for s in v.SECTIONS])
@@ -144,7 +156,7 @@ def stories(spark, d):
         F.when(c("o_orderpriority") == "5-LOW", "hold").otherwise("ready").alias("review_status"),
         F.when((c("o_orderpriority") == "4-NOT SPECIFIED") & (c("o_orderstatus") == "P"), "").otherwise(F.concat(F.lit("Order "), c("o_orderkey").cast("string"))).alias("headline"))
     return df.join(first, "story_seq", "left").select(
-        *df.columns, c("o").isNotNull().alias("has_origin"), c("o.url").alias("origin_url"), F.when(c("o.q") > 45, "open").otherwise("verified").alias("origin_status"),
+        *df.columns, c("o").isNotNull().alias("has_origin"), F.when(c("o").isNotNull(), source_url("o.l_suppkey", "o.l_partkey", "o.l_tax")).alias("origin_url"), F.when(c("o.q") > 45, "open").otherwise("verified").alias("origin_status"),
         F.when(c("o.l_returnflag") == "N", "exchange").when(c("o.l_returnflag") == "A", "issuer").otherwise("recap").alias("origin_kind"),
         F.lit("seen").alias("origin_development"), F.when(c("o.l_discount") == 0.1, "").otherwise("seen").alias("origin_timestamp_evidence"),
         F.lit("seen").alias("origin_verification_notes"))

@@ -123,3 +123,22 @@ def test_missing_values_hold_the_story(spark):
     assert st.BAD_URL in validate(spark, sources=[dict(), dict(url=None)])
     nulls = dict.fromkeys(("id", "company", "headline", "review_status", "novelty", "category", "origin_status", "origin_kind"))
     assert len(validate(spark, nulls)) == len(nulls)
+
+
+def test_stories_are_computed_once(spark, tmp_path):
+    """The rows that come out are those that were checked: the table of stories is not read a second time."""
+    tables = []
+    for name, rows, schema in (("stories", [dict(id="a", story_seq=1)], "story_seq long, id string, company string, headline string, market string, tickers array<string>, review_status string, novelty string, category string, has_origin boolean, origin_url string, origin_status string, origin_kind string, origin_development string, origin_timestamp_evidence string, origin_verification_notes string"),
+                               ("sources", [dict(story_seq=1, pos=1, url=A)], SOURCE), ("bullets", [dict(story_seq=1, number=1, text="x", source_urls=[A])], BULLET)):
+        spark.createDataFrame([{**dict.fromkeys(spark.createDataFrame([], schema).columns), **r} for r in rows], schema).write.parquet(str(tmp_path / name))
+        tables.append(spark.read.parquet(str(tmp_path / name)))
+    win = spark.createDataFrame([], "market string, window_start timestamp, start_inclusive boolean, status string")
+    got = st.validate_stories(*tables, win, strict_ts(F.lit(START)), strict_ts(F.lit(AS_OF)))
+    assert got.count() == 1
+    assert not [f for f in got.inputFiles() if "/stories/" in f]
+
+
+def test_a_rule_broken_by_several_citations_is_one_reason(spark):
+    two = [dict(access="restricted"), dict(url=B, access="restricted", relationship="background", context_notes="older")]
+    unread = [r for r in validate(spark, sources=two, bullets=[dict(text="x", source_urls=[A, B, A]), dict(text="y", source_urls=[B])]) if r.endswith(st.BULLET_UNREAD)]
+    assert unread == ["Bullet 1" + st.BULLET_UNREAD, "Bullet 2" + st.BULLET_UNREAD]
