@@ -23,7 +23,9 @@ the words leave J = 0.47 if they are scattered at random and 0.43 if no two touc
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ SMALL = 64
 STARS = 3
 ORDER_TEXTS = 1_000  # texts by which rare words are told from common ones; any order finds all links
 COMMON_WORDS = 50_000  # size of the table of common words
+LEAST_LONGS, MOST_LONGS = 4, 128  # 64-bit numbers of parities of a text, powers of two; with fewer, more pairs are aligned
 SECOND_LOOK = 20_000  # words of a pair up to which a failed star pair is measured again, to tell far from near
 MAX_ROUNDS = 60  # rounds of the component search grow with the logarithm of the longest chain
 
@@ -117,12 +120,58 @@ def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                                           pa.array(counts.astype(np.int32)), lists], names=["k1", "k2", "n", "sketches"])
 
 
-@arrow_udf(ArrayType(IntegerType()))
+def _bag(codes: np.ndarray) -> np.ndarray:
+    """The words of a text as a set: 32-bit hashes with their occurrence numbers, hashed."""
+    return mixed(labelled(codes.view(np.uint32).astype(np.uint64)))
+
+
+def parities(codes: np.ndarray) -> np.ndarray:
+    """The words of a text in numbers of 64 bits: each bit tells whether an odd number of the words fall on it.
+
+    An edit of one word changes at most two bits, so the bits in which two texts differ bound their distance from below. A text has a
+    power of two of numbers, some eight bits a word; the exclusive or of their halves gives the parities in half as many bits."""
+    longs = LEAST_LONGS
+    while longs * 16 < len(codes) and longs < MOST_LONGS:
+        longs *= 2
+    odd = np.bincount((_bag(codes) & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
+
+
+@arrow_udf(StructType().add("codes", ArrayType(IntegerType())).add("bits", ArrayType(LongType())).add("few", ArrayType(LongType())))
 def word_codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The words of every text as 32-bit hashes, for alignment."""
+    """The words of every text as 32-bit hashes, for alignment, and their parities, in all bits and in ``LEAST_LONGS`` numbers."""
     for texts in batches:
         words, counts = hashed_words(texts)
-        yield pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+        codes, ends = (words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.r_[0, np.cumsum(counts)].astype(np.int32)
+        bits = [parities(codes[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:])]
+        few = [np.bitwise_xor.reduce(row.reshape(-1, LEAST_LONGS), axis=0) for row in bits]
+        yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(codes)), _lists(bits), _lists(few)], names=["codes", "bits", "few"])
+
+
+def _signed(codes: DataFrame, end: str) -> DataFrame:
+    """The parities of every text, and the same in ``LEAST_LONGS`` columns, with the node named ``end``."""
+    return codes.select(F.col("node").alias(end), F.col("bits").alias(f"{end}_bits"), *[F.col("few")[k].alias(f"{end}_bits{k}") for k in range(LEAST_LONGS)])
+
+
+def _folded(bits: F.Column, other: F.Column) -> F.Column:
+    """The parities in as many bits as those of a text of at least half the length."""
+    half = F.shiftright(F.size(bits), 1)
+    return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(bits)
+
+
+def _least_distance(left: str, right: str) -> tuple[F.Column, F.Column]:
+    """Two numbers that are no more than the distance of the texts ``a`` and ``b``, the second of them for texts whose lengths differ by less than half.
+
+    A word changed in place accounts for two parities, one that is added or missing for one. The first number takes few parities."""
+    apart = F.abs(F.col(left) - F.col(right))
+    few = reduce(operator.add, [F.bit_count(F.col(f"a_bits{k}").bitwiseXOR(F.col(f"b_bits{k}"))) for k in range(LEAST_LONGS)])
+    a, b = F.col("a_bits"), F.col("b_bits")
+    every = F.aggregate(F.zip_with(_folded(a, b), _folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+    return F.greatest(apart, (few + apart) / 2), F.greatest(apart, (every + apart) / 2)
 
 
 def _banded(x: list, y: list, limit: int) -> bool:
@@ -242,6 +291,8 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         known = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
         ends = ends.join(known, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    if links.isEmpty():
+        return labels
     joined = components(ends.filter("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
     moved = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
     return written(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")).union(joined), "labels")
@@ -263,19 +314,17 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _across(members: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """Pairs of a bucket that are in different components: each pair of ``members`` once, or each of a member and another."""
+def _across(members: DataFrame, codes: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Pairs of a bucket that are in different components and may be similar: each pair of ``members`` once, or each of a member and another."""
     right = (members if others is None else others).select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
     once = F.col("a") < F.col("b") if others is None else F.col("a") != F.col("b")
-    found = members.withColumnRenamed("node", "a").join(right, "bucket").filter(once & (F.col("label") != F.col("label_b")) & _sized("n", "n_b"))
+    left, right = members.withColumnRenamed("node", "a").join(_signed(codes, "a"), "a"), right.join(_signed(codes, "b"), "b")
+    limit = (1 - SIMILARITY) * F.greatest("n", "n_b") + 1e-9
+    few, every = _least_distance("n", "n_b")
+    found = left.join(right, "bucket").filter(once & (F.col("label") != F.col("label_b")) & _sized("n", "n_b") & (few <= limit) & (every <= limit))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _bag(codes: np.ndarray) -> np.ndarray:
-    """The words of a text as a set: 32-bit hashes with their occurrence numbers, hashed."""
-    return mixed(labelled(codes.view(np.uint32).astype(np.uint64)))
-
-
 @arrow_udf(ArrayType(LongType()))
 def _bags(codes: pa.Array) -> pa.Array:
     parts = [_bag(np.asarray(row.values)) for row in codes]
@@ -315,9 +364,14 @@ def _star(left: DataFrame, hubs: DataFrame, codes: DataFrame) -> DataFrame:
     """``bucket, node, n, hub, verdict`` of the members against the hub of their bucket; the hub itself is linked."""
     rows = left.join(hubs, "bucket")
     pairs = rows.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n_hub").alias("n_a"), "n").distinct()
-    aligned = _verdicts(pairs.filter(_sized("n", "n_a")).select("a", "b"), codes)
-    # Of pairs whose lengths alone rule out a link, those that differ by more than two steps are far.
-    apart = pairs.filter(~_sized("n", "n_a")).select("a", "b", F.when(F.abs(F.col("n") - F.col("n_a")) > _reach(F.col("n"), F.col("n_a")) + 1e-9, FAR).otherwise(NEAR).alias("verdict"))
+    for end in ("a", "b"):
+        pairs = pairs.join(_signed(codes, end), end)
+    few, every = _least_distance("n", "n_a")
+    pairs = written(pairs.select("a", "b", "n", "n_a", F.when(_sized("n", "n_a"), F.greatest(few, every)).otherwise(few).alias("least")), "star-pairs")
+    possible = F.col("least") <= (1 - SIMILARITY) * F.greatest("n", "n_a") + 1e-9
+    aligned = _verdicts(pairs.filter(possible).select("a", "b"), codes)
+    # Of pairs that lengths or parities rule out, those that differ by more than two steps are far.
+    apart = pairs.filter(~possible).select("a", "b", F.when(F.col("least") > _reach(F.col("n"), F.col("n_a")) + 1e-9, FAR).otherwise(NEAR).alias("verdict"))
     verdicts = written(aligned.unionByName(apart), "verdicts").select(F.col("a").alias("hub"), F.col("b").alias("node"), "verdict")
     return written(rows.join(verdicts, ["hub", "node"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(LINKED))).select("bucket", "node", "n", "hub", "verdict"), "star")
 
@@ -325,7 +379,7 @@ def _star(left: DataFrame, hubs: DataFrame, codes: DataFrame) -> DataFrame:
 def _labels(posted: DataFrame, codes: DataFrame) -> DataFrame:
     """``node, label`` of all texts linked to others, among texts that share a bucket; ``posted`` holds ``bucket, node, n``."""
     spark = posted.sparkSession
-    labels, pairs, left = spark.createDataFrame([], "node long, label long"), spark.createDataFrame([], "a long, b long"), posted
+    labels, pairs, left = spark.createDataFrame([], "node long, label long"), [], posted
     for number in range(STARS + 1):
         counted = _labelled(left, labels).groupBy("bucket", "label").agg(F.count("*").alias("texts"), F.min(F.struct("node", "n")).alias("first"))
         sizes = counted.groupBy("bucket").agg(F.sum("texts").alias("size"), F.count("*").alias("labels"), F.max_by("first", F.struct("texts", -F.col("label"))).alias("hub"))
@@ -333,27 +387,27 @@ def _labels(posted: DataFrame, codes: DataFrame) -> DataFrame:
         if number:
             sizes = written(sizes, "sizes")
             small = _labelled(left.join(sizes.filter(F.col("size") <= SMALL).select("bucket"), "bucket", "left_semi"), labels)
-            pairs = pairs.union(_across(small))
+            pairs.append(written(_across(small, codes), "small"))
             sizes = sizes.filter(F.col("size") > SMALL)
             if sizes.isEmpty():
                 break
         hubs = sizes.select("bucket", "hub", "n_hub")
         if number == STARS:
-            pairs = pairs.union(_across(_rare_words(_labelled(left.join(hubs, "bucket", "left_semi"), labels), codes)))
+            pairs.append(written(_across(_rare_words(_labelled(left.join(hubs, "bucket", "left_semi"), labels), codes), codes), "rare"))
             break
         star = _star(left, hubs, codes)
         links = star.filter((F.col("verdict") == LINKED) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         labels = _relabelled(labels, links)
         placed = _labelled(star, labels)
-        pairs = pairs.union(_across(placed.filter(F.col("verdict") == NEAR), placed.filter(F.col("verdict") == LINKED)))
+        pairs.append(written(_across(placed.filter(F.col("verdict") == NEAR), codes, placed.filter(F.col("verdict") == LINKED)), "near"))
         left = star.filter(F.col("verdict") != LINKED).select("bucket", "node", "n")
-    more = _verdicts(written(pairs.distinct(), "pairs"), codes).filter(F.col("verdict") == LINKED).select("a", "b")
+    more = _verdicts(reduce(DataFrame.union, pairs).distinct(), codes).filter(F.col("verdict") == LINKED).select("a", "b")
     return _relabelled(labels, written(more, "more-links"))
 
 
 def _codes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, codes`` of the texts of ``nodes``, written."""
-    return written(rows.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", word_codes("text").alias("codes")).dropDuplicates(["node"]), "codes")
+    """``node, codes, bits, few`` of the texts of ``nodes``, written."""
+    return written(rows.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", word_codes("text").alias("c")).dropDuplicates(["node"]).select("node", "c.*"), "codes")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

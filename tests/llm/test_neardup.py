@@ -145,6 +145,36 @@ def test_far_texts_are_similar_to_none_linked_to_the_hub():
             assert not similar(near, other)
 
 
+def test_parities_bound_the_distance_from_below(llm):
+    """For texts of many lengths, unrelated, edited or with one phrase repeated; an edit in place counts at most two parities."""
+    r, texts = random.Random(8), []
+    for n in (1, 3, 30, 63, 64, 65, 70, 130, 300):
+        base = [r.randrange(1 << 30) for _ in range(n)]
+        texts += [base, [x for x in base if r.random() > 0.1] or base, [r.randrange(1 << 30) if r.random() < 0.2 else x for x in base], [r.choice(base) for _ in range(n)], [7, 9] * n]
+    rows = []
+    for k, words in enumerate(texts):
+        bits = neardup.parities(np.array(words, np.uint32).view(np.int32))
+        rows.append((k, len(words), bits.tolist(), np.bitwise_xor.reduce(bits.reshape(-1, neardup.LEAST_LONGS), axis=0).tolist()))
+    codes = llm.createDataFrame(rows, "node long, n int, bits array<long>, few array<long>")
+    left = neardup._signed(codes, "a").join(codes.selectExpr("node a", "n n_a"), "a")
+    pairs = left.crossJoin(neardup._signed(codes, "b").join(codes.selectExpr("node b", "n n_b"), "b")).filter("a < b AND least(n_a, n_b) > 0.5 * greatest(n_a, n_b)")
+    found = pairs.select("a", "b", *neardup._least_distance("n_a", "n_b")).collect()
+    assert len(found) > 200
+    for a, b, few, every in found:
+        assert few <= every <= distance(texts[a], texts[b])
+
+
+def test_texts_with_a_passage_in_common_are_not_all_aligned(documents, monkeypatch):
+    """Pairs that are aligned grow with the texts and not with their pairs: the passage puts all of them into the same buckets, and few are similar."""
+    r, aligned, verdicts = random.Random(9), [], neardup._verdicts
+    passage = text(r, 70)
+    rows = [text(r, 30) + passage + text(r, 30) for _ in range(60)]
+    rows += [edited(r, rows[0], 3), edited(r, rows[1], 3)]
+    monkeypatch.setattr(neardup, "_verdicts", lambda pairs, codes: aligned.append(pairs.count()) or verdicts(pairs, codes))
+    assert classes(documents([" ".join(w) for w in rows])) == {k: k for k in range(60)} | {60: 0, 61: 1}
+    assert sum(aligned) < 2 * len(rows)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_nothing_to_compare(documents, rows):
     assert classes(documents(rows)) == {r[0]: r[0] for r in rows}
