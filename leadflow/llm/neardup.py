@@ -316,6 +316,8 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _across(members: DataFrame, codes: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Pairs of a bucket that are in different components and may be similar: each pair of ``members`` once, or each of a member and another."""
+    if others is not None:  # the parities of texts that have nothing to meet do not travel
+        others = others.join(members.select("bucket"), "bucket", "left_semi")
     right = (members if others is None else others).select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
     once = F.col("a") < F.col("b") if others is None else F.col("a") != F.col("b")
     left, right = members.withColumnRenamed("node", "a").join(_signed(codes, "a"), "a"), right.join(_signed(codes, "b"), "b")
