@@ -400,7 +400,8 @@ def _labels(posted: DataFrame, codes: DataFrame) -> DataFrame:
         star = _star(left, hubs, codes)
         links = star.filter((F.col("verdict") == LINKED) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         labels = _relabelled(labels, links)
-        placed = _labelled(star, labels)
+        # Two texts of a bucket have its hub in common, so they meet once for a hub and not for each of its buckets.
+        placed = _labelled(star.select(F.col("hub").alias("bucket"), "node", "n", "verdict").distinct(), labels)
         pairs.append(written(_across(placed.filter(F.col("verdict") == NEAR), codes, placed.filter(F.col("verdict") == LINKED)), "near"))
         left = star.filter(F.col("verdict") != LINKED).select("bucket", "node", "n")
     more = _verdicts(reduce(DataFrame.union, pairs).distinct(), codes).filter(F.col("verdict") == LINKED).select("a", "b")
