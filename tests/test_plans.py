@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leadflow.operators import audit, candidates, matching
 from leadflow.operators.coverage import coverage_by_company
+from leadflow.sources import markup
 
 
 def plan(df):
@@ -79,3 +80,12 @@ def test_texts_do_not_travel_to_the_names(spark):
 
     text = plan(signals.scored_leads(spark, "/root/testdata/sf0.001").select("lead_seq", "attention_score"))
     assert "RoundRobin" not in text
+
+
+def test_a_listing_is_parsed_and_read_once(spark):
+    captures = spark.range(3).select(F.col("id").cast("string").alias("source_id"), F.lit("https://www.example.com/list").alias("url"), F.lit("20240115").alias("day"),
+                                     F.concat(F.lit("<table><tr><td>"), F.col("id").cast("string"), F.lit("</td></tr></table>")).alias("body"))
+    for layout in markup.LAYOUTS.values():
+        for part in markup.explode_listing(captures, layout):
+            text = part._jdf.queryExecution().executedPlan().toString()
+            assert text.count("_index_batch(") == 1 and "Filter" not in text.split("ArrowEvalPython")[0]
