@@ -7,9 +7,7 @@ list grows with the kinds of reason and not with the sources.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadflow.functions import urls
@@ -84,10 +82,14 @@ def _public(url) -> Column:
     return F.coalesce(urls.is_public_url(url), F.lit(False))
 
 
+def _packed(reasons: list[Column]) -> Column:
+    """The reasons that are not null, as a list."""
+    return F.array_compact(F.array(*reasons)).cast(REASON)
+
+
 def _rows(df: DataFrame, reasons: list[Column], seq: str = "story_seq") -> DataFrame:
     """(story_seq, at, reason) of the reasons that are not null."""
-    packed = F.array_compact(F.array(*reasons)).cast(REASON)
-    return df.select(F.col(seq).alias("story_seq"), F.explode(packed).alias("r")).select("story_seq", "r.at", "r.reason")
+    return df.select(F.col(seq).alias("story_seq"), F.explode(_packed(reasons)).alias("r")).select("story_seq", "r.at", "r.reason")
 
 
 def window_violations(windows: DataFrame, start, as_of) -> DataFrame:
@@ -125,43 +127,50 @@ def story_windows(stories: DataFrame, windows: DataFrame, start, as_of) -> DataF
 
 def public_sources(sources: DataFrame) -> DataFrame:
     """Usable sources, one row per (story, address): the metadata of the last entry, the place of the
-    first, and how many entries there are."""
-    fields = F.struct("published_at", "access", "date_precision", "relationship", "context_notes", "name")
-    return (sources.filter(_public("url")).groupBy("story_seq", "url")
-            .agg(F.max_by(fields, "pos").alias("s"), F.min("pos").alias("first_pos"), F.count("*").alias("n"))
-            .select("story_seq", "url", "first_pos", "n", "s.*").withColumn("ts", strict_ts("published_at")))
+    first, and how many entries there are. Times are read before the shuffle, and what a caller does not ask for stays behind."""
+    last = lambda value, name: F.max_by(value, "pos").alias(name)
+    return (sources.filter(_public("url")).withColumn("ts", strict_ts("published_at")).groupBy("story_seq", "url")
+            .agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"),
+                 *[last(F.col(c), c) for c in ("published_at", "access", "date_precision", "relationship", "context_notes", "name", "ts")]))
 
 
-def _outside(ts) -> Column:
-    return (ts > F.col("as_of")) | (ts < F.col("story_start")) | ((ts == F.col("story_start")) & ~F.col("story_inclusive"))
+def _outside(ts, story=None) -> Column:
+    """Whether a time lies outside the window of the story of the row, or of ``story``."""
+    of = F.col if story is None else lambda name: story[name]
+    return (ts > of("as_of")) | (ts < of("story_start")) | ((ts == of("story_start")) & ~of("story_inclusive"))
 
 
-def story_reasons(placed: DataFrame, windows: DataFrame) -> DataFrame:
-    """Reasons of the story's own fields."""
+def _window_states(windows: DataFrame) -> Column:
+    """Reasons of a story's markets whose window is not open, null elements for the others."""
     table = {r["market"]: r["status"] for r in bounded_rows(windows.select("market", "status"), MAX_MARKETS, "the window table")}
     statuses = F.create_map(*[F.lit(x) for pair in table.items() for x in pair]) if table else F.create_map().cast("map<string,string>")
     wording = F.create_map(*[F.lit(x) for pair in WINDOW_STATES.items() for x in pair])
-    state = F.transform("markets", lambda m, i: F.struct(_at(1, i).alias("at"), F.concat(m, F.try_element_at(wording, F.try_element_at(statuses, m))).alias("reason")))
-    states = placed.select("story_seq", "market_known", F.explode(state).alias("r")).filter("market_known AND r.reason IS NOT NULL").select("story_seq", "r.at", "r.reason")
-    ids = placed.filter(~_blank("id")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
-    doubled = placed.select("story_seq", "id").join(ids, "id", "left_semi").select("story_seq", _at(2).alias("at"), F.lit(ID_DUPLICATED).alias("reason"))
-    own = _rows(placed, [
-        F.when(~F.col("market_known"), _reason(_at(0), WINDOW_UNKNOWN)), F.when(_blank("id"), _reason(_at(2), ID_MISSING)),
-        F.when(_blank("company"), _reason(_at(3), NO_COMPANY)), F.when(_blank("headline"), _reason(_at(4), NO_HEADLINE)),
-        F.when(F.coalesce("review_status", F.lit("")) != "ready", _reason(_at(5), NOT_READY)),
-        F.when(~F.coalesce("novelty", F.lit("")).isin("new", "changed"), _reason(_at(6), NOT_NEW)),
-        F.when(~F.coalesce("category", F.lit("")).isin(*SECTIONS), _reason(_at(7), NO_CATEGORY))])
-    return own.unionByName(states).unionByName(doubled)
-
-
-def source_reasons(sources: DataFrame, public: DataFrame) -> DataFrame:
-    """Invalid and repeated source addresses, at the place where each first shows."""
-    bad = sources.filter(~_public("url")).groupBy("story_seq").agg(F.min("pos").alias("pos")).select(
-        "story_seq", _at(8, F.col("pos")).alias("at"), F.lit(BAD_URL).alias("reason"))
-    firsts = public.filter("n > 1").select("story_seq", "url", "first_pos")
-    again = (sources.select("story_seq", "url", "pos").join(firsts, ["story_seq", "url"]).filter("pos > first_pos")
-             .groupBy("story_seq").agg(F.min("pos").alias("pos")).select("story_seq", _at(8, F.col("pos")).alias("at"), F.lit(SAME_URL).alias("reason")))
-    return bad.unionByName(again)
+    text = lambda m: F.concat(m, F.try_element_at(wording, F.try_element_at(statuses, m)))
+    return F.transform("markets", lambda m, i: F.when(F.col("market_known") & text(m).isNotNull(), _reason(_at(1, i), text(m))))
+
+
+def _doubled(placed: DataFrame) -> DataFrame:
+    """story_seq of stories whose id another has too. The ids in question are written first: there are few, and the planner sees it."""
+    ids = written_table(placed.filter(~_blank("id")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "doubled")
+    return placed.select("story_seq", "id").join(ids, "id", "left_semi").select("story_seq")
+
+
+def story_reasons(windows: DataFrame) -> Column:
+    """Reasons of a story's own fields and of its first-disclosure record, as a list."""
+    own = [F.when(~F.col("market_known"), _reason(_at(0), WINDOW_UNKNOWN)), F.when(_blank("id"), _reason(_at(2), ID_MISSING)),
+           F.when(_blank("company"), _reason(_at(3), NO_COMPANY)), F.when(_blank("headline"), _reason(_at(4), NO_HEADLINE)),
+           F.when(F.coalesce("review_status", F.lit("")) != "ready", _reason(_at(5), NOT_READY)),
+           F.when(~F.coalesce("novelty", F.lit("")).isin("new", "changed"), _reason(_at(6), NOT_NEW)),
+           F.when(~F.coalesce("category", F.lit("")).isin(*SECTIONS), _reason(_at(7), NO_CATEGORY))]
+    return F.array_compact(F.concat(_packed([*own, *_disclosure_rules()]), F.coalesce(_window_states(windows).cast(REASON), F.array().cast(REASON))))
+
+
+def source_reasons() -> list[Column]:
+    """Reasons of a source among the gathered rows: an invalid or repeated address, and what it says beside the origins of its story."""
+    public, report = F.col("public"), F.coalesce(F.shiftright("found_state", 3), F.lit(2))
+    beside = lambda o: o["has_origin"] & o["origin_ts"].isNotNull() & (F.col("url") != o["origin_url"]) & ((report < 3) | (F.col("found_ts") < o["origin_ts"]))
+    return [F.when(~public, _reason(_at(8, F.col("pos")), BAD_URL)), F.when(public & (F.col("pos") > F.col("first_pos")), _reason(_at(8, F.col("pos")), SAME_URL)),
+            F.when(public & (report < len(REPORTS)) & F.exists("origins", beside), _reason(_at(10, F.col("first_pos")), F.get(F.array(*[F.lit(r) for r in REPORTS]), report)))]
 
 
 def origin_reasons(placed: DataFrame, public: DataFrame) -> DataFrame:
@@ -169,31 +178,48 @@ def origin_reasons(placed: DataFrame, public: DataFrame) -> DataFrame:
     src = public.select("story_seq", F.col("url").alias("origin_url"), F.col("access").alias("_access"), F.col("date_precision").alias("_precision"),
                         F.col("ts").alias("origin_ts"), F.lit(True).alias("_found"))
     df = placed.join(src, ["story_seq", "origin_url"], "left").withColumn("_found", F.coalesce("_found", F.lit(False)))
-    has = F.col("has_origin")
-    own = _rows(df, [
-        F.when(~has, _reason(_at(9, 0), NO_ORIGIN)),
-        F.when(has & (F.coalesce("origin_status", F.lit("")) != "verified"), _reason(_at(9, 1), UNVERIFIED)),
-        F.when(has & ~F.coalesce("origin_kind", F.lit("")).isin(*ORIGIN_KINDS), _reason(_at(9, 2), BAD_KIND)),
-        *[F.when(has & _blank(f"origin_{f}"), _reason(_at(9, 3 + i), NEEDS_FIELD.format(f))) for i, f in enumerate(ORIGIN_FIELDS)],
-        F.when(has & ~F.col("_found"), _reason(_at(9, 6), ORIGIN_ABSENT)),
-        F.when(F.col("_found") & ((F.coalesce("_access", F.lit("")) != "readable") | (F.coalesce("_precision", F.lit("")) != "time")), _reason(_at(9, 7), ORIGIN_UNREAD)),
-        F.when(F.col("_found") & F.col("origin_ts").isNull(), _reason(_at(9, 8), ORIGIN_NO_TIME)),
-        F.when(F.col("_found") & _outside(F.col("origin_ts")), _reason(_at(9, 9), ORIGIN_OUTSIDE))])
+    unread = (F.coalesce("_access", F.lit("")) != "readable") | (F.coalesce("_precision", F.lit("")) != "time")
+    own = _rows(df, [*_disclosure_rules(), *_origin_rules(F.col("_found"), unread, F.col("origin_ts"))])
     return own.unionByName(origin_chronology(df, public))
 
 
+def _disclosure_rules() -> list[Column]:
+    """Reasons of the first-disclosure record itself."""
+    has = F.col("has_origin")
+    return [F.when(~has, _reason(_at(9, 0), NO_ORIGIN)),
+            F.when(has & (F.coalesce("origin_status", F.lit("")) != "verified"), _reason(_at(9, 1), UNVERIFIED)),
+            F.when(has & ~F.coalesce("origin_kind", F.lit("")).isin(*ORIGIN_KINDS), _reason(_at(9, 2), BAD_KIND)),
+            *[F.when(has & _blank(f"origin_{f}"), _reason(_at(9, 3 + i), NEEDS_FIELD.format(f))) for i, f in enumerate(ORIGIN_FIELDS)]]
+
+
+def _origin_rules(found: Column, unread: Column, ts: Column) -> list[Column]:
+    """Reasons of the source that the record names."""
+    return [F.when(F.col("has_origin") & ~found, _reason(_at(9, 6), ORIGIN_ABSENT)),
+            F.when(found & unread, _reason(_at(9, 7), ORIGIN_UNREAD)),
+            F.when(found & ts.isNull(), _reason(_at(9, 8), ORIGIN_NO_TIME)),
+            F.when(found & _outside(ts), _reason(_at(9, 9), ORIGIN_OUTSIDE))]
+
+
+# What a source says of itself beside an origin; EARLIER_REPORT needs the origin's time.
+REPORTS = (BACKGROUND_NOTES, BAD_RELATION, UNCLEAR_REPORT, EARLIER_REPORT)
+
+
+def _report() -> Column:
+    """Place in REPORTS of the reason a source may give, null for background with its notes."""
+    relation = F.coalesce("relationship", F.lit("same_development"))
+    return (F.when(relation == "background", F.when(_blank("context_notes"), 0)).when(relation != "same_development", 1)
+            .when(F.col("ts").isNull() | (F.coalesce("date_precision", F.lit("")) != "time"), 2).otherwise(3))
+
+
 def origin_chronology(with_origin: DataFrame, public: DataFrame) -> DataFrame:
     """Other sources of a story against its origin: earlier or undated reports of the same development,
     and background without notes, also when they are not cited. One row per story and kind of reason."""
     base = with_origin.filter("has_origin AND origin_ts IS NOT NULL").select("story_seq", "origin_url", "origin_ts")
-    other = public.join(base, "story_seq").filter("url <> origin_url")
-    relation = F.coalesce("relationship", F.lit("same_development"))
-    reason = (F.when(relation == "background", F.when(_blank("context_notes"), BACKGROUND_NOTES))
-              .when(relation != "same_development", BAD_RELATION)
-              .when(F.col("ts").isNull() | (F.coalesce("date_precision", F.lit("")) != "time"), UNCLEAR_REPORT)
-              .when(F.col("ts") < F.col("origin_ts"), EARLIER_REPORT))
-    found = other.withColumn("reason", reason).filter("reason IS NOT NULL")
-    return found.groupBy("story_seq", "reason").agg(F.min("first_pos").alias("p")).select("story_seq", _at(10, F.col("p")).alias("at"), "reason")
+    # Sources that give no reason beside any origin do not travel.
+    reports = public.withColumn("report", _report()).filter("report IS NOT NULL").select("story_seq", "url", "first_pos", "ts", "report")
+    other = reports.join(base, "story_seq").filter("url <> origin_url").filter((F.col("report") < 3) | (F.col("ts") < F.col("origin_ts")))
+    first = other.groupBy("story_seq", "report").agg(F.min("first_pos").alias("p"))
+    return first.select("story_seq", _at(10, F.col("p")).alias("at"), F.get(F.array(*[F.lit(r) for r in REPORTS]), F.col("report")).alias("reason"))
 
 
 def with_origin_time(placed: DataFrame, public: DataFrame) -> DataFrame:
@@ -201,29 +227,17 @@ def with_origin_time(placed: DataFrame, public: DataFrame) -> DataFrame:
     return placed.join(src, ["story_seq", "origin_url"], "left")
 
 
-def bullet_reasons(placed: DataFrame, bullets: DataFrame, public: DataFrame) -> DataFrame:
-    """Reasons of bullets and citations; a citation without its source is a reason and not a lost row."""
-    own = placed.select("story_seq", "story_start", "story_inclusive", "as_of", "has_origin", "origin_url")
-    none = own.join(bullets.select("story_seq").distinct(), "story_seq", "left_anti").select("story_seq", _at(11).alias("at"), F.lit(NO_BULLET).alias("reason"))
-    cited = bullets.select("story_seq", F.explode("source_urls").alias("origin_url")).distinct()
-    uncited = own.filter("has_origin AND origin_url IS NOT NULL").join(cited, ["story_seq", "origin_url"], "left_anti").select(
-        "story_seq", _at(12).alias("at"), F.lit(ORIGIN_UNCITED).alias("reason"))
+def bullet_reasons() -> list[Column]:
+    """Reasons of a bullet or of one of its citations among the gathered rows; a citation without its source is a reason and not a lost row."""
     label = F.concat(F.lit("Bullet "), F.col("number").cast("string"))
     at = lambda c, pos=0: _at(13, F.col("number"), pos, c)
-    plain = _rows(bullets, [
-        F.when(_blank("text"), _reason(at(0), F.concat(label, F.lit(BULLET_NO_TEXT)))),
-        F.when(~_blank("text") & (F.size("source_urls") == 0), _reason(at(0), F.concat(label, F.lit(BULLET_NO_SOURCE))))])
-    checks = citation_check(bullets, public).join(own, "story_seq")
-    # A bullet breaks a rule at the first citation that breaks it: numbers alone are grouped, the wording is added to what is left.
-    rules = ((0, BULLET_BAD_URL, ~F.col("valid")), (1, BULLET_ABSENT, F.col("valid") & ~F.col("found")),
-             (2, BULLET_UNREAD, F.col("found") & (F.coalesce("access", F.lit("")) != "readable")), (3, BULLET_NO_DAY, F.col("found") & (F.coalesce("date_precision", F.lit("")) != "time")),
-             (4, BULLET_NO_TIME, F.col("found") & F.col("ts").isNull()), (4, BULLET_OUTSIDE, F.col("found") & _outside(F.col("ts"))))
-    broken = F.array_compact(F.array(*[F.when(rule, F.lit(i)) for i, (_, _, rule) in enumerate(rules)]))
-    firsts = checks.select("story_seq", "number", "pos", F.explode(broken).alias("rule")).groupBy("story_seq", "number", "rule").agg(F.min("pos").alias("pos"))
-    order, wording = (F.array(*[F.lit(rule[k]) for rule in rules]) for k in (0, 1))
-    place = _at(13, F.col("number"), F.col("pos")).withField("c", F.get(order, F.col("rule")))
-    detail = firsts.select("story_seq", place.cast(PLACE).alias("at"), F.concat(label, F.get(wording, F.col("rule"))).alias("reason"))
-    return none.unionByName(uncited).unionByName(plain).unionByName(detail)
+    stated, valid = _has("state", TEXT), _has("state", PUBLIC)
+    cited, found = stated & F.col("pos").isNotNull(), stated & valid & (F.col("n") > 0)
+    outside = F.exists("origins", lambda o: _outside(F.col("found_ts"), o))
+    broken = ((0, BULLET_BAD_URL, cited & ~valid), (1, BULLET_ABSENT, cited & valid & ~found), (2, BULLET_UNREAD, found & ~_has("found_state", READABLE)),
+              (3, BULLET_NO_DAY, found & ~_has("found_state", TIMED)), (4, BULLET_NO_TIME, found & F.col("found_ts").isNull()), (4, BULLET_OUTSIDE, found & outside))
+    return [F.when(~stated, _reason(at(0), F.concat(label, F.lit(BULLET_NO_TEXT)))), F.when(stated & F.col("pos").isNull(), _reason(at(0), F.concat(label, F.lit(BULLET_NO_SOURCE)))),
+            *[F.when(rule, _reason(at(c, F.col("pos")), F.concat(label, F.lit(wording)))) for c, wording, rule in broken]]
 
 
 def citation_check(bullets: DataFrame, public: DataFrame) -> DataFrame:
@@ -234,22 +248,75 @@ def citation_check(bullets: DataFrame, public: DataFrame) -> DataFrame:
             .withColumn("found", F.col("valid") & F.coalesce("_f", F.lit(False))).drop("_f"))
 
 
-def validate_stories(stories: DataFrame, sources: DataFrame, bullets: DataFrame, windows: DataFrame, start, as_of) -> DataFrame:
-    """Stories with reasons, in the order of the checks and each once, and status ready or hold.
+# Bits of the state of a source or citation; above them a source's place in REPORTS.
+PUBLIC, READABLE, TIMED, TEXT = 1, 2, 4, 2
+
+
+def _has(state: str, bit: int) -> Column:
+    return F.coalesce(F.col(state).bitwiseAND(bit) != 0, F.lit(False))
+
+
+def _gathered(placed: DataFrame, sources: DataFrame, bullets: DataFrame, windows: DataFrame) -> DataFrame:
+    """Sources (kind 0), citations (1; one row also for a bullet without any), stories (2, at the address of their origin) and doubled ids (3) in one
+    shuffle by story, with what the checks need of each other.
+
+    Times are read and addresses tested before the shuffle, and texts stay behind. Rows of one address meet in a window over (story, address), rows
+    of one story in a window over the story: both are sorted runs of the same partition, and no list grows with the sources of a story."""
+    number = bullets.schema["number"].dataType
+    bit = lambda test, value: F.when(test, value).otherwise(0)
+    empty = {"url": F.lit(None).cast("string"), "pos": F.lit(None).cast("long"), "number": F.lit(None).cast(number), "ts": F.lit(None).cast("timestamp"), "state": F.lit(None).cast("int"),
+             "own": F.lit(None).cast(REASON), "story": F.lit(None).cast("struct<has_origin:boolean,story_start:timestamp,story_inclusive:boolean,as_of:timestamp>")}
+
+    def rows(df: DataFrame, kind: int, **columns) -> DataFrame:
+        return df.filter("story_seq IS NOT NULL").select("story_seq", F.lit(kind).cast("byte").alias("kind"), *[columns.get(c, v).alias(c) for c, v in empty.items()])
+
+    read = sources.withColumn("ts", strict_ts("published_at"))
+    state = (bit(_public("url"), PUBLIC) + bit(F.coalesce("access", F.lit("")) == "readable", READABLE) + bit(F.coalesce("date_precision", F.lit("")) == "time", TIMED)
+             + F.coalesce(_report(), F.lit(len(REPORTS))) * 8)
+    cites = bullets.select("story_seq", "number", "text", F.posexplode_outer("source_urls").alias("pos", "url"))
+    own = F.struct("has_origin", "story_start", "story_inclusive", "as_of")
+    every = (rows(read, 0, url=F.col("url"), pos=F.col("pos").cast("long"), ts=F.col("ts"), state=state)
+             .unionByName(rows(cites, 1, url=F.col("url"), pos=F.col("pos").cast("long"), number=F.col("number"), state=bit(_public("url"), PUBLIC) + bit(~_blank("text"), TEXT)))
+             .unionByName(rows(placed, 2, url=F.col("origin_url"), own=story_reasons(windows), story=own))
+             .unionByName(rows(_doubled(placed), 3, own=_packed([_reason(_at(2), ID_DUPLICATED)]))).repartition("story_seq"))
+    address, story = Window.partitionBy("story_seq", "url"), Window.partitionBy("story_seq")
+    source = every.withColumn("public", (F.col("kind") == 0) & _has("state", PUBLIC))
+    place = F.when(F.col("public"), F.col("pos"))
+    met = source.withColumns({"n": F.count(F.when(F.col("public"), 1)).over(address), "first_pos": F.min(place).over(address), "found_ts": F.max_by("ts", place).over(address),
+                              "found_state": F.max_by("state", place).over(address), "cited": F.bool_or(F.col("kind") == 1).over(address)})
+    origin = F.when(F.col("kind") == 2, F.struct(F.col("url").alias("origin_url"), F.col("found_ts").alias("origin_ts"), "story.*"))
+    return met.withColumns({"origins": F.collect_set(origin).over(story), "bulleted": F.bool_or(F.col("kind") == 1).over(story)}).select("*", "story.*")
+
+
+def place_stories(stories: DataFrame, windows: DataFrame, start, as_of) -> DataFrame:
+    """Stories with their windows, written to the shared folder: what they are made of is read once."""
+    return written_table(story_windows(stories.withColumn("has_origin", F.coalesce("has_origin", F.lit(False))), windows, start, as_of), "placed")
+
+
+def validate_placed(placed: DataFrame, sources: DataFrame, bullets: DataFrame, windows: DataFrame) -> DataFrame:
+    """``placed`` with reasons, in the order of the checks and each once, and status ready or hold.
 
     A missing list of citations is an empty one: an uncited claim is held."""
     bullets = bullets.withColumn("source_urls", F.coalesce("source_urls", F.array().cast("array<string>")))
-    stories = stories.withColumn("has_origin", F.coalesce("has_origin", F.lit(False)))
-    # Four groups of checks read both tables; they are computed once and written to the shared folder.
-    placed = written_table(story_windows(stories, windows, start, as_of), "placed")
-    public = written_table(public_sources(sources), "public")
-    parts = [story_reasons(placed, windows), source_reasons(sources, public), origin_reasons(placed, public), bullet_reasons(placed, bullets, public)]
-    every = reduce(DataFrame.unionByName, parts)
-    # Equal rows leave before the shuffle; a reason at several places stays at its first.
-    listed = every.groupBy("story_seq").agg(F.sort_array(F.collect_set(F.struct("at", "reason"))).alias("r"))
-    df = placed.select(stories.columns).join(listed, "story_seq", "left")
-    reasons = F.coalesce(F.array_distinct(F.col("r.reason")), F.array().cast("array<string>"))
-    return df.withColumn("reasons", reasons).drop("r").withColumn("composition_status", F.when(F.size("reasons") == 0, "ready").otherwise("hold"))
+    rows = _gathered(placed, sources, bullets, windows)
+    found = F.col("n") > 0
+    unread = ~_has("found_state", READABLE) | ~_has("found_state", TIMED)
+    of_story = [*_origin_rules(found, unread, F.col("found_ts")), F.when(~F.col("bulleted"), _reason(_at(11), NO_BULLET)),
+                F.when(F.col("has_origin") & F.col("url").isNotNull() & ~F.col("cited"), _reason(_at(12), ORIGIN_UNCITED))]
+    kind = F.col("kind")
+    reasons = F.when(kind == 0, _packed(source_reasons())).when(kind == 1, _packed(bullet_reasons())).when(kind == 2, F.concat("own", _packed(of_story))).otherwise(F.col("own"))
+    # A reason at several places stays at its first; then a story lists its reasons.
+    first = rows.select("story_seq", F.explode(reasons).alias("r")).groupBy("story_seq", "r.reason").agg(*[F.min(f"r.at.{f}").alias(f) for f in ("part", "a", "b", "c")])
+    listed = first.groupBy("story_seq").agg(F.sort_array(F.collect_list(F.struct(F.struct("part", "a", "b", "c").alias("at"), "reason"))).alias("r"))
+    df = placed.join(listed, "story_seq", "left")
+    none = F.array().cast("array<string>")
+    return df.withColumn("reasons", F.coalesce("r.reason", none)).drop("r").withColumn("composition_status", F.when(F.size("reasons") == 0, "ready").otherwise("hold"))
+
+
+def validate_stories(stories: DataFrame, sources: DataFrame, bullets: DataFrame, windows: DataFrame, start, as_of) -> DataFrame:
+    """Stories with reasons and status, see ``validate_placed``."""
+    done = validate_placed(place_stories(stories, windows, start, as_of), sources, bullets, windows)
+    return done.select(*stories.columns, "reasons", "composition_status")
 
 
 def composition_counts(validated: DataFrame) -> DataFrame:

@@ -142,3 +142,33 @@ def test_a_rule_broken_by_several_citations_is_one_reason(spark):
     two = [dict(access="restricted"), dict(url=B, access="restricted", relationship="background", context_notes="older")]
     unread = [r for r in validate(spark, sources=two, bullets=[dict(text="x", source_urls=[A, B, A]), dict(text="y", source_urls=[B])]) if r.endswith(st.BULLET_UNREAD)]
     assert unread == ["Bullet 1" + st.BULLET_UNREAD, "Bullet 2" + st.BULLET_UNREAD]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_validation_moves_the_sources_once(spark):
+    """One shuffle by story brings sources, citations and stories together; the others are those of the written stories."""
+    sources = spark.createDataFrame([(1, i, f"{A}{i}", "n", "2026-09-24T15:00:00Z", "readable", "time", None, None) for i in range(3)], SOURCE)
+    bullets = spark.createDataFrame([(1, 1, "x", [A])], BULLET)
+    win = spark.createDataFrame([], "market string, window_start timestamp, start_inclusive boolean, status string")
+    story = dict.fromkeys(spark.createDataFrame([], STORY).columns) | dict(story_seq=1, id="a", tickers=["1 JP"], market="")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(st.validate_stories(spark.createDataFrame([story], STORY), sources, bullets, win, strict_ts(F.lit(START)), strict_ts(F.lit(AS_OF))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert text.count("Exchange hashpartitioning(story_seq") == 2 and text.count("Exchange hashpartitioning") <= 4
+
+
+def test_stories_with_one_number_share_their_reasons(spark):
+    twice = [dict(id="s4", headline="", origin_url=B), dict(id="s3", review_status="hold", origin_url=None, has_origin=False)]
+    got = validate(spark, dict(id="s2"), sources=[dict(), dict(url=B, published_at="2026-09-24T14:00:00+08:00")], extra=twice)
+    assert got == [st.NO_HEADLINE, st.NOT_READY, st.NO_ORIGIN, st.ORIGIN_OUTSIDE, st.EARLIER_REPORT, st.ORIGIN_UNCITED]
+
+
+def test_null_places_and_stories(spark):
+    assert validate(spark, sources=[dict(pos=None)]) == [st.ORIGIN_UNREAD, st.ORIGIN_NO_TIME, "Bullet 1" + st.BULLET_UNREAD, "Bullet 1" + st.BULLET_NO_DAY, "Bullet 1" + st.BULLET_NO_TIME]
+    assert validate(spark, sources=[dict(), dict(story_seq=None, url="http://localhost/")], extra=[dict(story_seq=None, id="s9", headline="")]) == []
