@@ -174,6 +174,13 @@ def validated(spark, d):
     return st.validate_stories(stories(spark, d), sources(spark, d), bullets(spark, d), pack_windows(spark), *envelope())
 
 
+def validated_with_origins(spark, d):
+    """The validated stories, and the time of each story's origin; both read the same table of placed stories."""
+    written = st.place_stories(stories(spark, d), pack_windows(spark), *envelope())
+    done = st.validate_placed(written, sources(spark, d), bullets(spark, d), pack_windows(spark))
+    return done, st.with_origin_time(written, st.public_sources(sources(spark, d)))
+
+
 def listed(df):
     first = df.groupBy("story_seq", "reason").agg(F.min("at").alias("at"))
     rows = first.groupBy("story_seq").agg(F.array_sort(F.collect_list(F.struct("at", "reason"))).alias("r"))
@@ -279,9 +286,9 @@ SELECT s.story_seq, coalesce(nullif(s.headline, ''), s.id) AS title, CASE WHEN h
   CASE WHEN o.has_origin THEN 'seen' ELSE 'not recorded' END AS verification_notes
 FROM stories_v s LEFT JOIN held_v h USING (story_seq) LEFT JOIN origin_ts_v o USING (story_seq)""")
 def review_rows(spark, d):
-    public = st.public_sources(sources(spark, d))
-    done = validated(spark, d).withColumns({c: F.when(F.col("has_origin"), F.col(c)) for c in ("origin_status", *(f"origin_{n}" for n in st.ORIGIN_FIELDS))})
-    return st.review_rows(done, st.with_origin_time(placed(spark, d), public)).drop("origin_source", "origin_kind")
+    done, origins = validated_with_origins(spark, d)
+    done = done.withColumns({c: F.when(F.col("has_origin"), F.col(c)) for c in ("origin_status", *(f"origin_{n}" for n in st.ORIGIN_FIELDS))})
+    return st.review_rows(done, origins).drop("origin_source", "origin_kind")
 
 
 def events(spark, d):

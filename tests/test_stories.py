@@ -172,3 +172,26 @@ def test_stories_with_one_number_share_their_reasons(spark):
 def test_null_places_and_stories(spark):
     assert validate(spark, sources=[dict(pos=None)]) == [st.ORIGIN_UNREAD, st.ORIGIN_NO_TIME, "Bullet 1" + st.BULLET_UNREAD, "Bullet 1" + st.BULLET_NO_DAY, "Bullet 1" + st.BULLET_NO_TIME]
     assert validate(spark, sources=[dict(), dict(story_seq=None, url="http://localhost/")], extra=[dict(story_seq=None, id="s9", headline="")]) == []
+
+
+def tables(spark, folder):
+    made = {
+        "customer": ([(1, "Customer 1", 3)], "c_custkey long, c_name string, c_nationkey int"),
+        "orders": ([(k, 1, "O", 10.0 * k, "1-URGENT") for k in (1, 2, 3)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"),
+        "lineitem": ([(k, 7, 8, n, 10.0, 0.01, 0.05, "N", "O", "1998-06-01") for k in (1, 2) for n in (1, 2, 3)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, day string")}
+    for name, (rows, schema) in made.items():
+        df = spark.createDataFrame(rows, schema)
+        if name == "lineitem":
+            df = df.withColumn("l_shipdate", F.col("day").cast("timestamp")).drop("day")
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_review_rows_make_the_stories_once(spark, tmp_path):
+    from leadflow.plans import stories as plans
+
+    got = plans.review_rows(spark, tables(spark, tmp_path))
+    assert not [f for f in got.inputFiles() if "/orders.parquet/" in f]
+    rows = {r["story_seq"]: r for r in got.collect()}
+    assert sorted(rows) == [1, 2, 3] and rows[1]["original_publication"] == "1998-06-01T00:00:00Z" and rows[3]["origin_status"] == "missing"
