@@ -8,6 +8,7 @@ from leadflow.plans import leads as ld
 from leadflow.plans import times as tm
 from leadflow.plans import views as v
 from leadflow.plans.registry import query
+from leadflow.session import written_table
 
 STATUSES = {"VN": "pending_start", "PM": "pending_close", "TB": "no_session"}
 
@@ -251,7 +252,7 @@ UNION ALL SELECT 'ready' AS id FROM stories_v s LEFT JOIN held_v h USING (story_
   SELECT min(story_seq) FROM stories_v WHERE story_seq NOT IN (SELECT story_seq FROM held_v)) """)
 def top_stories(spark, d):
     """The two largest orders are requested; then the first ready story alone."""
-    done = ld.dedupe.cut_lineage(validated(spark, d).select("story_seq", "id", "composition_status"))
+    done = written_table(validated(spark, d).select("story_seq", "id", "composition_status"), "validated")
     prices = v.table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(2)
     asked = prices.select((-F.col("o_totalprice")).alias("pos"), F.concat(F.lit("st-"), F.col("o_orderkey").cast("string")).alias("id"))
     first = done.filter("composition_status = 'ready'").agg(F.min("story_seq").alias("s")).select(

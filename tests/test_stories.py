@@ -195,3 +195,11 @@ def test_review_rows_make_the_stories_once(spark, tmp_path):
     assert not [f for f in got.inputFiles() if "/orders.parquet/" in f]
     rows = {r["story_seq"]: r for r in got.collect()}
     assert sorted(rows) == [1, 2, 3] and rows[1]["original_publication"] == "1998-06-01T00:00:00Z" and rows[3]["origin_status"] == "missing"
+
+
+def test_top_stories_keep_the_checked_stories_by_column(spark, tmp_path):
+    from leadflow.plans import stories as plans
+
+    got = plans.top_stories(spark, tables(spark, tmp_path))
+    assert [f for f in got.inputFiles() if "/validated-" in f] and "ExistingRDD" not in plan(got)
+    assert got.count() == 0
