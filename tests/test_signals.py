@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadflow.operators import matching as m
 from leadflow import rules as rule_tables
-from leadflow.operators.triage import _regex, triage
+from leadflow.operators.triage import _regex, score_texts, triage
 
 LEADS = "lead_seq bigint, title string, text string"
 WATCH = "ticker string, name string, aliases array<string>, category string"
@@ -130,3 +130,29 @@ def test_patterns_are_tried_where_they_can_begin(spark):
         plain = "(?iU)" + p
         differ = (F.col("t").rlike(_regex(p)) != F.col("t").rlike(plain)) | (F.regexp_replace("t", _regex(p), "<>") != F.regexp_replace("t", plain, "<>"))
         assert rows.filter(differ).isEmpty(), p
+
+
+def test_every_match_holds_one_of_the_strings_that_are_looked_for(spark):
+    from leadflow.operators.triage import _fold, _regex, _screen, _words
+
+    assert _words(r"\b(?:tender offers?|go[ -]private)\b|公開買付") == ("go private", "go-private", "tender offer", "公開買付")
+    assert _words(r"a[çc][ãa]o \w+ x{2,3}") == ("acao ", "acão ", "açao ", "ação ") and _words(r"(?:deal|\d+)") == () and _words(r"(x)\1") == () and _words(r"[a&&[b]]c") == ()
+    patterns = [rule_tables.DEFAULT_RULES.business, rule_tables.DEFAULT_RULES.macro, *[p for r in rule_tables.DEFAULT_RULES.rules for p in (r.pattern, r.strip, r.context) if p]]
+    texts = ["TENDER OFFER", "M & A", "Aquİsition of a unıt", "ſhare buyback", "BANKRUPTCY", "公開買い付け", "RECOMPRA DE AÇÕES", "central banK", "cuts its dividend", "raises a 5% STAKE", "museum acquisition", "nothing here"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    bits, known = _screen(patterns, _fold("t"))
+    assert set(patterns) == set(known)
+    rows = df.withColumn("bits", bits).select("t", "bits", *[F.col("t").rlike(_regex(p)).alias(f"m{i}") for i, p in enumerate(patterns)]).collect()
+    assert sum(r[f"m{i}"] for r in rows for i in range(len(patterns))) >= 10
+    for r in rows:
+        assert all(r["bits"] & known[p] for i, p in enumerate(patterns) if r[f"m{i}"]), r["t"]
+    assert rows[-1]["bits"] == 0
+
+
+def test_what_is_left_of_a_text_is_tried_too(spark):
+    from leadflow.rules import EventRule, RuleSet
+
+    rules = RuleSet((EventRule("Cut", "Other Strategy", 50, r"mergers", strip=r"\(x\)"),), macro="zz1", business="zz2")
+    df = spark.createDataFrame([(1, "mer(X)gers", ""), (2, "", "mer(y)gers"), (3, None, None)], "lead_seq int, title string, text string")
+    got = {r["lead_seq"]: (r["event_type"], r["attention_score"]) for r in score_texts(df, rules).collect()}
+    assert got == {1: ("Cut", 50), 2: ("Other", 0), 3: ("Other", 0)}
